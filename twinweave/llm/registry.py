@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from twinweave.llm import mixing, quality_rules, sharding
+from twinweave.llm import mixing, ngram_join, quality_rules, sharding
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 SQL = {
     "op2_mixing": mixing.OP2_SQL,
+    "op6_ngram_join": ngram_join.OP6_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
