@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from twinweave.llm import mixing, ngram_join, quality_rules, sharding
+from twinweave.llm import mixing, ngram_join, pieces, quality_rules, sharding, substring_dedup
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
