@@ -8,15 +8,15 @@ at most one row (law ``rows``) and each bucket touches one or two shards only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ADDED = ("bucket", "bucket_start", "n_rows", "scatter")
+#: Working columns.
+_WORKING = ("__bucket", "__in_bucket", "__bucket_start", "__n_rows", "__scatter", "__place", "__position")
 
 
 def record_bytes(text: str | Column) -> Column:
@@ -24,20 +24,28 @@ def record_bytes(text: str | Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
-def _shuffle_bucket(seed: int, n_shards: int, columns: list[str]):
-    def shuffle(table: pa.Table) -> pa.Table:
-        # Arrival order is up to the network; the scatter hash and ids give a canonical one first.
-        table = table.combine_chunks()
-        order = pc.sort_indices(table, sort_keys=[("scatter", "ascending")]).to_numpy().copy()
-        bucket, start, total = (table.column(c)[0].as_py() for c in ("bucket", "bucket_start", "n_rows"))
-        np.random.default_rng([seed, bucket]).shuffle(order)  # numpy's in-place Fisher-Yates
-        position = start + np.arange(len(order), dtype=np.int64)
-        shard = position * n_shards // total
-        first = -(-shard * total // n_shards)
-        out = table.select(columns).take(pa.array(order))
-        return out.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(position - first, pa.int64()))
+def _fisher_yates(seed: int):
+    """Column function (bucket, rows in the bucket, place in canonical order) -> shuffled place.
 
-    return shuffle
+    A bucket's permutation follows from the seed, its number and its size, so
+    only these integers reach Python and the records stay where they are.
+    """
+
+    def shuffled(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        held: tuple[int, np.ndarray] = (-1, np.empty(0, np.int64))
+        for bucket, n, place in columns:
+            bucket, n, place = bucket.to_numpy(), n.to_numpy(), place.to_numpy()
+            out = np.empty(len(bucket), np.int64)
+            for k in np.unique(bucket):
+                own = bucket == k
+                if held[0] != k:
+                    order = np.arange(n[own][0])
+                    np.random.default_rng([seed, int(k)]).shuffle(order)  # numpy's in-place Fisher-Yates
+                    held = (int(k), order)
+                out[own] = held[1][place[own]]
+            yield pa.array(out)
+
+    return F.arrow_udf(shuffled, "bigint")
 
 
 def shuffle_into_shards(
@@ -54,31 +62,36 @@ def shuffle_into_shards(
     The scatter hash is of ``key`` and the text, so copies of a text under
     different keys spread over all buckets. Nulls hash like any value. Rows that
     are equal in key and text are interchangeable and stay in one bucket. An
-    empty table gives an empty result. Columns named like the two outputs, or
-    like the working columns, are replaced. Buckets hold about ``bucket_bytes``
-    of text and ``bucket_rows`` rows at most on average; one bucket is the unit
-    held in a task's memory.
+    empty table gives an empty result. Columns named like the two outputs are
+    replaced. Buckets hold about ``bucket_bytes``
+    of text and ``bucket_rows`` rows at most on average; a bucket is the unit that
+    one task sorts.
     """
     spark = docs.sparkSession
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    docs = docs.drop("shard", "slot", *_ADDED)
+    docs = docs.drop("shard", "slot", *_WORKING)
     stats = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = max(4 * width, -(-stats[0] // bucket_rows), -(-(stats[1] or 0) // bucket_bytes))
     scatter = F.xxhash64(F.lit(seed), *key, F.xxhash64(text_col))
-    placed = docs.withColumn("scatter", scatter).withColumn("bucket", F.pmod("scatter", F.lit(n_buckets)))
-    counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    placed = docs.withColumn("__scatter", scatter).withColumn("__bucket", F.pmod("__scatter", F.lit(n_buckets)))
+    counts = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
     # One row for each bucket, never for each record.
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
-        "bucket",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bucket_start"),
-        F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_rows"),
+        "__bucket",
+        F.col("n").alias("__in_bucket"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__bucket_start"),
+        F.sum("n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__n_rows"),
     )
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    fn = _shuffle_bucket(seed, n_shards, docs.columns)
-    return placed.join(starts, "bucket").groupBy("bucket").applyInArrow(fn, f"{fields}, shard int, slot bigint")
+    order = Window.partitionBy("__bucket").orderBy("__scatter")
+    placed = placed.join(starts, "__bucket").withColumn("__place", F.row_number().over(order) - 1)
+    position = F.col("__bucket_start") + _fisher_yates(seed)("__bucket", "__in_bucket", "__place")
+    placed = placed.withColumn("__position", position)
+    shard = F.expr(f"(__position * {n_shards}) div __n_rows")
+    first = F.expr(f"(shard * __n_rows + {n_shards - 1}) div {n_shards}")
+    return placed.withColumn("shard", shard).withColumn("slot", F.col("__position") - first).select(*docs.columns, F.col("shard").cast("int"), "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
