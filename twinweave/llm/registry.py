@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from twinweave.llm import mixing, ngram_join, pieces, quality_rules, sharding, substring_dedup
+from twinweave.llm import embedding_dedup, language_id, lm_scoring, mixing, ngram_join, pieces, quality_model, quality_rules, sharding, substring_dedup
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
+    "op4_language_id": language_id.op4_language_id,
+    "op5_quality_model": quality_model.op5_quality_model,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_sentencepiece": pieces.op8_sentencepiece,
@@ -14,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_embedding_dedup": embedding_dedup.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op6_ngram_join": ngram_join.OP6_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
