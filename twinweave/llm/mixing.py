@@ -128,15 +128,17 @@ def _key(source: str) -> Column:
 def materialise(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mixed corpus: documents repeated as often as taken, the last repetition cut to the words left.
 
-    ``taken`` has (id, size, taken), one row an id, as for a table whose ids are
-    unique. Rows whose id has no entry or takes nothing are left out. A cut
+    ``taken`` has (id, size, taken) as ``mix`` gives them for ``docs``. Rows whose
+    id has no entry or takes nothing are left out. Rows that repeat an id and a
+    size are taken alike, as often as the one of them that is taken most. A cut
     repetition is its first words with single spaces.
     """
-    t = taken.select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).filter("__taken > 0")
+    t = taken.groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size")).agg(F.max("taken").alias("__taken")).filter("__taken > 0")
     whole = F.floor(F.col("__taken") / F.col("__size")).cast("int")
     part = (F.col("__taken") - whole * F.col("__size")).cast("int")
     parts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    rows = docs.join(t, docs[id_col].eqNullSafe(t["__id"])).withColumn("__part", F.explode(parts))
+    sized = docs.withColumn("__words", n_words(text_col))
+    rows = sized.join(t, sized[id_col].eqNullSafe(t["__id"]) & (sized["__words"] == t["__size"])).withColumn("__part", F.explode(parts))
     cut = F.array_join(F.slice(words(text_col), 1, F.col("__part")), " ")
     return rows.withColumn(text_col, F.when(F.col("__part") > 0, cut).otherwise(F.col(text_col))).select(*docs.columns)
 

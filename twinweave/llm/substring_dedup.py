@@ -123,8 +123,11 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return spans.filter(F.col("end_byte") - F.col("start_byte") >= min_bytes).select(F.col("id").alias(id_col), "start_byte", "end_byte", "first_id")
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans cut out of their texts; texts without spans stay as they are."""
+def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str | None = None) -> DataFrame:
+    """``docs`` with the spans cut out of their texts; texts without spans stay as they are.
+
+    ``mark`` names a boolean column to add: whether the row's text was cut.
+    """
     per_doc = spans.groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("__cuts"))
     both = docs.join(per_doc, docs[id_col] == per_doc["__id"], "left")
     raw = F.encode(F.col(text_col), "UTF-8")
@@ -138,7 +141,10 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
         ),
     )
     joined = F.decode(F.unhex(F.array_join(F.transform(pieces, lambda p: F.hex(p)), "")), "UTF-8")
-    return both.withColumn(text_col, F.when(F.col("__cuts").isNotNull(), joined).otherwise(F.col(text_col))).select(*docs.columns)
+    both = both.withColumn(text_col, F.when(F.col("__cuts").isNotNull(), joined).otherwise(F.col(text_col)))
+    if mark:
+        both = both.withColumn(mark, F.col("__cuts").isNotNull())
+    return both.select(*docs.columns, *[mark] * bool(mark))
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
