@@ -9,9 +9,11 @@ allocation 2 also indexes its one-deletion neighbourhood. The split of a band
 into segments is chosen by cost. A set may leave out empty segments of
 allocation 1 up to the slack: a pair that agrees there agrees elsewhere too.
 
-Equal sets are one node. Nodes that share a signature are candidates: first
-each with the least node of the bucket, then, between the components found so
-far, with each other; every candidate is verified on whole sets.
+Equal sets are one node. Nodes that share a signature are candidates: first, in
+rounds, each with a hub of the bucket. Nodes of buckets that still hold several
+components are then paired by their rarest shingles, which is exact too and
+keeps a very common passage from pairing all texts that hold it. Every
+candidate is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from twinweave.plans.scratch import Scratch
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _WORD_CACHE = 200_000
 _BAND_RATIO = 1.5
+_STAR_ROUNDS = 3
+_HUB_ORDERS = 3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -162,6 +166,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * F.col("same") >= percent * F.col("total")).select("a", "b")
 
 
+def _star_pairs(members: DataFrame, r: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a member and its bucket's hub.
+
+    Hubs are the first by a seeded order of nodes, of which there are a few, so
+    a group that shares many buckets has few hubs and its members meet each once.
+    """
+    order = F.xxhash64(F.lit(r), F.pmod("sig", F.lit(_HUB_ORDERS)), "node")
+    hubs = members.groupBy("sig").agg(F.min_by(F.struct("node", "n", "comp"), order).alias("hub"))
+    pairs = members.join(hubs, "sig").filter(
+        (F.col("comp") != F.col("hub.comp")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+    )
+    return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
+def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of buckets that still hold more than one component, with the components as they are now."""
+    placed = members.drop("comp").join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
+    return placed.join(split, "sig").select("node", "n", "sig", "comp")
+
+
+def _rare_shingles(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, comp, place, shingle): of each open node so many of its rarest shingles that similar sets share one.
+
+    In any one order of shingles, sets of similarity J that differ in none of
+    their first n - ceil(J n) + 1 shingles can't be similar; rare ones first,
+    a passage that many texts share brings none of them together.
+    """
+    nodes = open_.select("node", "n", "comp").distinct()
+    each = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("set").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
+    by_node = each.join(counts, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("s"))
+    first = F.size("s") - F.ceil(F.size("s") * percent / F.lit(100)) + 1
+    picked = by_node.select("node", F.posexplode(F.slice("s", F.lit(1), first.cast("int"))).alias("place", "x")).select("node", "place", "x.shingle", "x.held")
+    # a shingle of one open node has no partner
+    return picked.filter("held > 1").join(nodes, "node").select("node", "n", "comp", "place", "shingle")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``.
 
@@ -177,12 +219,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = scratch.stash(keyed.mapInArrow(_sketch(width, percent), "id long, n long, node long, sigs array<long>"), "sketch")
     linked = base.filter("node is not null and id is not null")
 
-    # Buckets with two nodes or more, each with its least node.
+    # Rows of buckets with two nodes or more.
     rows = linked.select("node", "n", F.explode("sigs").alias("sig"))
-    buckets = rows.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("top")).filter("lead <> top").select("sig", "lead")
-    members = scratch.stash(rows.join(buckets, "sig").distinct(), "members")
-    scratch_pairs = members.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    star = scratch.stash(scratch_pairs, "star")
+    shared = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("sig")
+    members = scratch.stash(rows.join(shared, "sig").distinct().withColumn("comp", F.col("node")), "members")
 
     # Whole sets of all nodes in buckets, from one document each.
     reps = linked.groupBy("node").agg(F.min("id").alias("id"))
@@ -190,21 +230,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = keyed.join(wanted, "id").select("node", "text")
     sets = scratch.stash(texts.mapInArrow(_sets(width), "node long, set array<long>").dropDuplicates(["node"]), "sets")
 
-    links = scratch.stash(_verified(star, sets, percent), "links1")
-    labels = connected_components(links, "a", "b")
-
-    # Pairs in a bucket that still are in different components.
-    placed = members.join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-    rest = scratch.stash(placed.join(open_, "sig").select("sig", "node", "n", "comp", "lead"), "open")
-    other = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    crossed = rest.join(other, "sig").filter(
-        (F.col("node") < F.col("b"))
-        & (F.col("comp") != F.col("cb"))
-        & (F.col("node") != F.col("lead"))
-        & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
+    # Rounds of stars: each member against one hub of its bucket, unless both are in one component already.
+    links = None
+    open_ = members
+    for r in range(_STAR_ROUNDS):
+        found = scratch.stash(_verified(_star_pairs(open_, r, percent), sets, percent), f"links{r}")
+        links = found if links is None else links.union(found)
+        final = connected_components(links, "a", "b")
+        open_ = scratch.stash(_still_open(open_, final), f"open{r}")
+
+    # What is left, say texts that share a very common passage: pairs in different components with a rare shingle in common.
+    rare = scratch.stash(_rare_shingles(open_, sets, percent), "rare")
+    other = rare.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("place").alias("pb"))
+    # from their first common shingle on, both must hold enough of theirs to reach the similarity
+    reach = F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb"))
+    crossed = rare.join(other, "shingle").filter(
+        (F.col("node") < F.col("b")) & (F.col("comp") != F.col("cb")) & ((100 + percent) * reach >= percent * (F.col("n") + F.col("nb")))
     )
-    more = scratch.stash(_verified(crossed.select(F.col("node").alias("a"), "b").distinct(), sets, percent), "links2")
+    more = scratch.stash(_verified(crossed.select(F.col("node").alias("a"), "b").distinct(), sets, percent), "links-rest")
     final = connected_components(links.union(more), "a", "b")
 
     nodes = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
