@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-SQL = {}
+from twinweave.queries import QUERIES, SQL, files, scalars
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "files", "scalars"]
+
 FLAGSHIP = "flagship_exact_duplicates"
