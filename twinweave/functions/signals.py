@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from twinweave.functions.fingerprints import hamming
 from twinweave.plans.config import Thresholds, Weights
@@ -120,7 +121,7 @@ def jaro_winkler(x: str, y: str) -> float:
     return jaro + agree * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _jaro_winkler(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or q is None else jaro_winkler(p, q) for p, q in zip(x, y, strict=True)])
 

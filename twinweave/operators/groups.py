@@ -159,7 +159,8 @@ def summary(groups: DataFrame) -> DataFrame:
 def search_groups(groups: DataFrame, text: str = "", min_confidence: float = 0.0, media_type: str | None = None, enabled: tuple[str, ...] = ()) -> DataFrame:
     """Groups of at least the confidence whose rationale or id holds the text, best search score first."""
     hit = F.lower(F.array_join("rationale", " ")).contains(text.lower()) | F.col("group_id").cast("string").contains(text)
-    named = sum((F.exists("rationale", lambda x, k=k: x.startswith(k)).cast("int") for k in enabled), F.lit(0))
+    holds = lambda key: F.exists("rationale", lambda x: x.startswith(key)).cast("int")
+    named = sum((holds(k) for k in enabled), F.lit(0))
     out = groups.filter(hit & (F.col("confidence") >= min_confidence))
     if media_type:
         out = out.filter(F.col("media_type") == media_type)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinweave.functions.fingerprints import size_category
 
-_N = F.lit(1)
+_N = "*"
 
 
 def hash_statistics(hashes: DataFrame, bits: int = 64) -> DataFrame:

@@ -77,12 +77,12 @@ def a06(spark, sf_dir):
     return views.files(spark, sf_dir).select("file_id", fs.in_library().alias("managed"))
 
 
-_LISTING = "listing AS (SELECT 'f' || o_orderkey AS path, CAST(o_totalprice AS BIGINT) AS size, 1600000000 + o_orderkey AS modified_s, o_orderkey AS k FROM orders), catalog AS (SELECT path, size + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS size, modified_s, 1700000000 - k % 7 * 20000 AS last_scanned_s FROM listing WHERE k % 3 <> 0)"
+_LISTING = "listing AS (SELECT 'f' || o_orderkey AS path, CAST(floor(o_totalprice) AS BIGINT) AS size, 1600000000 + o_orderkey AS modified_s, o_orderkey AS k FROM orders), catalog AS (SELECT path, size + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS size, modified_s, 1700000000 - k % 7 * 20000 AS last_scanned_s FROM listing WHERE k % 3 <> 0)"
 
 
 def _listing(spark, sf_dir):
     """Orders as a listing and as what a catalogue knew of it before."""
-    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"), F.round("o_totalprice").cast("long").alias("size"), (1_600_000_000 + F.col("o_orderkey")).alias("modified_s"), F.col("o_orderkey").alias("k"))
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"), F.floor("o_totalprice").cast("long").alias("size"), (1_600_000_000 + F.col("o_orderkey")).alias("modified_s"), F.col("o_orderkey").alias("k"))
     known = o.filter("k % 3 <> 0").select("path", (F.col("size") + F.when(F.col("k") % 5 == 0, 1).otherwise(0)).alias("size"), "modified_s", (1_700_000_000 - F.col("k") % 7 * 20_000).alias("last_scanned_s"))
     return o.drop("k"), known
 

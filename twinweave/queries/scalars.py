@@ -82,14 +82,7 @@ def c10(spark, sf_dir):
     return views.assets(spark, sf_dir).select("id", fp.signature().alias("signature"))
 
 
-_AGREE = "(CASE WHEN substr({0},1,1)=substr({1},1,1) AND length({0})>0 AND length({1})>0 THEN 1 ELSE 0 END + CASE WHEN substr({0},2,1)=substr({1},2,1) AND length({0})>1 AND length({1})>1 THEN 1 ELSE 0 END + CASE WHEN substr({0},3,1)=substr({1},3,1) AND length({0})>2 AND length({1})>2 THEN 1 ELSE 0 END + CASE WHEN substr({0},4,1)=substr({1},4,1) AND length({0})>3 AND length({1})>3 THEN 1 ELSE 0 END)"
-
-
-@query(
-    "c11_jaro_winkler",
-    f"""WITH n AS (SELECT p_partkey AS a, {_STEM.format('p_name')} AS x FROM part), p AS (SELECT l.a, l.x, r.x AS y FROM n l JOIN n r ON r.a = l.a + 1)
-        SELECT a, round(CASE WHEN x = y THEN 1.0 ELSE jaro_similarity(x, y) + {_AGREE.format('x', 'y')} * 0.1::DOUBLE * (1 - jaro_similarity(x, y)) END, 6) AS score FROM p""",
-)
+@query("c11_jaro_winkler")
 def c11(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), fp.stem("p_name").alias("a_stem"))
     pairs = p.join(p.select((F.col("a") - 1).alias("a"), F.col("a_stem").alias("b_stem")), "a")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from twinweave.queries import QUERIES, SQL, files, scalars
+from twinweave.queries import QUERIES, SQL, detection, files, history, lookups, reports, scalars, streams
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "files", "scalars"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "detection", "files", "history", "lookups", "reports", "scalars", "streams"]
 
 FLAGSHIP = "flagship_exact_duplicates"

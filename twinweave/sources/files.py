@@ -179,7 +179,7 @@ def format_exif_date(seconds: Column) -> Column:
 
 def keyword_list(c: Column) -> Column:
     """Parts between commas, trimmed, distinct, sorted; null if none."""
-    parts = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")))
+    parts = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")))
     return F.when(F.size(parts) > 0, parts)
 
 

@@ -7,6 +7,7 @@ BGR bytes. Decoding is Spark's; resampling and transforms run on batches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,17 @@ def grey(width: int, height: int, channels: int, data: bytes) -> np.ndarray:
     return px[:, :, 0] if channels == 1 else px[:, :, :3] @ np.array([0.114, 0.587, 0.299])
 
 
-def resample(img: np.ndarray, rows: int, cols: int) -> np.ndarray:
-    """Area average to (rows, cols)."""
+@lru_cache(64)
+def _weights(n: int, m: int) -> np.ndarray:
+    edges = np.linspace(0, n, m + 1)
+    lo, hi = edges[:-1, None], edges[1:, None]
+    cover = np.minimum(hi, np.arange(1, n + 1)) - np.maximum(lo, np.arange(n))
+    return np.clip(cover, 0, None) * m / n
 
-    def weights(n: int, m: int) -> np.ndarray:
-        edges = np.linspace(0, n, m + 1)
-        lo, hi = edges[:-1, None], edges[1:, None]
-        cover = np.minimum(hi, np.arange(1, n + 1)) - np.maximum(lo, np.arange(n))
-        return np.clip(cover, 0, None) * m / n
 
-    return weights(img.shape[0], rows) @ img @ weights(img.shape[1], cols).T
+def resample(img: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """Area average to (rows, cols)."""
+    return _weights(img.shape[0], rows) @ img @ _weights(img.shape[1], cols).T
 
 
 def _packed(bits: np.ndarray) -> int:
