@@ -45,8 +45,9 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 def bucket_keys(x: np.ndarray, how: Hashing) -> np.ndarray:
     """Buckets (rows, tables * probes) of unit vectors; a row's buckets are distinct."""
-    dim = 1 << max(1, (x.shape[1] - 1).bit_length())
-    x = np.pad(x, ((0, 0), (0, dim - x.shape[1])))
+    length = x.shape[1]
+    dim = 1 << max(1, (length - 1).bit_length())
+    x = np.pad(x, ((0, 0), (0, dim - length)))
     rng = np.random.default_rng([how.seed, dim])
     out = []
     for t in range(how.tables):
@@ -65,7 +66,7 @@ def bucket_keys(x: np.ndarray, how: Hashing) -> np.ndarray:
         choice = np.stack(np.meshgrid(*[np.arange(h.shape[1]) for h in hashes], indexing="ij"), -1).reshape(-1, how.width)
         cost = sum(gaps[w][:, choice[:, w]] ** 2 for w in range(how.width))
         best = np.argsort(cost, 1, kind="stable")[:, : how.probes]
-        key = np.full(best.shape, t, np.int64)
+        key = np.full(best.shape, t * 1_000_003 + length, np.int64)
         for w in range(how.width):
             key = key * (2 * dim) + np.take_along_axis(hashes[w], choice[best, w], 1)
         out.append(key)

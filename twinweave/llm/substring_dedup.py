@@ -99,7 +99,8 @@ def _batch(docs, starts, ends, digests, again) -> pa.RecordBatch:
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 120) -> DataFrame:
     """(id, start_byte, end_byte, first_id): spans of whole chunks that stand earlier, in this or another document.
 
-    ``first_id`` is the least document that holds the span's first chunk. A span
+    ``first_id`` is the least document that holds the span's first chunk, or the
+    document itself where that chunk stands earlier in it. A span
     is at least ``min_bytes`` long; a passage loses at most the parts of chunks
     at its two ends. Null, empty and short texts have no spans. Rows with a null
     id take no part. Rows that share an id are one document, so a repeated row
