@@ -157,7 +157,7 @@ def _checksum_groups(spark, sf_dir):
 _CG = "cg AS (SELECT min(id) AS group_id, count(*) AS n_members, (min(id) % 10) / 10.0::DOUBLE AS confidence, CASE WHEN min(id) % 2 = 0 THEN 'hash:0.30' ELSE 'policy.raw-jpeg' END AS second FROM assets GROUP BY checksum HAVING count(*) > 1)"
 
 
-@query("g06_calibration", f"WITH {A}, {_CG} SELECT count(*) AS groups, count(*) FILTER (confidence >= 0.85) AS duplicate, count(*) FILTER (confidence >= 0.6 AND confidence < 0.85) AS similar, count(*) FILTER (confidence < 0.6) AS different, round(avg(confidence), 9) AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence, count(*) AS with_checksum, count(*) FILTER (second = 'hash:0.30') AS with_hash, count(*) FILTER (second <> 'hash:0.30') AS with_policy, 0 AS with_metadata, CASE WHEN count(*) >= 10 THEN round(count(*) FILTER (confidence >= 0.85) / count(*), 9) END AS duplicate_rate FROM cg")
+@query("g06_calibration", f"WITH {A}, {_CG} SELECT count(*) AS groups, count(*) FILTER (confidence >= 0.85) AS duplicate, count(*) FILTER (confidence >= 0.6 AND confidence < 0.85) AS similar, count(*) FILTER (confidence < 0.6) AS different, round(avg(confidence), 9) AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence, count(*) AS with_checksum, count(*) FILTER (second = 'hash:0.30') AS with_hash, count(*) FILTER (second <> 'hash:0.30') AS with_policy, CAST(0 AS BIGINT) AS with_metadata, CASE WHEN count(*) >= 10 THEN round(count(*) FILTER (confidence >= 0.85) / count(*), 9) END AS duplicate_rate FROM cg")
 def g06(spark, sf_dir):
     return views.rounded(groups.calibration(_checksum_groups(spark, sf_dir)), 9)
 
