@@ -88,7 +88,9 @@ def hamming_pairs(hashes: DataFrame, distance: int = 5, bits: int = 64) -> DataF
     n = distance + 1
     cuts = [bits * i // n for i in range(n + 1)]
     values = hashes.select("hash").filter("hash is not null").distinct()
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)).alias("part")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    mask = lambda width: F.lit(-1 if width > 63 else (1 << width) - 1)
+    spans = enumerate(zip(cuts, cuts[1:], strict=False))
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", lo).bitwiseAND(mask(hi - lo)).alias("part")) for i, (lo, hi) in spans])
     x = values.select("hash", F.explode(bands).alias("key")).select(F.col("hash").alias("hash_a"), "key.band", "key.part")
     y = x.withColumnRenamed("hash_a", "hash_b")
     near = x.join(y, ["band", "part"]).filter("hash_a < hash_b").withColumn("distance", hamming("hash_a", "hash_b")).filter(F.col("distance") <= distance)

@@ -6,7 +6,7 @@ columns of a scanned file. Both engines compute them alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinweave.plans.session import table
@@ -15,11 +15,21 @@ from twinweave.plans.session import table
 EXTENSIONS = ("cr2", "jpg", "png", "jpg", "xmp", "heic", "mov", "mp4", "mp4", "mp3")
 
 
+def word_hash(text: str) -> Column:
+    """60 bits of the least and the greatest word of a text; edits elsewhere leave it as it is."""
+    words = F.split(text, r"\s+")
+    ends = F.concat(F.array_min(words), F.lit(" "), F.array_max(words))
+    return F.conv(F.substring(F.md5(ends), 1, 15), 16, 10).cast("long")
+
+
+WORD_HASH = r"CAST('0x' || substr(md5(list_min(regexp_split_to_array(text, '\s+')) || ' ' || list_max(regexp_split_to_array(text, '\s+'))), 1, 15) AS BIGINT)"
+
+
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: identity, file attributes, checksum, dimensions, duration, times, hashes, metadata."""
     digit = F.col("doc_id") % 10
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (digit + 1).cast("int"))
-    head = F.conv(F.substring(F.md5(F.substring("text", 1, 40)), 1, 15), 16, 10).cast("long")
+    head = word_hash("text")
     flip = F.when(F.col("doc_id") % 3 == 0, F.expr("shiftleft(1L, cast(doc_id % 60 as int))")).otherwise(F.lit(0).cast("long"))
     d = table(spark, sf_dir, "documents")
     return d.select(
@@ -44,7 +54,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ASSETS = """
+ASSETS = f"""
 assets AS (
   SELECT doc_id AS id, CASE WHEN doc_id % 10 < 6 THEN 'photo' WHEN doc_id % 10 < 9 THEN 'video' ELSE 'audio' END AS media_type,
          'IMG_' || CAST(doc_id // 4 AS VARCHAR) || CASE WHEN doc_id % 10 = 3 THEN '_copy' ELSE '' END || '.' || e AS file_name,
@@ -55,7 +65,7 @@ assets AS (
          CASE WHEN doc_id % 11 <> 0 THEN 1600000000 + doc_id % 1000 END AS created_s,
          1650000000 + n_chars % 1000 AS modified_s,
          CASE WHEN doc_id % 10 < 6 AND doc_id % 13 <> 0 THEN
-           xor(CAST('0x' || substr(md5(substr(text, 1, 40)), 1, 15) AS BIGINT), CASE WHEN doc_id % 3 = 0 THEN CAST(1 AS BIGINT) << CAST(doc_id % 60 AS INTEGER) ELSE 0 END) END AS dhash,
+           xor({WORD_HASH}, CASE WHEN doc_id % 3 = 0 THEN CAST(1 AS BIGINT) << CAST(doc_id % 60 AS INTEGER) ELSE 0 END) END AS dhash,
          CASE WHEN doc_id % 5 = 0 THEN 'cam-' || source END AS camera_model,
          CASE WHEN doc_id % 4 = 0 THEN CAST(n_chars % 180 AS DOUBLE) / 3 - 30 END AS gps_lat,
          CASE WHEN doc_id % 4 = 0 THEN CAST(n_chars % 360 AS DOUBLE) / 7 - 20 END AS gps_lon,
