@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -47,7 +48,7 @@ def rows_of(pdf):
     """Rows as sorted texts, columns by name, numbers rounded."""
 
     def cell(x):
-        if x is None or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NA or (isinstance(x, float) and x != x):
             return None
         if hasattr(x, "tolist"):
             x = x.tolist()
