@@ -111,9 +111,11 @@ def _compare(threshold: float):
         linked = unit[a] @ unit[b].T >= threshold
         if i == j:
             linked &= a[:, None] < b[None, :]
-        for p, q in zip(*np.nonzero(linked), strict=True):
-            common = np.intersect1d(keys[a[p]], keys[b[q]], assume_unique=True)
-            linked[p, q] = common[0] == bucket
+        p, q = np.nonzero(linked)
+        for c in range(0, len(p), 4096):
+            left, right = keys[a[p[c : c + 4096]]], keys[b[q[c : c + 4096]]]
+            met = ((left[:, :, None] == right[:, None, :]) & (left[:, :, None] < bucket)).any((1, 2))
+            linked[p[c : c + 4096][met], q[c : c + 4096][met]] = False
         links = np.zeros(len(node), np.int64)
         np.add.at(links, a, linked @ copies[b])
         np.add.at(links, b, linked.T @ copies[a])
