@@ -43,22 +43,26 @@ class PieceIndex:
     def __init__(self, pieces: tuple[str, ...]):
         self.of = {p: i for i, p in enumerate(pieces)}
         self.n = len(pieces)
-        self.longest = max(map(len, pieces))
+        # every beginning of a piece too, so that a search ends where none goes on
+        self.begins = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | self.of
 
     def matches(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """(word, start, end, piece) of every piece occurrence in every word, ordered by end."""
-        get, rows = self.of.get, []
+        get, flat = self.begins.get, []
+        put = flat.extend
         for w, word in enumerate(words):
             s = _START + word
             n = len(s)
             for i in range(n):
-                one = get(s[i])
-                rows.append((w, i, i + 1, self.n if one is None else one))
-                for j in range(i + 2, min(n, i + self.longest) + 1):
+                if get(s[i], -1) < 0:
+                    put((w, i, i + 1, self.n))
+                for j in range(i + 1, n + 1):
                     p = get(s[i:j])
-                    if p is not None:
-                        rows.append((w, i, j, p))
-        m = np.array(rows, np.int64).reshape(-1, 4)
+                    if p is None:
+                        break
+                    if p >= 0:
+                        put((w, i, j, p))
+        m = np.fromiter(flat, np.int64, len(flat)).reshape(-1, 4)
         return tuple(m[np.argsort(m[:, 2], kind="stable")].T)
 
     def forward(self, words: list[str], prob: np.ndarray, m=None) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +74,10 @@ class PieceIndex:
         bounds = np.searchsorted(end, np.arange(alpha.shape[1] + 1))
         for t in range(1, alpha.shape[1]):
             a, b = bounds[t], bounds[t + 1] if t + 1 < len(bounds) else len(end)
-            np.add.at(alpha, (word[a:b], t), alpha[word[a:b], start[a:b]] * prob[piece[a:b]])
+            if a < b:  # matches of one end are in order of words
+                w = word[a:b]
+                first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+                alpha[w[first], t] = np.add.reduceat(alpha[w, start[a:b]] * prob[piece[a:b]], first, axis=0)
         return alpha, alpha[np.arange(len(words)), length]
 
     def expected(self, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
@@ -188,7 +195,7 @@ class _Scores:
         if len(self.place) > _CACHE:
             self.place.clear()
         place = self.place
-        fresh = list(dict.fromkeys(w for ws in texts for w in ws if w not in place))
+        fresh = sorted(set().union(*texts) - place.keys())
         while len(self.table) < len(place) + len(fresh):
             self.table = np.concatenate((self.table, np.empty_like(self.table)))
         for i in range(0, len(fresh), 4000):
