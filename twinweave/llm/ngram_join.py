@@ -37,6 +37,7 @@ _WORD_CACHE = 200_000
 _BAND_RATIO = 1.5
 _STAR_ROUNDS = 3
 _HUB_ORDERS = 3
+_FEW = 24
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,14 +88,16 @@ def allocation(band: int, percent: int) -> tuple[int, int, int]:
     """(segments, of which the first q have allocation 2, slack) for pairs whose larger set is in the band.
 
     Cost: signatures emitted for a set of the band's largest size, plus a charge
-    for segments so small that unlike sets share them.
+    for segments so small that unlike sets share them. Deletions may not make
+    large sets emit more than one signature a unit of allocation.
     """
     top = _LOWS[band + 1] - 1
     most = 2 * top * (100 - percent) // (100 + percent)
     slack = max(2, most // 8)
     need = most + 1 + slack
-    cost = lambda q: (need - q) + q * top / (need - q) + 400 * (need - q) * math.exp(-top / (need - q))
-    q = min(range(need // 2 + 1), key=cost)
+    emitted = lambda q: (need - q) + q * top / (need - q)
+    cost = lambda q: emitted(q) + 400 * (need - q) * math.exp(-top / (need - q))
+    q = min((q for q in range(need // 2 + 1) if q == 0 or emitted(q) <= max(_FEW, need)), key=cost)
     return need - q, q, slack
 
 
@@ -222,6 +225,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Rows of buckets with two nodes or more.
     rows = linked.select("node", "n", F.explode("sigs").alias("sig"))
     shared = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("sig")
+    shared = scratch.stash(shared, "shared")
     members = scratch.stash(rows.join(shared, "sig").distinct().withColumn("comp", F.col("node")), "members")
 
     # Whole sets of all nodes in buckets, from one document each.
