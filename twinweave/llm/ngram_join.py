@@ -190,7 +190,7 @@ def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(split, "sig").select("node", "n", "sig", "comp")
 
 
-def _rare_shingles(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rare_shingles(scratch: Scratch, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, n, comp, place, shingle): of each open node so many of its rarest shingles that similar sets share one.
 
     In any one order of shingles, sets of similarity J that differ in none of
@@ -199,12 +199,13 @@ def _rare_shingles(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """
     nodes = open_.select("node", "n", "comp").distinct()
     each = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("set").alias("shingle"))
-    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
-    by_node = each.join(counts, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("s"))
-    first = F.size("s") - F.ceil(F.size("s") * percent / F.lit(100)) + 1
-    picked = by_node.select("node", F.posexplode(F.slice("s", F.lit(1), first.cast("int"))).alias("place", "x")).select("node", "place", "x.shingle", "x.held")
-    # a shingle of one open node has no partner
-    return picked.filter("held > 1").join(nodes, "node").select("node", "n", "comp", "place", "shingle")
+    held = scratch.stash(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "held")
+    by_node = each.join(held, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("s"))
+    # shingles of one open node come before all others and have no partner
+    by_node = by_node.join(nodes, "node").withColumn("alone", F.col("n") - F.size("s"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - F.col("alone")
+    picked = F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("pos", "x")
+    return by_node.select("node", "n", "comp", "alone", picked).select("node", "n", "comp", (F.col("alone") + F.col("pos")).alias("place"), "x.shingle")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -228,6 +229,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = scratch.stash(shared, "shared")
     members = scratch.stash(rows.join(shared, "sig").distinct().withColumn("comp", F.col("node")), "members")
 
+    # From here on signatures are those of members.
+    sketch, base = base, scratch.stash(base.drop("sigs"), "nodes")
+    scratch.drop(sketch)
+    linked = base.filter("node is not null and id is not null")
+
     # Whole sets of all nodes in buckets, from one document each.
     reps = linked.groupBy("node").agg(F.min("id").alias("id"))
     wanted = reps.join(members.select("node").distinct(), "node", "left_semi")
@@ -241,10 +247,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = scratch.stash(_verified(_star_pairs(open_, r, percent), sets, percent), f"links{r}")
         links = found if links is None else links.union(found)
         final = connected_components(links, "a", "b")
-        open_ = scratch.stash(_still_open(open_, final), f"open{r}")
+        before, open_ = open_, scratch.stash(_still_open(open_, final), f"open{r}")
+        scratch.drop(before)
 
     # What is left, say texts that share a very common passage: pairs in different components with a rare shingle in common.
-    rare = scratch.stash(_rare_shingles(open_, sets, percent), "rare")
+    rare = scratch.stash(_rare_shingles(scratch, open_, sets, percent), "rare")
     other = rare.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("place").alias("pb"))
     # from their first common shingle on, both must hold enough of theirs to reach the similarity
     reach = F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb"))
@@ -257,7 +264,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("id").alias("component_id"))
     of_node = nodes.join(least, "component").select("node", "component_id")
-    out = base.drop("sigs").join(of_node, "node", "left")
+    out = base.join(of_node, "node", "left")
     own = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
