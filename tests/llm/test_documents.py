@@ -243,6 +243,42 @@ def test_lm_scores(spark, docs, none):
     assert lm_scoring.with_lm_score(none, lm_scoring.fit(none, target.limit(0))).count() == 0
 
 
+def brute_lm(rows, target, prior=10.0):
+    """Losses of both models by plain dictionaries over all words and bigrams."""
+    from collections import Counter
+    from math import log
+
+    uni, two, ctx = ([Counter(), Counter()] for _ in range(3))
+    seqs = [(i, (t or "").encode().lower().split()) for i, t in rows]
+    for i, w in seqs:
+        for k in (0, 1) if i in target else (0,):
+            uni[k].update(w)
+            two[k].update(zip([None, *w], w, strict=False))
+            ctx[k].update([None, *w][: len(w)])
+    n, v = [sum(u.values()) for u in uni], [len(u) for u in uni]
+    base = lambda x: (uni[0][x] + 0.5) / (n[0] + 0.5 * v[0])
+    near = lambda x: (uni[1][x] + v[1] * base(x)) / (n[1] + v[1]) if n[1] else base(x)
+    loss = lambda w, k, p: -sum(log((two[k][a, b] + prior * p(b)) / (ctx[k][a] + prior)) for a, b in zip([None, *w], w, strict=False)) / len(w) if w else None
+    return sorted(((i, len(w), loss(w, 1, near), loss(w, 0, base)) for i, w in seqs), key=repr)
+
+
+@pytest.mark.parametrize("target", [[], [3, 5, 9, 9, None, 40]])
+@pytest.mark.parametrize("block_bytes", [600, 1 << 20])
+def test_lm_counts_every_word_and_bigram(spark, none, target, block_bytes):
+    rng = np.random.default_rng(8)
+    # 3000 kinds of words: more than the 1792 that the bounded form keeps
+    rows = [(i, " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.15, int(rng.integers(0, 200))), 3000))) for i in range(80)]
+    rows += [(80, " ".join(f"own{i}" for i in range(3000))), (81, None), (82, " \n"), (None, "w1 W2 w1"), (3, rows[3][1]), (83, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = lm_scoring.corpus_scores(docs, spark.createDataFrame([(i,) for i in target], "doc_id long"), block_bytes=block_bytes)
+    got = sorted(((r["doc_id"], r["n_words"], r["target_loss"], r["background_loss"]) for r in out.collect()), key=repr)
+    want = brute_lm(rows, {i for i in target if i is not None})
+    key = lambda r: (repr(r[0]), r[1])
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and g[2:] == (pytest.approx(w[2:], rel=1e-9) if w[1] else (None, None))
+    assert lm_scoring.corpus_scores(none, docs.limit(0)).count() == 0
+
+
 # n-gram join
 
 
