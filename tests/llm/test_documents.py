@@ -145,6 +145,15 @@ def test_boilerplate_lines(spark):
     assert out[201]["removed_words"] == 0 and out[201]["kept"]
 
 
+def test_boilerplate_verdict_holds_as_the_host_grows(spark):
+    fresh = lambda i: " ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}{'efghijklmn'[j % 10]}{'opqrstuvwx'[j // 10]}" for j in range(60))
+    rows = [(i, ("one footer here\n" if i < 21 else "rare line\n" if i < 41 else "") + fresh(i), "h") for i in range(1000)]
+    for n in (100, 1000):
+        out = quality_rules.quality_rules(spark.createDataFrame(rows[:n], "doc_id long, text string, source string"))
+        assert {r["doc_id"] for r in out.filter("removed_words = 3").collect()} == set(range(21))
+        assert out.filter("removed_words > 0").count() == 21
+
+
 def test_rules_on_nothing(none):
     assert quality_rules.quality_rules(none).count() == 0
 
