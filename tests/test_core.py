@@ -144,6 +144,16 @@ def test_negative_hash_distance(spark):
     assert spark.createDataFrame([(-1, 0)], "a long, b long").select(hamming("a", "b")).first()[0] == 64
 
 
+def test_bucket_members_have_no_size_limit(make):
+    rows = [asset(i, "same.jpg", 1000, width=10, height=10, created_s=i) for i in range(300)] + [asset(900, "one.jpg", 10**9, width=9000, height=9000)]
+    got = groups.bucket_members(make(*reversed(rows))).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["pos"]):
+        by.setdefault(r["bucket"], []).append((r["pos"], r["id"]))
+    assert sorted(by.values(), key=len) == [[(1, 900)], [(i + 1, i) for i in range(300)]]
+    assert groups.compared_members(make(*rows)).count() == 0
+
+
 def test_keepers(make):
     a = make(
         asset(1, "b.jpg", 10, width=10, height=10, created_s=5, modified_s=1), asset(2, "a.png", 20, width=10, height=10, modified_s=9), asset(3, "c.mov", 99, "video", width=99, height=99, created_s=1, capture_s=2, keywords=["k"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.operators.components import connected_components
@@ -24,13 +24,17 @@ def candidate_buckets(assets: DataFrame, t: Thresholds = Thresholds()) -> DataFr
     return b.filter("n > 1").withColumn("comparisons", F.expr("n * (n - 1) div 2"))
 
 
-def bucket_members(assets: DataFrame, limits: Limits = Limits(), t: Thresholds = Thresholds()) -> DataFrame:
-    """G1: member ids of each bucket up to the size limit, in order of (name, created, id)."""
-    b = bucketed(assets, t)
-    sized = b.groupBy("media_type", "bucket").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("n") <= limits.bucket_size))
-    late = F.coalesce("created_s", F.lit(1 << 62))
-    members = F.sort_array(F.collect_list(F.struct("file_name", late.alias("created"), "id")))
-    return b.join(sized, ["media_type", "bucket"]).groupBy("media_type", "bucket").agg(F.transform(members, lambda x: x["id"]).alias("members"))
+def bucket_members(assets: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """G1: (media_type, bucket, pos, id): the members of every bucket, of one file too, in order of (name, created, id)."""
+    order = Window.partitionBy("media_type", "bucket").orderBy("file_name", F.col("created_s").asc_nulls_last(), "id")
+    return bucketed(assets, t).select("media_type", "bucket", F.row_number().over(order).alias("pos"), "id")
+
+
+def compared_members(assets: DataFrame, limits: Limits = Limits(), t: Thresholds = Thresholds()) -> DataFrame:
+    """Member ids of each bucket that is compared, as an array: those of two files up to the size limit."""
+    sized = candidate_buckets(assets, t).filter(F.col("n") <= limits.bucket_size).select("media_type", "bucket")
+    members = F.sort_array(F.collect_list(F.struct("pos", "id")))
+    return bucket_members(assets, t).join(sized, ["media_type", "bucket"]).groupBy("media_type", "bucket").agg(F.transform(members, lambda x: x["id"]).alias("members"))
 
 
 def detection_edges(assets: DataFrame, w: Weights = Weights(), t: Thresholds = Thresholds(), limits: Limits = Limits(), ignored: DataFrame | None = None) -> DataFrame:

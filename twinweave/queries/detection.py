@@ -97,7 +97,12 @@ def g01(spark, sf_dir):
 
 @query("g01_bucket_members", f"WITH {A}, {BUCKETS} SELECT media_type, bucket, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS members FROM placed GROUP BY media_type, bucket")
 def g01b(spark, sf_dir):
-    return groups.bucket_members(views.assets(spark, sf_dir)).withColumn("members", F.array_join("members", ","))
+    return groups.compared_members(views.assets(spark, sf_dir)).withColumn("members", F.array_join("members", ","))
+
+
+@query("g01_all_bucket_members", f"WITH {A}, {BUCKETS} SELECT media_type, bucket, row_number() OVER (PARTITION BY media_type, bucket ORDER BY file_name, created_s NULLS LAST, id) AS pos, id FROM s")
+def g01c(spark, sf_dir):
+    return groups.bucket_members(views.assets(spark, sf_dir))
 
 
 @query(
