@@ -5,15 +5,18 @@ whose larger set is in band k, the symmetric difference is at most H(k), so if
 the shingle universe is hashed into segments with allocations a_i whose sum is
 at least H + 1 + slack, segments of total allocation above the slack differ in
 fewer than a_i shingles. Allocation 1 indexes the segment's subset itself;
-allocation 2 also indexes its one-deletion neighbourhood. The split of a band
-into segments is chosen by cost. A set may leave out empty segments of
-allocation 1 up to the slack: a pair that agrees there agrees elsewhere too.
-
-Equal sets are one node. Nodes that share a signature are candidates: first, in
-rounds, each with a hub of the bucket. Nodes of buckets that still hold several
-components are then paired by their rarest shingles, which is exact too and
-keeps a very common passage from pairing all texts that hold it. Every
-candidate is verified on whole sets.
+allocation 2 also indexes its one-deletion neighbourhood; allocation 0 leaves a
+segment out. The split of a band into segments is chosen by cost. A set may
+leave out empty segments up to the slack, and costly ones (whose subset very
+many sets share, say a common passage) with what then remains of the slack: a
+pair that agrees there agrees elsewhere too.
+
+Equal sets are one node. Nodes that share a signature are candidates: in small
+buckets all of them, in large ones each with a hub, in rounds. Sets that have
+more costly segments than their slack allows, and whose large buckets still hold
+several components, are met in segments of one shingle, rare ones first. Parity
+bitmaps bound the difference of a pair from below and drop most candidates; the
+others are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -35,9 +38,13 @@ from twinweave.plans.scratch import Scratch
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _WORD_CACHE = 200_000
 _BAND_RATIO = 1.5
-_STAR_ROUNDS = 3
+_STAR_ROUNDS = 2
 _HUB_ORDERS = 3
 _FEW = 24
+#: Signatures are indexed in so many turns, by their hash, so that a part of them is on disk at once.
+_TURNS = 4
+#: Buckets of at most so many nodes compare all pairs.
+_SMALL = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -101,12 +108,16 @@ def allocation(band: int, percent: int) -> tuple[int, int, int]:
     return need - q, q, slack
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set in its own band and in each higher band where a partner may be the larger set."""
+def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Signatures of a set in its own band and in each higher band where a partner may be the larger set.
+
+    With them the spare slack: in each band, so many signatures may be left out
+    besides the empty segments.
+    """
     n = len(s)
     if not n:
-        return np.empty(0, np.int64)
-    out = []
+        return np.empty(0, np.int64), 0
+    out, spare = [], 1 << 30
     band = bisect_right(_LOWS, n) - 1
     mixed = _mix(s)
     while _LOWS[band] * percent <= 100 * n or _LOWS[band] <= n:
@@ -120,11 +131,19 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         name = _mix((np.arange(m, dtype=np.uint64) + np.uint64(1)) * _M1 + np.uint64(band))
         own = _mix(sums * _M2 + name)
         out.append(own[~empty] if empty.sum() <= slack else own)
+        spare = min(spare, max(0, slack - int(empty.sum())) // (2 if q else 1))
         if q:
             near = seg < q
             out.append(_mix((sums[seg[near]] - mixed[near]) * _M2 + name[seg[near]]))
         band += 1
-    return np.unique(np.concatenate(out)).view(np.int64)
+    return np.unique(np.concatenate(out)).view(np.int64), spare
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bitmap of at least as many bits as the set has shingles, a power of two; a bit is the parity of its shingles."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    ones = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def node_of(s: np.ndarray) -> int | None:
@@ -132,19 +151,35 @@ def node_of(s: np.ndarray) -> int | None:
     return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
 
 
+def _lists(parts: list[np.ndarray], keep: np.ndarray | None = None) -> pa.ListArray:
+    """A list for each array, of its values where ``keep`` holds for all of them in a row."""
+    sizes = np.array([len(x) for x in parts], np.int64)
+    flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
+    if keep is not None:
+        sizes = np.bincount(np.repeat(np.arange(len(parts)), sizes)[keep], minlength=len(parts))
+        flat = flat[keep]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat, pa.int64()))
+
+
+_SKETCH = "id long, n long, node long, spare int, bits array<long>, " + ", ".join(f"sigs{k} array<long>" for k in range(_TURNS))
+
+
 def _sketch(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, nodes, sigs = [], [], []
+            sizes, nodes, spares, bits, sigs = [], [], [], [], []
             for t in b.column(1).cast(pa.binary()):
                 s = shingle_set(t.as_py(), width)
+                found, spare = signatures(s, percent)
                 sizes.append(len(s))
                 nodes.append(node_of(s))
-                sigs.append(signatures(s, percent))
-            flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["id", "n", "node", "sigs"])
+                spares.append(spare)
+                bits.append(parity(s) if len(s) else np.empty(0, np.int64))
+                sigs.append(found)
+            turn = (np.concatenate(sigs) if sigs else np.empty(0, np.int64)) % _TURNS
+            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(spares, pa.int32()), _lists(bits)]
+            columns += [_lists(sigs, turn == k) for k in range(_TURNS)]
+            yield pa.record_batch(columns, names=["id", "n", "node", "spare", "bits", *(f"sigs{k}" for k in range(_TURNS))])
 
     return run
 
@@ -160,6 +195,28 @@ def _sets(width: int):
     return run
 
 
+def _near_size(x: str, y: str, percent: int):
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _differing_bits(x: str, y: str):
+    """Bits in which two parity bitmaps differ, the longer one folded; never more than the shingles that one set only has."""
+
+    def folded(of: str, to: str):
+        every = lambda i: F.sequence(i, F.size(of) - 1, F.size(to))
+        halves = F.transform(F.sequence(F.lit(0), F.size(to) - 1), lambda i: F.aggregate(every(i), F.lit(0).cast("long"), lambda a, j: a.bitwiseXOR(F.get(of, j))))
+        return F.when(F.size(of) > F.size(to), halves).otherwise(F.col(of))
+
+    return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) whose parity bitmaps don't differ in more bits than similar sets may in shingles."""
+    of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    both = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    return both.filter((100 + percent) * _differing_bits("bitsa", "bitsb") <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets' Jaccard similarity is at least percent / 100."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
@@ -169,45 +226,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * F.col("same") >= percent * F.col("total")).select("a", "b")
 
 
-def _star_pairs(members: DataFrame, r: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of a member and its bucket's hub.
+def _buckets(placed: DataFrame, r: int) -> DataFrame:
+    """(sig, size, hub) of buckets that hold more than one component.
 
     Hubs are the first by a seeded order of nodes, of which there are a few, so
     a group that shares many buckets has few hubs and its members meet each once.
     """
     order = F.xxhash64(F.lit(r), F.pmod("sig", F.lit(_HUB_ORDERS)), "node")
-    hubs = members.groupBy("sig").agg(F.min_by(F.struct("node", "n", "comp"), order).alias("hub"))
-    pairs = members.join(hubs, "sig").filter(
-        (F.col("comp") != F.col("hub.comp")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
-    )
-    return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    hub = F.min_by(F.struct("node", "n", "comp"), order).alias("hub")
+    found = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub)
+    return found.filter("lo <> hi").select("sig", "size", "hub")
+
 
+def _star_pairs(placed: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a member of a large bucket and the bucket's hub, in different components."""
+    met = placed.join(buckets.filter(F.col("size") > _SMALL).select("sig", "hub"), "sig")
+    pairs = met.filter((F.col("comp") != F.col("hub.comp")) & _near_size("n", "hub.n", percent))
+    return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
 
-def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of buckets that still hold more than one component, with the components as they are now."""
-    placed = members.drop("comp").join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-    return placed.join(split, "sig").select("node", "n", "sig", "comp")
+
+def _small_pairs(placed: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one small bucket, in different components."""
+    met = placed.join(buckets.filter(F.col("size") <= _SMALL).select("sig"), "sig")
+    other = met.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    pairs = met.join(other, "sig").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("cb")) & _near_size("n", "nb", percent))
+    return pairs.select(F.col("node").alias("a"), "b")
 
 
 def _rare_shingles(scratch: Scratch, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, n, comp, place, shingle): of each open node so many of its rarest shingles that similar sets share one.
 
-    In any one order of shingles, sets of similarity J that differ in none of
-    their first n - ceil(J n) + 1 shingles can't be similar; rare ones first,
-    a passage that many texts share brings none of them together.
+    These are segments of one shingle, with allocation 0 from the common ones on:
+    in any one order of shingles, sets of similarity J that differ in all of
+    their first n - ceil(J n) + 1 shingles can't be similar; rare ones first, a
+    passage that many texts share brings none of them together.
     """
-    nodes = open_.select("node", "n", "comp").distinct()
-    each = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("set").alias("shingle"))
+    each = sets.select("node", F.explode("set").alias("shingle"))
     held = scratch.stash(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "held")
     by_node = each.join(held, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("s"))
     # shingles of one open node come before all others and have no partner
-    by_node = by_node.join(nodes, "node").withColumn("alone", F.col("n") - F.size("s"))
+    by_node = by_node.join(open_, "node").withColumn("alone", F.col("n") - F.size("s"))
     first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - F.col("alone")
     picked = F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("pos", "x")
     return by_node.select("node", "n", "comp", "alone", picked).select("node", "n", "comp", (F.col("alone") + F.col("pos")).alias("place"), "x.shingle")
 
 
+def _rare_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open nodes in different components that share a rare shingle."""
+    other = rare.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("place").alias("pb"))
+    # from their first common shingle on, both must hold enough of theirs to reach the similarity
+    reach = F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb"))
+    crossed = rare.join(other, "shingle").filter(
+        (F.col("node") < F.col("b")) & (F.col("comp") != F.col("cb")) & ((100 + percent) * reach >= percent * (F.col("n") + F.col("nb")))
+    )
+    return crossed.select(F.col("node").alias("a"), "b")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``.
 
@@ -220,50 +294,60 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     scratch = Scratch(docs.sparkSession, "ngram")
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = scratch.stash(keyed.mapInArrow(_sketch(width, percent), "id long, n long, node long, sigs array<long>"), "sketch")
-    linked = base.filter("node is not null and id is not null")
+    sketch = scratch.stash(keyed.mapInArrow(_sketch(width, percent), _SKETCH), "sketch")
+    linked = sketch.filter("node is not null and id is not null")
 
     # Rows of buckets with two nodes or more.
-    rows = linked.select("node", "n", F.explode("sigs").alias("sig"))
-    shared = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("sig")
-    shared = scratch.stash(shared, "shared")
-    members = scratch.stash(rows.join(shared, "sig").distinct().withColumn("comp", F.col("node")), "members")
-
-    # From here on signatures are those of members.
-    sketch, base = base, scratch.stash(base.drop("sigs"), "nodes")
+    turns = []
+    for k in range(_TURNS):
+        rows = linked.select("node", "n", F.explode(f"sigs{k}").alias("sig"))
+        shared = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("sig")
+        shared = scratch.stash(shared, "shared")
+        turns.append(scratch.stash(rows.join(shared, "sig").distinct(), "members"))
+        scratch.drop(shared)
+    members = reduce(DataFrame.union, turns)
+    base = scratch.stash(sketch.select("id", "n", "node"), "sizes")
+    nodes = linked.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "spare", "bits")))
+    nodes = scratch.stash(nodes, "nodes")
     scratch.drop(sketch)
-    linked = base.filter("node is not null and id is not null")
 
-    # Whole sets of all nodes in buckets, from one document each.
-    reps = linked.groupBy("node").agg(F.min("id").alias("id"))
-    wanted = reps.join(members.select("node").distinct(), "node", "left_semi")
-    texts = keyed.join(wanted, "id").select("node", "text")
-    sets = scratch.stash(texts.mapInArrow(_sets(width), "node long, set array<long>").dropDuplicates(["node"]), "sets")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Whole sets of nodes, from one document each."""
+        texts = keyed.join(nodes.join(wanted.distinct(), "node").select("node", "id"), "id").select("node", "text")
+        return texts.mapInArrow(_sets(width), "node long, set array<long>").dropDuplicates(["node"])
+
+    def linked_pairs(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        near = scratch.stash(_possible(pairs, nodes, percent), "possible")
+        sets = sets or scratch.stash(sets_of(near.select(F.col("a").alias("node")).union(near.select("b"))), "sets")
+        found = scratch.stash(_verified(near, sets, percent), "links")
+        scratch.drop(near)
+        scratch.drop(sets)
+        return found
 
-    # Rounds of stars: each member against one hub of its bucket, unless both are in one component already.
-    links = None
-    open_ = members
+    placed, links = members.withColumn("comp", F.col("node")), None
     for r in range(_STAR_ROUNDS):
-        found = scratch.stash(_verified(_star_pairs(open_, r, percent), sets, percent), f"links{r}")
+        buckets = scratch.stash(_buckets(placed, r), "buckets")
+        pairs = _star_pairs(placed, buckets, percent)
+        found = linked_pairs(pairs if r else pairs.union(_small_pairs(placed, buckets, percent)))
         links = found if links is None else links.union(found)
         final = connected_components(links, "a", "b")
-        before, open_ = open_, scratch.stash(_still_open(open_, final), f"open{r}")
+        scratch.drop(buckets)
+        labelled = members.join(final.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        before, placed = placed, scratch.stash(labelled, "placed")
         scratch.drop(before)
 
-    # What is left, say texts that share a very common passage: pairs in different components with a rare shingle in common.
+    # What is left, say texts of which a very common passage is the greater part.
+    costly = placed.join(_buckets(placed, 0).filter(F.col("size") > _SMALL).select("sig"), "sig")
+    open_ = costly.groupBy("node").agg(F.count(F.lit(1)).alias("costly"), F.first("n").alias("n"), F.first("comp").alias("comp"))
+    open_ = open_.join(nodes.select("node", "spare"), "node").filter("costly > spare").select("node", "n", "comp")
+    open_ = scratch.stash(open_, "open")
+    sets = scratch.stash(sets_of(open_.select("node")), "open-sets")
     rare = scratch.stash(_rare_shingles(scratch, open_, sets, percent), "rare")
-    other = rare.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("place").alias("pb"))
-    # from their first common shingle on, both must hold enough of theirs to reach the similarity
-    reach = F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb"))
-    crossed = rare.join(other, "shingle").filter(
-        (F.col("node") < F.col("b")) & (F.col("comp") != F.col("cb")) & ((100 + percent) * reach >= percent * (F.col("n") + F.col("nb")))
-    )
-    more = scratch.stash(_verified(crossed.select(F.col("node").alias("a"), "b").distinct(), sets, percent), "links-rest")
-    final = connected_components(links.union(more), "a", "b")
+    final = connected_components(links.union(linked_pairs(_rare_pairs(rare, percent), sets)), "a", "b")
 
-    nodes = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = nodes.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_node = nodes.join(least, "component").select("node", "component_id")
+    grouped = nodes.select("node", "id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_node = grouped.join(least, "component").select("node", "component_id")
     out = base.join(of_node, "node", "left")
     own = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
