@@ -134,3 +134,8 @@ def top_n(df: DataFrame, order: list, n: int) -> DataFrame:
 
 def ranked(df: DataFrame, keys: list[str], order: list, out: str = "rank") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def group_files(members: DataFrame, assets: DataFrame) -> DataFrame:
+    """The files of each group: ``members`` (group_id, id) with the assets' columns; members without a file are left out."""
+    return members.select("group_id", "id").join(assets, "id").select("group_id", *assets.columns)

@@ -95,6 +95,13 @@ def group_results(edges: DataFrame, members: DataFrame, evidence: DataFrame, ass
     )
 
 
+def explained(results: DataFrame, evidence: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row a member and signal of the groups in ``wanted`` (group_id), with the group's rationale and whether the member is kept."""
+    of = results.join(wanted.select("group_id").distinct(), "group_id", "left_semi").select("group_id", "keeper_id", "rationale")
+    rows = of.join(evidence.select("group_id", "id", "confidence", F.explode_outer("signals").alias("s")), "group_id")
+    return rows.select("group_id", "id", (F.col("id") == F.col("keeper_id")).alias("is_keeper"), "confidence", "s.key", "s.contribution", "s.note", "rationale")
+
+
 def evidence_text(key: Column, contribution: Column, raw: Column, note: Column, media: Column, t: Thresholds = Thresholds()) -> tuple[Column, Column, Column]:
     """(distance, threshold, verdict) of a signal for people."""
     verdict = F.when((contribution > 0.3) | (raw >= 1), "pass").when(contribution > 0.1, "warn").otherwise("fail")

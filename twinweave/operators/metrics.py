@@ -156,12 +156,16 @@ def trends(samples: DataFrame, value: str, unit: str = "month", order: tuple[str
     """Average in each hour, day, week (from Monday) or month and its direction.
 
     The first half of a period's rows is held against the second; the middle row
-    of an odd number is in neither. No base, no direction.
+    of an odd number is in neither. No base, no direction. ``order`` begins with
+    the seconds: rows are counted by second, and put in order within one only.
     """
     at = F.date_trunc(unit, F.timestamp_seconds("ts"))
     rows = samples.select(F.unix_timestamp(at).alias("period_s"), F.col(value).alias("v"), *order)
     w = Window.partitionBy("period_s")
-    rows = rows.withColumns({"r": F.row_number().over(w.orderBy(*order)), "n": F.count(_N).over(w)})
+    seconds = rows.groupBy("period_s", order[0]).agg(F.count(_N).alias("k"))
+    seconds = seconds.withColumns({"before": F.sum("k").over(w.orderBy(order[0])) - F.col("k"), "n": F.sum("k").over(w)}).drop("k")
+    rows = rows.join(seconds, ["period_s", order[0]])
+    rows = rows.withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("period_s", order[0]).orderBy(*order)))
     half = F.expr("n div 2")
     m = rows.groupBy("period_s").agg(
         F.count(_N).alias("n"), F.avg("v").alias("average"), F.avg(F.when(F.col("r") <= half, F.col("v"))).alias("first"), F.avg(F.when(F.col("r") > F.col("n") - half, F.col("v"))).alias("second")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.functions.fingerprints import extension, hamming, match_confidence, pair, signature, size_category, stem
 from twinweave.plans.config import Limits, Thresholds, Weights
+from twinweave.plans.scratch import Scratch
 
 #: Extensions of raw camera files (fixed values).
 RAW = ["raw", "cr2", "cr3", "nef", "nrw", "arw", "dng", "orf", "pef", "rw2", "raf", "sr2", "srw"]
@@ -78,36 +81,65 @@ def blocked_pairs(assets: DataFrame, limits: Limits = Limits(), skip: DataFrame
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= limits.comparisons_per_bucket).select("media_type", "bucket", "a", "b")
 
 
+def shared_algorithms(a: str, b: str) -> Column:
+    """Names of the algorithms that both maps (algorithm to hash) have, in the first one's order."""
+    return F.array_intersect(F.map_keys(a), F.map_keys(b))
+
+
+def _bands_together(n: int, distance: int, bits: int = 64) -> int:
+    """How many bands a key joins: as few as leave about 8 of ``n`` evenly spread hashes to a key, 4 at most."""
+    for k in range(1, 4):
+        if n <= 8 * 2 ** (bits * k / (distance + k)):
+            return k
+    return 4
+
+
+def band_keys(hash_col: str, distance: int, together: int, bits: int = 64) -> Column:
+    """Array of keys of a hash: two hashes within ``distance`` bits have a key in common.
+
+    Of distance + together bands, a difference of ``distance`` bits leaves
+    ``together`` alone; each choice of so many bands is a key.
+    """
+    n = distance + together
+    cuts = [bits * i // n for i in range(n + 1)]
+    band = [((1 << hi) - (1 << lo)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    masks = [sum(c) for c in combinations(band, together)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*[F.struct(F.lit(i).alias("band"), F.col(hash_col).bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)])
+
+
 def hamming_pairs(hashes: DataFrame, distance: int = 5, bits: int = 64) -> DataFrame:
     """Pairs (hash_a < hash_b, distance) of different hash values within ``distance`` bits.
 
-    distance + 1 bands: two hashes within the distance agree in one band. Equal
+    Candidates are values with a key of ``band_keys`` in common; keys get longer
+    as the table grows, so that a value meets a few others by chance. Equal
     hashes are one value here (E4), so copies don't multiply. ``hashes`` has a
     column ``hash``; nulls are left out.
     """
-    n = distance + 1
-    cuts = [bits * i // n for i in range(n + 1)]
-    values = hashes.select("hash").filter("hash is not null").distinct()
-    mask = lambda width: F.lit(-1 if width > 63 else (1 << width) - 1)
-    spans = enumerate(zip(cuts, cuts[1:], strict=False))
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", lo).bitwiseAND(mask(hi - lo)).alias("part")) for i, (lo, hi) in spans])
-    x = values.select("hash", F.explode(bands).alias("key")).select(F.col("hash").alias("hash_a"), "key.band", "key.part")
+    scratch = Scratch(hashes.sparkSession, "hamming")
+    values = scratch.stash(hashes.select("hash").filter("hash is not null").distinct(), "values")
+    keys = band_keys("hash", distance, _bands_together(values.count(), distance, bits), bits)
+    x = values.select("hash", F.explode(keys).alias("key")).select(F.col("hash").alias("hash_a"), "key.band", "key.part")
     y = x.withColumnRenamed("hash_a", "hash_b")
     near = x.join(y, ["band", "part"]).filter("hash_a < hash_b").withColumn("distance", hamming("hash_a", "hash_b")).filter(F.col("distance") <= distance)
     return near.select("hash_a", "hash_b", "distance").distinct()
 
 
-def within_distance(hashes: DataFrame, probes: DataFrame, distance: int = 5) -> DataFrame:
+def within_distance(hashes: DataFrame, probes: DataFrame, distance: int = 5, bits: int = 64) -> DataFrame:
     """For each probe (id, hash) the other files within ``distance``, with C2's confidence and flags.
 
-    ``hashes`` and ``probes`` have (id, hash); a probe's own id is left out.
+    ``hashes`` and ``probes`` have (id, hash); a probe's own id is left out. Only
+    the probes' keys are looked up among those of all hash values.
     """
-    near = hamming_pairs(hashes.select("hash").union(probes.select("hash")), distance)
-    both = near.union(near.select("hash_b", "hash_a", "distance"))
-    values = probes.select("hash").distinct().filter("hash is not null")
-    both = both.union(values.select(F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).alias("distance")))
-    p = probes.select(F.col("id").alias("probe_id"), F.col("hash").alias("hash_a"))
-    found = p.join(both, "hash_a").join(hashes.select(F.col("id").alias("file_id"), F.col("hash").alias("hash_b")), "hash_b").filter("probe_id <> file_id")
+    scratch = Scratch(hashes.sparkSession, "lookup")
+    index = scratch.stash(hashes.select("id", "hash").filter("hash is not null"), "index")
+    asked = scratch.stash(probes.select("id", "hash").filter("hash is not null"), "asked")
+    together = _bands_together(index.count(), distance, bits)
+    keyed = lambda df, name: df.select("hash").distinct().select(F.col("hash").alias(name), F.explode(band_keys("hash", distance, together, bits)).alias("key"))
+    met = keyed(asked, "hash_a").join(keyed(index, "hash_b"), "key").select("hash_a", "hash_b", hamming("hash_a", "hash_b").alias("distance"))
+    near = met.filter(F.col("distance") <= distance).distinct()
+    p = asked.select(F.col("id").alias("probe_id"), F.col("hash").alias("hash_a"))
+    found = p.join(near, "hash_a").join(index.select(F.col("id").alias("file_id"), F.col("hash").alias("hash_b")), "hash_b").filter("probe_id <> file_id")
     return found.select(
         "probe_id", "file_id", "distance", match_confidence("distance").alias("confidence"), (F.col("distance") == 0).alias("is_exact"), (F.col("distance") <= 5).alias("is_near")
     )

@@ -66,9 +66,12 @@ def a05(spark, sf_dir):
     return views.files(spark, sf_dir).select("file_id", fs.excluded().alias("excluded"))
 
 
-@query("a05_excluded_by_rule_table", f"WITH {FILES} SELECT file_id FROM files WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey < 10 AND contains(path, lower(substr(n_name, 1, 2))))")
+@query("a05_excluded_by_rule_table", f"WITH {FILES} SELECT file_id FROM files WHERE NOT EXISTS (SELECT 1 FROM nation WHERE contains(path, CAST(n_nationkey AS VARCHAR) || '#') OR starts_with(path, '/' || chr(97 + n_nationkey % 13)) OR suffix(path, substr(CAST(n_nationkey * 7 AS VARCHAR), 1, 2)))")
 def a05b(spark, sf_dir):
-    rules = table(spark, sf_dir, "nation").filter("n_nationkey < 10").select(F.lit("contains").alias("kind"), F.lower(F.substring("n_name", 1, 2)).alias("text"))
+    n = table(spark, sf_dir, "nation")
+    rule = lambda kind, text: n.select(F.lit(kind).alias("kind"), text.alias("text"))
+    rules = rule("contains", F.concat(F.col("n_nationkey").cast("string"), F.lit("#"))).union(rule("prefix", F.concat(F.lit("/"), F.chr(97 + F.col("n_nationkey") % 13))))
+    rules = rules.union(rule("suffix", F.substring((F.col("n_nationkey") * 7).cast("string"), 1, 2)))
     return fs.excluded_by_table(views.files(spark, sf_dir), rules).select("file_id")
 
 
@@ -119,8 +122,8 @@ def a11(spark, sf_dir):
 
 @query("a12_json_export", f"WITH {views.DECISIONS} SELECT group_id, '{{\"group_id\":' || group_id || ',\"accepted\":' || accepted || '}}' AS json FROM decisions")
 def a12(spark, sf_dir):
-    d = views.decisions(spark, sf_dir)
-    return d.select("group_id", F.to_json(F.struct("group_id", "accepted")).alias("json"))
+    d = views.decisions(spark, sf_dir).select("group_id", "accepted")
+    return fs.as_json(d).select(F.get_json_object("json", "$.group_id").cast("long").alias("group_id"), "json")
 
 
 _OUTCOME = f"CASE WHEN {' OR '.join(f'''contains(lower(path), '{m}')''' for m in fs.LIBRARIES)} THEN 'error' WHEN {_EXCLUDED} THEN 'skipped' WHEN {_EXT.format('path')} IN ({_KNOWN}) OR ({_SNIFF}) IS NOT NULL THEN 'item' ELSE 'skipped' END"
@@ -184,7 +187,15 @@ def videos_with_frames(spark, sf_dir):
     return images.video_signatures(videos, frames)
 
 
-@query("b05_video_signatures")
+#: Needs ``assets``; gives ``sigs`` (id, frames): of each sample time the nearest frame's hash.
+FRAMES = f"""{_TIMES},
+ats AS (SELECT id, d, CASE WHEN len(u) = 1 AND d > 0 AND abs(u[1] - f) > 0.05 THEN list_append(list_sort(u), f) ELSE list_sort(u) END AS ts FROM (SELECT *, greatest(d - least(d, 0.1::DOUBLE), 0) AS f FROM k)),
+vf AS (SELECT a.id, k.k * a.duration_sec / 20 AS t, xor({views.WORD_HASH}, CAST(1 AS BIGINT) << CAST((k.k * (1 + a.id % 2)) % 60 AS INTEGER)) AS dhash FROM assets a JOIN documents ON doc_id = a.id, (SELECT unnest(range(0, 21)) AS k) k WHERE media_type = 'video'),
+near AS (SELECT id, pos, arg_min(dhash, (abs(t - ts[pos]), t)) AS h FROM (SELECT id, ts, unnest(range(1, len(ts) + 1)) AS pos FROM ats) JOIN vf USING (id) GROUP BY id, pos),
+sigs AS (SELECT id, list(h ORDER BY pos) AS frames FROM near GROUP BY id)"""
+
+
+@query("b05_video_signatures", f"WITH {A}, {FRAMES} SELECT a.id, duration_sec, frames FROM assets a LEFT JOIN sigs USING (id) WHERE media_type = 'video'")
 def b05(spark, sf_dir):
     return videos_with_frames(spark, sf_dir)
 

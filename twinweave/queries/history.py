@@ -13,9 +13,10 @@ from twinweave.queries.lookups import _ORDERS
 A, T = views.ASSETS, views.TRANSACTIONS
 _KEPT = f"k AS (SELECT id // 7 AS group_id, first(id ORDER BY {_ORDERS['intelligent']}) AS keeper_id FROM assets GROUP BY id // 7), m AS (SELECT a.*, k.group_id, k.keeper_id, a.id = k.keeper_id AS own FROM assets a JOIN k ON k.group_id = a.id // 7)"
 _MERGED = f"""{_KEPT}, g AS (
-  SELECT group_id, keeper_id, max(capture_s) FILTER (own) AS keeper_capture_s, max(gps_lat) FILTER (own) AS keeper_gps_lat, max(camera_model) FILTER (own) AS keeper_camera_model,
+  SELECT group_id, keeper_id, max(capture_s) FILTER (own) AS keeper_capture_s, max(gps_lat) FILTER (own) AS keeper_gps_lat, max(gps_lon) FILTER (own) AS keeper_gps_lon, max(camera_model) FILTER (own) AS keeper_camera_model,
          max(array_to_string(keywords, ',')) FILTER (own) AS keeper_keywords, coalesce(max(capture_s) FILTER (own), min(capture_s) FILTER (NOT own)) AS capture_s,
          coalesce(max(gps_lat) FILTER (own), first(gps_lat ORDER BY id) FILTER (NOT own AND gps_lat IS NOT NULL)) AS gps_lat,
+         coalesce(max(gps_lon) FILTER (own), first(gps_lon ORDER BY id) FILTER (NOT own AND gps_lon IS NOT NULL)) AS gps_lon,
          coalesce(max(camera_model) FILTER (own), first(camera_model ORDER BY id) FILTER (NOT own AND camera_model IS NOT NULL)) AS camera_model,
          nullif(array_to_string(list_sort(list_distinct(flatten(list(keywords) FILTER (keywords IS NOT NULL)))), ','), '') AS keywords, list_sort(list(id) FILTER (NOT own)) AS removed
   FROM m GROUP BY group_id, keeper_id)"""
@@ -33,10 +34,10 @@ def j01(spark, sf_dir):
 
 @query(
     "j02_c30_field_changes",
-    f"WITH {A}, {_MERGED} SELECT group_id, 'capture_s' AS field, CASE WHEN coalesce(CAST(keeper_capture_s AS VARCHAR), '') <> coalesce(CAST(capture_s AS VARCHAR), '') THEN 'fill' ELSE 'keep' END AS change FROM g UNION ALL SELECT group_id, 'camera_model', CASE WHEN coalesce(keeper_camera_model, '') <> coalesce(camera_model, '') THEN 'fill' ELSE 'keep' END FROM g UNION ALL SELECT group_id, 'keywords', CASE WHEN coalesce(keeper_keywords, '') <> coalesce(keywords, '') THEN 'fill' ELSE 'keep' END FROM g UNION ALL SELECT group_id, 'gps_lat', CASE WHEN keeper_gps_lat IS NULL AND gps_lat IS NOT NULL THEN 'fill' ELSE 'keep' END FROM g",
+    f"WITH {A}, {_MERGED} SELECT group_id, 'capture_s' AS field, CASE WHEN coalesce(CAST(keeper_capture_s AS VARCHAR), '') <> coalesce(CAST(capture_s AS VARCHAR), '') THEN 'fill' ELSE 'keep' END AS change FROM g UNION ALL SELECT group_id, 'camera_model', CASE WHEN coalesce(keeper_camera_model, '') <> coalesce(camera_model, '') THEN 'fill' ELSE 'keep' END FROM g UNION ALL SELECT group_id, 'keywords', CASE WHEN coalesce(keeper_keywords, '') <> coalesce(keywords, '') THEN 'fill' ELSE 'keep' END FROM g UNION ALL SELECT group_id, 'gps_lat', CASE WHEN keeper_gps_lat IS NULL AND gps_lat IS NOT NULL THEN 'fill' ELSE 'keep' END FROM g UNION ALL SELECT group_id, 'gps_lon', CASE WHEN keeper_gps_lon IS NULL AND gps_lon IS NOT NULL THEN 'fill' ELSE 'keep' END FROM g",
 )
 def j02(spark, sf_dir):
-    return merge.field_changes(_merged(spark, sf_dir)).filter("field <> 'gps_lon'").select("group_id", "field", "change")
+    return merge.field_changes(_merged(spark, sf_dir)).select("group_id", "field", "change")
 
 
 @query("j03_j05_merge_plans", f"WITH {A}, {_MERGED} SELECT group_id, keeper_id, coalesce(array_to_string(removed, ','), '') AS removed, CAST(coalesce(len(removed), 0) AS INTEGER) AS n_removed, CAST((keeper_capture_s IS NULL AND capture_s IS NOT NULL) AS INTEGER) + CAST((keeper_camera_model IS NULL AND camera_model IS NOT NULL) AS INTEGER) + CAST((keeper_keywords IS NULL AND keywords IS NOT NULL) AS INTEGER) + 2 * CAST((keeper_gps_lat IS NULL AND gps_lat IS NOT NULL) AS INTEGER) AS n_changed, true AS valid FROM g")

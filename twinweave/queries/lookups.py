@@ -142,7 +142,7 @@ def e10(spark, sf_dir):
 @query("e13_group_read", f"WITH {A} SELECT id % 50 AS group_id, id, file_name, file_size FROM assets JOIN labels ON doc_id = id")
 def e13(spark, sf_dir):
     members = table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("group_id"), F.col("doc_id").alias("id"))
-    return members.join(views.assets(spark, sf_dir).select("id", "file_name", "file_size"), "id").select("group_id", "id", "file_name", "file_size")
+    return catalog.group_files(members, views.assets(spark, sf_dir)).select("group_id", "id", "file_name", "file_size")
 
 
 @query("e15_key_tests", "SELECT doc_id AS id, doc_id IN (SELECT doc_id FROM labels) AS known FROM documents")
@@ -195,7 +195,7 @@ def h16(spark, sf_dir):
 def i03(spark, sf_dir):
     a = views.assets(spark, sf_dir).select("id", F.map_filter(F.create_map(F.lit("dHash"), F.col("dhash")), lambda k, v: v.isNotNull()).alias("hashes"))
     b = a.select((F.col("id") - 1).alias("id"), F.col("hashes").alias("other"))
-    return a.join(b, "id").select("id", F.size(F.array_intersect(F.map_keys("hashes"), F.map_keys("other"))).alias("shared"))
+    return a.join(b, "id").select("id", F.size(pairs.shared_algorithms("hashes", "other")).alias("shared"))
 
 
 @query("i05_unscanned", "SELECT doc_id AS id FROM documents EXCEPT ALL SELECT doc_id FROM labels")

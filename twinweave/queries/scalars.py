@@ -82,7 +82,27 @@ def c10(spark, sf_dir):
     return views.assets(spark, sf_dir).select("id", fp.signature().alias("signature"))
 
 
-@query("c11_jaro_winkler")
+#: Needs ``stems`` (x, y) and a recursive WITH; gives ``jw`` (x, y, name). One step a letter of x, which takes the first free equal letter of y.
+JARO = """
+jw_steps AS (
+  SELECT x, y, CAST(0 AS BIGINT) AS i, greatest(length(x), length(y)) // 2 - 1 AS w, CAST([] AS BIGINT[]) AS taken, CAST([] AS VARCHAR[]) AS l FROM stems
+  UNION ALL
+  SELECT x, y, i + 1, w, CASE WHEN j IS NULL THEN taken ELSE list_append(taken, j) END, CASE WHEN j IS NULL THEN l ELSE list_append(l, substr(x, i + 1, 1)) END
+  FROM (SELECT *, list_min([k for k in range(greatest(1, i + 1 - w), least(length(y), i + 1 + w) + 1) if NOT list_contains(taken, k) AND substr(y, k, 1) = substr(x, i + 1, 1)]) AS j FROM jw_steps WHERE i < length(x))),
+jw_parts AS (
+  SELECT x, y, CAST(len(l) AS DOUBLE) AS m, len([k for k in range(1, len(l) + 1) if l[k] <> substr(y, list_sort(taken)[k], 1)]) AS swaps,
+         CAST(len([k for k in range(1, 5) if k <= length(x) AND k <= length(y) AND substr(x, k, 1) = substr(y, k, 1)]) AS DOUBLE) AS agree
+  FROM jw_steps WHERE i = length(x)),
+jw AS (SELECT x, y, CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE jaro + agree * 0.1::DOUBLE * (1 - jaro) END AS name FROM (SELECT *, (m / length(x) + m / length(y) + (m - swaps / 2.0::DOUBLE) / m) / 3 AS jaro FROM jw_parts))"""
+#: Name score of two stems, with ``jw`` joined.
+NAME_SCORE = "CASE WHEN {0} = {1} THEN CASE WHEN length({0}) = 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE jw.name END"
+
+
+@query(
+    "c11_jaro_winkler",
+    f"""WITH RECURSIVE p AS (SELECT p_partkey AS a, {_STEM.format('p_name')} AS stem FROM part), pairs AS (SELECT l.a, l.stem AS x, r.stem AS y FROM p l JOIN p r ON r.a = l.a + 1), stems AS (SELECT DISTINCT x, y FROM pairs WHERE x <> y), {JARO}
+        SELECT a, round({NAME_SCORE.format('pairs.x', 'pairs.y')}, 6) AS score FROM pairs LEFT JOIN jw USING (x, y)""",
+)
 def c11(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), fp.stem("p_name").alias("a_stem"))
     pairs = p.join(p.select((F.col("a") - 1).alias("a"), F.col("a_stem").alias("b_stem")), "a")

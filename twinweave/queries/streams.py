@@ -30,15 +30,31 @@ def k02(spark, sf_dir):
 
 @query(
     "k03_applied_changes",
-    """WITH l AS (SELECT 'p' || user_id AS path, arg_max(event_type, (ts, event_id)) AS kind, CAST(floor(arg_max(value, (ts, event_id))) AS BIGINT) AS size FROM events GROUP BY user_id), c AS (SELECT c_custkey AS id, 'p' || c_custkey AS path, CAST(c_nationkey AS BIGINT) AS size FROM customer)
-       SELECT path, CASE WHEN l.kind IN ('click', 'view', 'purchase', 'signup') THEN l.size ELSE c.size END AS size FROM c FULL JOIN l USING (path) WHERE coalesce(l.kind, '') <> 'error'""",
+    """WITH RECURSIVE e AS (
+         SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_id, event_id % 2 AS q, CAST(floor(value) AS BIGINT) AS size,
+                CASE event_type WHEN 'error' THEN 'deleted' WHEN 'purchase' THEN 'renamed' ELSE 'put' END AS kind FROM events),
+       c AS (SELECT c_custkey AS u, CAST(c_nationkey AS BIGINT) AS size FROM customer),
+       s AS (
+         SELECT coalesce(c.u, x.u) AS u, CAST(0 AS BIGINT) AS k, CAST(c.u AS BIGINT) AS id_p, c.size AS size_p, CAST(NULL AS BIGINT) AS id_q, CAST(NULL AS BIGINT) AS size_q
+         FROM c FULL JOIN (SELECT DISTINCT u FROM e) x ON c.u = x.u
+         UNION ALL
+         SELECT u, k, CASE WHEN q = 0 THEN id_to ELSE id_from END, CASE WHEN q = 0 THEN size_to ELSE size_from END, CASE WHEN q = 0 THEN id_from ELSE id_to END, CASE WHEN q = 0 THEN size_from ELSE size_to END
+         FROM (
+           SELECT u, k, q, CASE WHEN kind = 'deleted' THEN NULL WHEN kind = 'renamed' AND other IS NOT NULL THEN other ELSE coalesce(own, -1 - event_id) END AS id_to,
+                  CASE WHEN kind = 'deleted' THEN NULL ELSE coalesce(size, CASE WHEN kind = 'renamed' AND other IS NOT NULL THEN other_size ELSE own_size END) END AS size_to,
+                  CASE WHEN kind = 'renamed' THEN NULL ELSE other END AS id_from, CASE WHEN kind = 'renamed' THEN NULL ELSE other_size END AS size_from
+           FROM (SELECT e.*, CASE WHEN q = 0 THEN id_p ELSE id_q END AS own, CASE WHEN q = 0 THEN size_p ELSE size_q END AS own_size, CASE WHEN q = 0 THEN id_q ELSE id_p END AS other, CASE WHEN q = 0 THEN size_q ELSE size_p END AS other_size
+                 FROM s JOIN e ON e.u = s.u AND e.k = s.k + 1))),
+       l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY u ORDER BY k DESC) = 1)
+       SELECT id_p AS id, 'p' || u AS path, size_p AS size FROM l WHERE id_p IS NOT NULL UNION ALL SELECT id_q, 'q' || u, size_q FROM l WHERE id_q IS NOT NULL""",
 )
 def k03(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    kind = F.when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "signup", "created").otherwise("modified")
-    changes = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("path"), kind.alias("kind"), F.lit(None).cast("string").alias("old_path"), F.floor("value").cast("long").alias("size"))
-    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_nationkey").cast("long").alias("size"))
-    return ev.apply_changes(known, changes).select("path", "size")
+    kind = F.when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "purchase", "renamed").when(F.col("event_type") == "signup", "created").otherwise("modified")
+    at = lambda side: F.concat(F.when(F.col("event_id") % 2 == side, "p").otherwise("q"), F.col("user_id").cast("string"))
+    changes = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), at(0).alias("path"), kind.alias("kind"), at(1).alias("old_path"), F.floor("value").cast("long").alias("size"))
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_nationkey").cast("long").alias("size"))
+    return ev.apply_changes(known, changes)
 
 
 @query("k04_session_states", f"WITH {E} SELECT session_id, greatest(count(*) FILTER (kind = 'item'), coalesce(max(CAST(floor(value) AS BIGINT)) FILTER (kind = 'finished'), 0)) AS items, count(*) FILTER (kind = 'error') AS errors, arg_max(kind, (us, event_id)) AS phase, max(us) FILTER (kind = 'finished') AS completed_us FROM scan_events GROUP BY session_id")

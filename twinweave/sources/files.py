@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,9 +78,26 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def heads(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, head): the first 16 bytes of each file as hex."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return raw.select("path", F.hex(F.substring("content", 1, 16)).alias("head"))
+    """(path, head): the first 16 bytes of each file as hex; no more of a file is read, so its size doesn't matter.
+
+    Executors open the files by Arrow's file systems (local, HDFS, S3, GCS). A
+    file that can't be opened has a null head.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for path in b.column(0).to_pylist():
+                try:
+                    # Hadoop writes local paths with one slash
+                    system, inside = FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and path[6:7] != "/" else path)
+                    with system.open_input_file(inside) as f:
+                        found.append(f.read(16).hex().upper())
+                except OSError:
+                    found.append(None)
+            yield pa.record_batch([b.column(0), pa.array(found, pa.string())], names=["path", "head"])
+
+    return listing(spark, folder).select("path").mapInArrow(read, "path string, head string")
 
 
 def media_type(ext: Column) -> Column:
@@ -123,10 +143,25 @@ def excluded(rules=DEFAULT_EXCLUDES, path: str = "path", strict_glob: bool = Fal
 
 
 def excluded_by_table(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """A5: files that no row of ``rules`` (kind prefix, suffix or contains; text) matches."""
-    p, t = F.col("path"), F.col("text")
-    hit = ((F.col("kind") == "prefix") & p.startswith(t)) | ((F.col("kind") == "suffix") & p.endswith(t)) | ((F.col("kind") == "contains") & p.contains(t))
-    return files.join(rules, hit, "left_anti")
+    """A5: files that no row of ``rules`` (kind prefix, suffix or contains; text) matches.
+
+    An equi-join: the parts of a path that have the length of a rule's text, at
+    its beginning, its end or anywhere, are looked up among the rules. The driver
+    sees the rules' distinct lengths only. A file without a path is kept.
+    """
+    known = rules.select("kind", "text").filter("text is not null").distinct()
+    lengths: dict[str, list[int]] = {"prefix": [], "suffix": [], "contains": []}
+    for r in known.select("kind", F.length("text").alias("n")).distinct().collect():
+        lengths.setdefault(r["kind"], []).append(r["n"])
+    p = F.col("path")
+    of = lambda kind: F.filter(F.array(*[F.lit(n) for n in sorted(lengths[kind])]).cast("array<int>"), lambda n: n <= F.length(p))
+    part = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    begins = F.transform(of("prefix"), lambda n: part("prefix", F.substring(p, F.lit(1), n)))
+    ends = F.transform(of("suffix"), lambda n: part("suffix", F.substring(p, F.length(p) - n + 1, n)))
+    inside = F.flatten(F.transform(of("contains"), lambda n: F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: part("contains", F.substring(p, i, n)))))
+    parts = files.select("path").distinct().select("path", F.explode(F.array_distinct(F.concat(begins, ends, inside))).alias("x")).select("path", "x.kind", "x.text")
+    hit = parts.join(known, ["kind", "text"]).select("path").distinct()
+    return files.join(hit, "path", "left_anti").select(*files.columns)
 
 
 def in_library(path: str = "path") -> Column:

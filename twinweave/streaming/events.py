@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from twinweave.operators.metrics import advice_of
+from twinweave.plans.scratch import Scratch
 
 
 def _bounded(events: DataFrame, delay: str) -> DataFrame:
@@ -31,31 +32,85 @@ def debounced(events: DataFrame, gap: str = "1 second", delay: str = "10 seconds
     return e.groupBy("path", F.session_window("ts", gap).alias("w")).agg(F.max_by("kind", F.struct("ts", "event_id")).alias("kind"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("merged"))
 
 
-def last_per_path(events: DataFrame) -> DataFrame:
-    return events.groupBy("path").agg(F.max(F.struct("ts", "event_id", "kind", "old_path", "size")).alias("e")).select("path", "e.kind", "e.old_path", "e.size", "e.ts")
+def _timeline(catalog: DataFrame, events: DataFrame) -> DataFrame:
+    """What happens at each path in order: (path, at, kind, size, id, other, was), ``was`` is whether a file was there before.
+
+    Kinds: init (in the catalogue), put, gone, in and away (the two ends of a
+    rename). ``other`` is the old path of an arriving file.
+    """
+    at = F.struct(F.col("ts"), F.col("event_id"))
+    moves = (F.col("kind") == "renamed") & F.col("old_path").isNotNull() & (F.col("old_path") != F.col("path"))
+    kind = F.when(moves, "in").when(F.col("kind") == "deleted", "gone").otherwise("put")
+    nothing = F.lit(None)
+    here = events.select("path", at.alias("at"), kind.alias("kind"), F.col("size"), nothing.cast("long").alias("id"), F.when(moves, F.col("old_path")).alias("other"))
+    left = events.filter(moves).select(F.col("old_path").alias("path"), at.alias("at"), F.lit("away").alias("kind"), nothing.cast("long").alias("size"), nothing.cast("long").alias("id"), nothing.cast("string").alias("other"))
+    known = catalog.select("path", nothing.cast(events.select(at.alias("at")).schema["at"].dataType).alias("at"), F.lit("init").alias("kind"), "size", "id", nothing.cast("string").alias("other"))
+    before = F.lag("kind").over(Window.partitionBy("path").orderBy("at"))
+    return known.unionByName(here).unionByName(left).withColumn("was", F.coalesce(before.isin("init", "put", "in"), F.lit(False)))
 
 
 def apply_changes(catalog: DataFrame, events: DataFrame) -> DataFrame:
-    """K3: the catalogue (id, path, size) after file events: created and modified upsert, deleted drops, renamed moves and keeps the id.
+    """K3: the catalogue (id, path, size) after file events, in order of (ts, event_id).
+
+    Events are (path, kind, old_path, size, ts, event_id). ``created`` and
+    ``modified`` insert or update the file at a path, ``deleted`` drops it and
+    ``renamed`` moves the file of ``old_path``, id and all, to ``path``, in place
+    of a file that is there; if none is at ``old_path`` it is as ``modified``. An
+    event without a size leaves the size. New files have the id -1 - event_id.
 
-    Events are (path, kind, old_path, size, ts, event_id); the last one a path
-    counts. A new path's id is made from the path.
+    The time of one file at one path is a stay. A rename links two stays, so a
+    stay's id and size are those at the end of its chain, found by halving all
+    chains at once; nothing is folded event by event.
     """
-    last = last_per_path(events)
-    moved = last.filter("kind = 'renamed'").select(F.col("old_path").alias("path"), F.col("path").alias("new_path"), F.col("size").alias("moved_size"))
-    gone = last.filter("kind = 'deleted'").select("path")
-    kept = catalog.join(gone, "path", "left_anti").join(moved, "path", "left")
-    kept = kept.select("id", F.coalesce("new_path", "path").alias("path"), F.coalesce("moved_size", "size").alias("size"))
-    put = last.filter("kind in ('created', 'modified')").select("path", F.col("size").alias("new_size"))
-    out = kept.join(put, "path", "full_outer")
-    return out.select(F.coalesce("id", F.xxhash64("path")).alias("id"), "path", F.coalesce("new_size", "size").alias("size"))
+    scratch = Scratch(catalog.sparkSession, "changes")
+    t = _timeline(catalog, events.filter("path is not null"))
+    source = t.filter("kind = 'away'").select(F.col("path").alias("other"), "at", F.col("was").alias("moved"))
+    t = t.join(source, ["other", "at"], "left").withColumn("moved", F.coalesce("moved", F.lit(False)))
+    new = (F.col("kind").isin("put", "in") & ~F.col("was") & ~F.col("moved")).cast("int")
+    begins = (F.col("kind") == "init") | F.col("moved") | (new == 1)
+    order = Window.partitionBy("path").orderBy("at")
+    t = t.withColumn("stay", F.sum(begins.cast("int")).over(order)).withColumn("last", F.lead("kind").over(order).isNull() & F.col("kind").isin("init", "put", "in"))
+    t = t.withColumn("id", F.when(new == 1, -1 - F.col("at.event_id")).otherwise(F.col("id")))
+    begun = F.when(F.col("moved"), F.struct("other", "at"))
+    stays = t.filter("kind <> 'gone' and (kind <> 'away' or was)").groupBy("path", "stay").agg(
+        F.max("id").alias("id"), F.max_by("size", F.when(F.col("size").isNotNull(), F.struct(F.col("at").isNotNull(), "at"))).alias("size"),
+        F.max(begun).alias("from"), F.max(F.when(F.col("kind") == "away", F.col("at"))).alias("to"), F.max("last").alias("open"),
+    )
+    stays = scratch.stash(stays, "stays")
+    while True:
+        # a stay that came from another takes what that one knows, and its origin
+        prior = stays.filter("to is not null").select(F.struct(F.col("path").alias("other"), F.col("to").alias("at")).alias("from"), F.col("id").alias("prior_id"), F.col("size").alias("prior_size"), F.col("from").alias("prior_from"))
+        joined = stays.join(prior, "from", "left")
+        nxt = joined.select("path", "stay", F.coalesce("id", "prior_id").alias("id"), F.coalesce("size", "prior_size").alias("size"), F.col("prior_from").alias("from"), "to", "open")
+        nxt = scratch.stash(nxt, "stays")
+        scratch.drop(stays)
+        stays = nxt
+        if stays.filter("from is not null").isEmpty():
+            return stays.filter("open").select("id", "path", "size")
+
+
+def surviving(rows: DataFrame, catalog: DataFrame, id_col: str = "file_id") -> DataFrame:
+    """K3's cascade: the rows (signatures, metadata) of files that are still in the catalogue. Rows with a null id go."""
+    return rows.join(catalog.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
 
 
-def run_changes(events: DataFrame, read_catalog: Callable[[], DataFrame], write_catalog: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """K3 as a stream: each micro-batch rewrites the catalogue; ``write_catalog`` gets the batch's number, so a repeated batch can be told."""
+def touched(catalog: DataFrame, events: DataFrame) -> DataFrame:
+    """The catalogue's rows at paths that an event names; the others stay as they are."""
+    paths = events.select("path").union(events.select(F.col("old_path").alias("path"))).distinct()
+    return catalog.join(paths, "path", "left_semi")
+
+
+def run_changes(events: DataFrame, read_catalog: Callable[[], DataFrame], write_catalog: Callable[[DataFrame, DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """K3 as a stream: ``write_catalog(gone, put, number)`` for each micro-batch.
+
+    ``gone`` are the rows that the batch's events touch, as they were, and ``put``
+    the rows in their place, so that a keyed table is changed there only;
+    ``number`` is the batch's, so a repeated batch can be told.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        write_catalog(apply_changes(read_catalog(), df), number)
+        before = touched(read_catalog(), df)
+        write_catalog(before, apply_changes(before, df), number)
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
@@ -72,9 +127,15 @@ def session_state(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def folder_state(events: DataFrame, roots: DataFrame) -> DataFrame:
-    """K4: items and errors below each root; a path belongs to the longest root that it is below."""
-    hit = events.join(roots, events["path"].startswith(F.concat("root", F.lit("/"))))
+def folder_state(events: DataFrame, roots: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """K4: items and errors below each root; a path belongs to the longest root that it is below.
+
+    Every folder above a path is looked up among the roots by an equi-join.
+    """
+    names = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda k: F.array_join(F.slice(names, F.lit(1), k), "/"))
+    above = F.when(F.size(names) > 1, above).otherwise(F.array().cast("array<string>"))
+    hit = _bounded(events, delay).select("event_id", "kind", F.explode(above).alias("root")).join(roots.select("root").distinct(), "root")
     mine = hit.groupBy("event_id", "kind").agg(F.max_by("root", F.length("root")).alias("root"))
     return mine.groupBy("root").agg(F.count_if(F.col("kind") == "item").alias("items"), F.count_if(F.col("kind") == "error").alias("errors"))
 
