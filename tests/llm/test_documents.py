@@ -2,6 +2,7 @@
 
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -80,6 +81,34 @@ def test_mix_reruns_agree_and_materialises(docs):
     assert {k: v for k, v in got.items() if k != 7} == {k: v for k, v in unique.items() if v}
 
 
+CLASHES = ["words", "taken_words", "taken_id", "taken_part", "span_cuts", "span_id", "own_host", "own_text", "bucket", "scatter", "place", "row", "id", "size", "found", "__key", "__cuts"]
+
+
+def clashing(docs):
+    return docs.withColumns({c: F.lit(f"clash {c}") for c in CLASHES})
+
+
+def kept_clashes(rows):
+    return all(r[c] == f"clash {c}" for r in rows for c in CLASHES)
+
+
+def test_names_of_other_columns_dont_matter(docs):
+    wide = clashing(docs)
+    plain = sorted(map(tuple, mixing.materialise(docs, mixing.mix(docs)).collect()), key=repr)
+    mixed = mixing.materialise(wide, mixing.mix(wide))
+    rows = mixed.collect()
+    assert mixed.columns == wide.columns and kept_clashes(rows)
+    assert sorted((tuple(r[c] for c in docs.columns) for r in rows), key=repr) == plain
+    ruled = quality_rules.quality_rules(wide).collect()
+    assert kept_clashes(ruled) and len(ruled) == len(ROWS)
+    cut = substring_dedup.remove_spans(wide, substring_dedup.duplicate_spans(wide))
+    assert cut.columns == wide.columns and kept_clashes(cut.collect())
+    sharded = sharding.shuffle_into_shards(wide, 3)
+    assert kept_clashes(sharded.collect()) and sharded.columns == [*wide.columns, "shard", "slot"]
+    pieced = pieces.with_pieces(wide.withColumn("decoded", F.lit(1))).collect()
+    assert kept_clashes(pieced) and all(r["decoded"] == (r["text"] or "") for r in pieced)
+
+
 def test_mix_of_nothing(none):
     assert mixing.mix(none).count() == 0
 
@@ -114,13 +143,47 @@ def test_shuffle_is_seeded(docs):
     assert place(docs, 1) == place(docs.repartition(2), 1) != place(docs, 2)
 
 
+def brute_shards(rows, n_shards, seed, n_buckets, hashes):
+    """Places by plain lists: scatter into buckets, canonical order, Fisher-Yates, one sequence cut into shards."""
+    buckets = [[] for _ in range(n_buckets)]
+    for key, h in zip(rows, hashes, strict=True):
+        buckets[h % n_buckets].append((h, key))
+    sequence = []
+    for k, bucket in enumerate(buckets):
+        bucket.sort()
+        order = np.arange(len(bucket))
+        np.random.default_rng([seed, k]).shuffle(order)
+        shuffled = [None] * len(bucket)
+        for place, (_, key) in zip(order, bucket, strict=True):
+            shuffled[place] = key
+        sequence += shuffled
+    n = len(sequence)
+    shard = [i * n_shards // n for i in range(n)]
+    return {key: (s, i - shard.index(s)) for i, (key, s) in enumerate(zip(sequence, shard, strict=True))}
+
+
+def test_shards_equal_brute_force_in_any_session(spark):
+    d = spark.range(500).selectExpr("id AS doc_id", "concat('text ', id % 77) AS text")
+    hashed = [(r["doc_id"], r["h"]) for r in d.select("doc_id", F.xxhash64(F.lit(3), "doc_id", F.xxhash64("text")).alias("h")).collect()]
+    want = brute_shards([k for k, _ in hashed], 7, 3, 10, [h for _, h in hashed])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for width in ("3", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            out = sharding.shuffle_into_shards(d.repartition(int(width)), 7, seed=3, bucket_rows=50).collect()
+            assert {r["doc_id"]: (r["shard"], r["slot"]) for r in out} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # quality rules
 
 
 def brute_rules(t):
     w = words(t)
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    again = {g for g in grams if grams.count(g) > 1} if len(grams) < 3000 else {g for g in set(grams)}
+    times = Counter(grams)
+    again = {g for g, k in times.items() if k > 1}
     covered = {i + k for i, g in enumerate(grams) if g in again for k in range(3)}
     lines = [x for x in (t or "").split("\n") if words(x)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered)
@@ -129,8 +192,7 @@ def brute_rules(t):
 def test_base_counters(docs):
     for r in quality_rules.quality_rules(docs).collect():
         got = tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-        if r["doc_id"] != 6:
-            assert got == brute_rules(r["text"]), r["doc_id"]
+        assert got == brute_rules(r["text"]), r["doc_id"]
         assert r["base_failed"] == (got[0] < 50 or 100 * got[4] > 50 * got[0])
 
 
@@ -172,6 +234,39 @@ def test_trees_learn_and_walk():
     assert quality_model.fit_trees(np.empty((0, len(quality_model.STATISTICS))), np.empty(0)).score(x)[0] == pytest.approx(0.5)
 
 
+def test_trees_walk_as_one_by_one():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, len(quality_model.STATISTICS)))
+    t = quality_model.fit_trees(x, (x[:, 1] + x[:, 2] > 0).astype(float), trees=12)
+
+    def walk(row):
+        total = t.base
+        for k in range(len(t.feature)):
+            node = 0
+            while node < len(t.feature[k]):
+                node = 2 * node + 2 if row[t.feature[k][node]] > t.threshold[k][node] else 2 * node + 1
+            total += t.leaf[k][node - len(t.feature[k])]
+        return 1 / (1 + np.exp(-total))
+
+    assert t.score(x) == pytest.approx([walk(r) for r in x])
+
+
+def test_quality_query_is_its_model(spark, sf_dir):
+    import pandas as pd
+
+    d = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    model = quality_model.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    want = model.score(np.array([quality_model.statistics((t or "").encode()) for t in d["text"]]))
+    got = quality_model.op5_quality_model(spark, sf_dir).toPandas().set_index("doc_id").loc[d["doc_id"]]
+    assert got["score"].to_numpy() == pytest.approx(want) and (got["predicted"] == (got["score"] >= 0.3)).all()
+
+
+def test_repeated_ids_are_one_row_of_the_sample(spark):
+    d = spark.createDataFrame([(i % 40, f"text {i % 40} " * (i % 7 + 1)) for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert quality_model.with_quality(d, quality_model.fit(d, labels)).count() == 4000
+
+
 def test_quality_held_out_accuracy(spark, sf_dir):
     import pandas as pd
 
@@ -229,6 +324,38 @@ def test_forward_sums_all_segmentations():
     assert (expected * sizes).sum() == pytest.approx(sum(len(w) + 1 for w in ws))
 
 
+def test_letters_are_letters():
+    assert language_id.words_of("½ ² ⅷ 12 _ ①") == [] and language_id.words_of("a½b ÄÖ x2y") == ["a", "b", "äö", "x", "y"]
+
+
+def test_long_runs_sum_all_segmentations(spark):
+    index = language_id.PieceIndex(("▁", "a", "b", "ab", "▁ab", "aba"))
+    prob = np.random.default_rng(1).random((7, 3)) / 8
+    w = ["ab" * 20 + "z", "a" * 33, "b"]
+    _, p = index.forward(w, prob)
+    assert [index.long_word(x, prob).tolist() for x in w] == [pytest.approx(np.log(r).tolist()) for r in p]
+    far = index.long_word("ab" * 4000, prob)  # far below the least double
+    assert np.isfinite(far).all() and far == pytest.approx(2 * index.long_word("ab" * 2000, prob), rel=1e-3)
+    d = spark.createDataFrame([(1, "½ ² ⅷ"), (2, "lorem" * 3000), (3, "the text")], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    out = {r["doc_id"]: r for r in language_id.with_language(d, language_id.fit(d, rounds=1)).collect()}
+    assert out[1]["lang_pred"] == "und" and out[1]["score"] == 0 and out[2]["lang_pred"] == "en"
+
+
+def test_language_query_is_its_model(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.fit(d)
+    index = language_id.PieceIndex(model.pieces)
+    got = {r["doc_id"]: r for r in language_id.op4_language_id(spark, sf_dir).collect()}
+    for r in d.collect()[:60]:
+        words_ = Counter(language_id.words_of(r["text"]))
+        if not words_:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        ll = np.log(model.prior) + sum(n * index.long_word(w, model.prob) for w, n in words_.items())
+        post = np.exp(ll - ll.max())
+        assert got[r["doc_id"]]["lang_pred"] == model.languages[int(post.argmax())] and got[r["doc_id"]]["score"] == pytest.approx(1 / post.sum())
+
+
 def test_language_edges(spark, docs, none):
     model = language_id.fit(docs, sample_docs=50, rounds=1)
     out = {r["doc_id"]: r for r in language_id.with_language(docs.withColumn("score", F.lit("x")), model).collect()}
@@ -243,13 +370,9 @@ def test_language_edges(spark, docs, none):
 
 def test_lm_scores(spark, docs, none):
     target = spark.createDataFrame([(9,), (10,), (10,), (None,)], "doc_id long")
-    model = lm_scoring.fit(docs, target, vocabulary_words=50)
-    known, losses = model
-    assert np.allclose(np.exp(-losses.astype(float)).sum(2), 1, atol=1e-3)
-    out = {r["doc_id"]: r for r in lm_scoring.with_lm_score(docs.withColumn("n_words", F.lit("x")), model).collect()}
+    out = {r["doc_id"]: r for r in lm_scoring.corpus_scores(docs.withColumn("n_words", F.lit("x")).withColumn("deal", F.lit(1)), target).collect()}
     assert out[4]["ce_difference"] is None and out[5]["n_words"] == 0 and out[1]["n_words"] == 200
-    assert out[9]["ce_difference"] < out[1]["ce_difference"]
-    assert lm_scoring.with_lm_score(none, lm_scoring.fit(none, target.limit(0))).count() == 0
+    assert out[9]["ce_difference"] < out[1]["ce_difference"] and out[None]["n_words"] == 3
 
 
 def brute_lm(rows, target, prior=10.0):
@@ -275,7 +398,6 @@ def brute_lm(rows, target, prior=10.0):
 @pytest.mark.parametrize("block_bytes", [600, 1 << 20])
 def test_lm_counts_every_word_and_bigram(spark, none, target, block_bytes):
     rng = np.random.default_rng(8)
-    # 3000 kinds of words: more than the 1792 that the bounded form keeps
     rows = [(i, " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.15, int(rng.integers(0, 200))), 3000))) for i in range(80)]
     rows += [(80, " ".join(f"own{i}" for i in range(3000))), (81, None), (82, " \n"), (None, "w1 W2 w1"), (3, rows[3][1]), (83, "one")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -332,6 +454,32 @@ def test_join_equals_brute_force(spark, width, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
 
 
+def test_parity_bitmaps_never_count_more_than_the_difference(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], []
+    for n in (1, 3, 64, 65, 200, 700):
+        for m in (n, n + 1, 2 * n):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.unique(np.concatenate((x[: n // 2], rng.integers(0, 1 << 63, m - n // 2).astype(np.uint64))))
+            rows.append((ngram_join.parity(x).tolist(), ngram_join.parity(y).tolist()))
+            want.append(len(np.setxor1d(x, y)))
+    got = spark.createDataFrame(rows, "x array<long>, y array<long>").coalesce(1).select(ngram_join._differing_bits("x", "y").alias("d"), ngram_join._differing_bits("y", "x").alias("e")).collect()
+    for r, most in zip(got, want, strict=True):
+        assert r["d"] == r["e"] <= most and (most - r["d"]) % 2 == 0 and r["d"] >= 0.2 * most
+
+
+def test_join_over_common_passages_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    passages = [[f"p{k}x{j}" for j in range(90)] for k in range(3)]
+    data = []
+    for i in range(240):
+        own = [f"o{i}y{j}" for j in range(int(rng.integers(1, 60)))]
+        data.append((i, " ".join(passages[i % 3] + own)))
+    data += [(1000 + i, " ".join(passages[0][:80] + passages[1] + [f"z{i // 2}"])) for i in range(30)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), width=5, percent=80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_groups(data, 5, 80)
+
+
 def test_join_edges(docs, none):
     out = ngram_join.jaccard_components(docs.withColumn("node", F.lit("clash")).withColumn("n", F.lit(1)))
     rows = {}
@@ -358,6 +506,56 @@ def test_chunks_resist_shifts():
         ("中文" * 300).encode()[:e].decode()
 
 
+def brute_spans(rows, min_bytes=120):
+    """Spans by plain dictionaries over the same chunks."""
+    chunks = {}
+    for i, t in {(i, t) for i, t in rows if i is not None and t}:
+        ends = substring_dedup.chunk_ends(t.encode())
+        chunks[i, t] = [(a, b, t.encode()[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    holders = {}
+    for (i, _), parts in chunks.items():
+        for _, _, c in parts:
+            holders.setdefault(c, set()).add(i)
+    out = set()
+    for (i, t), parts in chunks.items():
+        seen, run = set(), []
+        for a, b, c in [*parts, (-1, -1, b"")]:
+            first = min(holders[c]) if c else i
+            source = i if c in seen else first if first != i else None
+            if source is None or not c or (run and run[-1][1] != a):
+                if run and run[-1][1] - run[0][0] >= min_bytes:
+                    out.add((i, t, run[0][0], run[-1][1], run[0][2]))
+                run = []
+            if source is not None and c:
+                run.append((a, b, source))
+            seen.add(c)
+    return out
+
+
+def test_spans_equal_brute_force(spark, sf_dir):
+    import pandas as pd
+
+    d = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    rows = list(zip(d["doc_id"].tolist(), d["text"].tolist(), strict=True)) + [(5, "ünï " * 90 + d["text"][9]), (5, d["text"][9]), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = substring_dedup.duplicate_spans(docs)
+    keys = {r["k"]: r["text"] for r in docs.select(substring_dedup.text_key("text").alias("k"), "text").collect()}
+    assert {(r["doc_id"], keys[r["text_key"]], r["start_byte"], r["end_byte"], r["first_id"]) for r in spans.collect()} == brute_spans(rows)
+
+
+def test_spans_cut_their_own_text_only(spark):
+    rng = np.random.default_rng(4)
+    fresh = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    passage = fresh(80)
+    rows = [(1, passage), (2, f"{fresh(50)} {passage}"), (2, "中文字" * 400), (2, "ab"), (3, f"{passage} {fresh(9)}"), (3, f"{passage} {fresh(9)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = substring_dedup.remove_spans(docs, substring_dedup.duplicate_spans(docs)).collect()
+    left = Counter((r["doc_id"], r["text"]) for r in out)
+    assert left[1, passage] == 1 and left[2, "ab"] == 1 and len(out) == len(rows)
+    assert not any(passage[100:400] in r["text"] for r in out if r["doc_id"] != 1)
+    assert sum(r["text"].startswith("中文字") and len(r["text"]) <= 1200 for r in out) == 1
+
+
 def test_repeated_passages_are_found_and_cut(spark):
     rng = np.random.default_rng(3)
     fresh = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
@@ -411,6 +609,17 @@ def test_viterbi_is_best():
     assert a.viterbi("é") == list("é".encode())
 
 
+def test_pieces_query_is_the_whole_text_viterbi(spark, sf_dir):
+    import zlib
+
+    e = pieces.Encoder(pieces.load_vocabulary())
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in pieces.op8_sentencepiece(spark, sf_dir).collect()[:80]:
+        t = texts[r["doc_id"]] or ""
+        assert r["piece_ids"] == (e.automaton.viterbi((" " + t).replace(" ", "▁")) if t and "▁" not in t else r["piece_ids"])
+        assert r["text_crc32"] == zlib.crc32(t.encode()) and r["round_trip"]
+
+
 def test_parts_are_those_of_the_whole_text():
     e = pieces.Encoder(pieces.load_vocabulary())
     t = "The quick brown  fox, jumps over 12 lazy dogs.\nEnd of it"

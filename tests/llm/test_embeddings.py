@@ -38,6 +38,19 @@ def test_hot_bucket_is_counted_once(spark):
     assert {r["n_links"] for r in got} == {129} and {r["component_id"] for r in got} == {10}
 
 
+def test_width_follows_the_table():
+    assert [e.Hashing.of(n, 64).width for n in (0, 10_000, 50_000, 2_000_000, 10**9)] == [2, 2, 3, 3, 5]
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=(400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r = rng.normal(size=a.shape)
+    r -= (r * a).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    for n in (10_000, 1_000_000):
+        x, y = (e.bucket_keys(z, e.Hashing.of(n, 64)) for z in (a, b))
+        assert np.mean([bool(set(p) & set(q)) for p, q in zip(x.tolist(), y.tolist(), strict=True)]) > 0.97
+
+
 def test_edges(spark):
     v = [1.0] * 8
     rows = [(1, v), (2, v), (2, [2.0] * 8), (3, None), (4, []), (5, [0.0] * 8), (6, [float("nan")] * 8), (7, [1.0, None] * 4), (None, v), (8, [1.0, 0.0] * 4), (9, [1.0] * 5), (10, [float("inf")] * 8)]

@@ -26,11 +26,21 @@ from twinweave.plans.scratch import Scratch
 class Hashing:
     """``tables`` keys of ``width`` rotations each; ``probes`` buckets a vector enters in each table."""
 
-    tables: int = 12
+    tables: int = 8
     width: int = 2
     probes: int = 3
     seed: int = 5
 
+    @staticmethod
+    def of(vectors: int, dim: int) -> Hashing:
+        """So wide that a bucket holds about four vectors that are alike by chance, with tables to make up for it.
+
+        Of pairs at cosine 0.9 in 64 dimensions, 99.9 % share a bucket at width 2 and 3, 99 % at width 4.
+        """
+        values = 2 << max(1, (dim - 1).bit_length())
+        width = max(2, math.ceil(math.log(max(1, vectors * Hashing.probes / 4)) / math.log(values)))
+        return Hashing(tables=round(8 * 1.6 ** (width - 2)), width=width)
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows; their length is a power of two."""
@@ -76,24 +86,19 @@ def bucket_keys(x: np.ndarray, how: Hashing) -> np.ndarray:
 def _hashed(how: Hashing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, copies, vectors, keys = [], [], [], []
-            for size in np.unique(b.column(2).value_lengths().to_numpy(zero_copy_only=False)):
-                own = np.flatnonzero(b.column(2).value_lengths().to_numpy(zero_copy_only=False) == size)
-                part = b.take(pa.array(own))
-                x = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), size)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                k = np.sort(bucket_keys(unit, how), 1)
-                nodes.append(part.column(0))
-                copies.append(part.column(1))
-                vectors.append(pa.array(list(unit), pa.list_(pa.float64())))
-                keys.append(pa.array(list(k), pa.list_(pa.int64())))
-            if nodes:
-                yield pa.record_batch([pa.concat_arrays(c) for c in (nodes, copies, vectors, keys)], names=["node", "copies", "unit", "keys"])
+            sizes = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes):
+                part = b.take(pa.array(np.flatnonzero(sizes == size)))
+                x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+                keys = np.sort(bucket_keys(unit, how), 1)
+                packed = [pa.array([r.tobytes() for r in m], pa.binary()) for m in (x, keys)]
+                yield pa.record_batch([part.column(0), part.column(1), *packed, pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "copies", "vector", "keys", "buckets"])
 
     return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     """Links of one pair of blocks in one bucket: (node, links) and a spanning forest (node, root).
 
     A pair counts in the least bucket that it shares only, so no pair counts twice.
@@ -103,8 +108,9 @@ def _compare(threshold: float):
         bucket, i, j = (k.as_py() for k in key)
         side = table.column("block").to_numpy()
         node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        unit = table.column("unit").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
-        keys = table.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+        unpacked = lambda name, of: np.frombuffer(b"".join(table.column(name).to_pylist()), of).reshape(len(node), -1)
+        unit, keys = unpacked("vector", kind).astype(float), unpacked("keys", np.int64)
+        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
         order = np.argsort(node, kind="stable")
         side, node, copies, unit, keys = side[order], node[order], copies[order], unit[order], keys[order]
         a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
@@ -137,7 +143,7 @@ def _compare(threshold: float):
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, how: Hashing = Hashing(), block: int = 512
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, how: Hashing | None = None, block: int = 1024
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``vectors``.
 
@@ -150,37 +156,49 @@ def near_duplicates(
     has a null component only if all rows it reaches have null ids; it isn't
     kept. Repeated rows are linked as other rows are. An empty table gives no
     rows. Equal vectors are compared once. Large buckets are dealt out in blocks
-    of about ``block`` vectors, one task for each pair of blocks.
+    of about ``block`` vectors, one task for each pair of blocks. ``how`` follows
+    from the number of distinct vectors unless it is given. Vectors are told apart
+    by a 128-bit hash.
+
+    Buckets are found from (bucket, node) rows alone; vectors, packed as they
+    came, go to the buckets of two nodes or more only.
     """
     scratch = Scratch(vectors.sparkSession, "embedding")
-    doubles = F.transform(F.col(vector_col), lambda v: v.cast("double") + F.lit(0.0))
-    finite = F.forall(doubles, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    usable = F.coalesce(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & finite & F.exists(doubles, lambda v: v != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable, doubles).alias("v"))
-    rows = scratch.stash(rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v"))), "rows")
-    classes = rows.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
-    # one vector a class: the copies only differ in id
-    vectors_of = rows.filter("node is not null").select("node", "v").dropDuplicates(["node"])
-    hashed = vectors_of.join(classes, "node").select("node", "copies", "v").mapInArrow(_hashed(how), "node long, copies long, unit array<double>, keys array<long>")
+    single = vectors.schema[vector_col].dataType.elementType.typeName() == "float"
+    kind, sql_kind = ("<f4", "float") if single else ("<f8", "double")
+    numbers = F.transform(F.col(vector_col), lambda v: v.cast(sql_kind) + F.lit(0.0).cast(sql_kind))
+    finite = F.forall(numbers, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    usable = F.coalesce(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & finite & F.exists(numbers, lambda v: v != 0), F.lit(False))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable, numbers).alias("v"))
+    node = F.struct(F.xxhash64("v").alias("x"), F.xxhash64(F.lit(1), "v").alias("y"))
+    rows = scratch.stash(rows.withColumn("class", F.when(F.col("v").isNotNull(), node)), "rows")
+    # one vector a class, numbered by a part of its hash: the copies only differ in id
+    classes = rows.filter("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"), F.first("v").alias("v"))
+    classes = scratch.stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    if how is None:
+        found = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+        how = Hashing.of(found[0], found[1] or 1)
+    hashed = classes.select("node", "copies", "v").mapInArrow(_hashed(how), "node long, copies long, vector binary, keys binary, buckets array<long>")
     hashed = scratch.stash(hashed, "hashed")
 
-    entries = hashed.select("node", F.explode("keys").alias("bucket"))
+    entries = hashed.select("node", F.explode("buckets").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    placed = hashed.select("node", "copies", "unit", "keys", F.explode("keys").alias("bucket")).join(sizes.select("bucket", "blocks"), "bucket")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int"))
+    sizes = scratch.stash(sizes.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "buckets")
+    placed = entries.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int"))
     # block k meets every block, itself included, once
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    found = scratch.stash(placed.groupBy("bucket", "i", "j").applyInArrow(_compare(threshold), "node long, links long, root long"), "found")
+    placed = placed.select("bucket", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    placed = scratch.stash(placed, "placed")
+    carried = placed.join(hashed.select("node", "copies", "vector", "keys"), "node")
+    found = scratch.stash(carried.groupBy("bucket", "i", "j").applyInArrow(_compare(threshold, kind), "node long, links long, root long"), "found")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select("node", "root"), "node", "root")
-    nodes = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).join(links, "node", "left")
+    nodes = classes.select("class", "node", "copies", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).join(links, "node", "left")
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = nodes.join(least, "component").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.join(known, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    known = nodes.join(least, "component").select("class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    out = rows.join(known, "class", "left")
+    component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))
     )

@@ -24,16 +24,18 @@ from twinweave.plans.scratch import Scratch
 
 _RUN = re.compile(r"[^\W\d_]+")
 _START = "▁"
-_LONGEST = 48
+#: Longer runs of letters are scored with scaling, and counted in parts when the model learns.
+_LONG = 32
 _CACHE = 300_000
+_DRAWS = 1 << 60
 _UNSEEN = 1e-8
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased; runs over 48 letters are cut into parts of 48."""
+    """Runs of letters, lower-cased."""
     found = _RUN.findall((text or "").lower())
-    if any(len(w) > _LONGEST for w in found):
-        found = [w[i : i + _LONGEST] for w in found for i in range(0, len(w), _LONGEST)]
+    if not all(map(str.isalpha, found)):  # numbers that aren't decimal digits count as word characters, but aren't letters
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
     return found
 
 
@@ -45,6 +47,7 @@ class PieceIndex:
         self.n = len(pieces)
         # every beginning of a piece too, so that a search ends where none goes on
         self.begins = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | self.of
+        self.longest = max(map(len, pieces), default=1)
 
     def matches(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """(word, start, end, piece) of every piece occurrence in every word, ordered by end."""
@@ -80,6 +83,29 @@ class PieceIndex:
                 alpha[w[first], t] = np.add.reduceat(alpha[w, start[a:b]] * prob[piece[a:b]], first, axis=0)
         return alpha, alpha[np.arange(len(words)), length]
 
+    def long_word(self, word: str, prob: np.ndarray) -> np.ndarray:
+        """Log probability of a word of any length in every language: the last places only are held, and scaled as they fall."""
+        get, s, width = self.begins.get, _START + word, max(2, self.longest + 1)
+        alpha = np.zeros((width, prob.shape[1]))
+        alpha[0] = 1
+        log = np.zeros(prob.shape[1])
+        for i in range(len(s)):
+            if i % 8 == 0:
+                top = alpha.max(0)
+                alpha /= top
+                log += np.log(top)
+            now = alpha[i % width].copy()
+            alpha[i % width] = 0
+            if get(s[i], -1) < 0:
+                alpha[(i + 1) % width] += now * prob[self.n]
+            for j in range(i + 1, min(len(s), i + self.longest) + 1):
+                p = get(s[i:j])
+                if p is None:
+                    break
+                if p >= 0:
+                    alpha[j % width] += now * prob[p]
+        return log + np.log(alpha[len(s) % width])
+
     def expected(self, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected number of each piece in the words under ``prob`` (one language)."""
         m = self.matches(words)
@@ -124,7 +150,8 @@ def fit(
     About ``sample_docs`` documents a language, picked by a hash of the id, are
     counted into (language, word, n); executors compute the expected pieces of
     each round and the driver gets one number for each language and piece. The
-    language's prior is its share of the training rows.
+    language's prior is its share of the training rows. Runs of over 32 letters
+    are counted in parts of 32. Without training rows there are no languages.
     """
     spark = docs.sparkSession
     pieces = _letter_pieces(vocabulary_path)
@@ -133,8 +160,8 @@ def fit(
     if not sizes:
         return LanguageModel((), pieces, np.zeros((len(pieces) + 1, 0)), np.zeros(0))
     languages = tuple(sizes)
-    limit = F.element_at(F.create_map(*[F.lit(v) for k in languages for v in (k, int(min(1.0, sample_docs / sizes[k]) * (1 << 20)))]), F.col(lang_col))
-    picked = train.filter(F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1 << 20)) < limit)
+    limit = F.element_at(F.create_map(*[F.lit(v) for k in languages for v in (k, int(min(1.0, sample_docs / sizes[k]) * _DRAWS))]), F.col(lang_col))
+    picked = train.filter(F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(_DRAWS)) < limit)
     scratch = Scratch(spark, "language")
     counted = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count_words, "lang string, word string, n long")
     counted = scratch.stash(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
@@ -157,7 +184,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         by: dict[str, Counter] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            by.setdefault(lang, Counter()).update(words_of(text.as_py()))
+            by.setdefault(lang, Counter()).update(w[i : i + _LONG] for w in words_of(text.as_py()) for i in range(0, len(w), _LONG))
         rows = [(k, w, n) for k, c in by.items() for w, n in c.items()]
         yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
@@ -198,11 +225,16 @@ class _Scores:
         fresh = sorted(set().union(*texts) - place.keys())
         while len(self.table) < len(place) + len(fresh):
             self.table = np.concatenate((self.table, np.empty_like(self.table)))
+        long = [w for w in fresh if len(w) > _LONG]
+        fresh = [w for w in fresh if len(w) <= _LONG]
+        for w in long:
+            self.table[len(place)] = self.index.long_word(w, self.model.prob)
+            place[w] = len(place)
         for i in range(0, len(fresh), 4000):
             part = sorted(fresh[i : i + 4000], key=len)
             _, p = self.index.forward(part, self.model.prob)
             at = len(place)
-            self.table[at : at + len(part)] = np.log(np.maximum(p, 1e-300))
+            self.table[at : at + len(part)] = np.log(p)
             place.update(zip(part, range(at, at + len(part)), strict=True))
         return [self.table[np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))].sum(0) for ws in texts]
 
@@ -235,9 +267,11 @@ def predictor(model: LanguageModel, spark):
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``lang_pred`` and ``score``.
 
-    ``und`` with score 0 for a text that is null or has no letter, and for every
-    text if nothing could be learned. Ties go to the first language by code
-    point. Columns of those names are replaced.
+    ``und`` with score 0 for a text that is null, empty or has no letter, and for
+    every text if nothing could be learned. Ties go to the first language by code
+    point. Columns of those names are replaced. Whole texts count at any length,
+    and all segmentations of a run of letters at any length. Repeated rows get
+    equal results; an empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     out = docs.select(*kept, predictor(model, docs.sparkSession)(F.col(text_col)).alias("__p"))

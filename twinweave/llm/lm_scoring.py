@@ -1,17 +1,19 @@
 """Language-model scoring by cross-entropy difference.
 
 A target model (from trusted documents) and a background model (from all
-documents) are interpolated bigram models over one shared vocabulary. A
-document's score is the mean over its words of the target's loss minus the
-background's; lower is closer to the target. ``corpus_scores`` counts every word
-and bigram of the corpus; ``fit`` and ``with_lm_score`` are the bounded form, for
-a model that one machine holds: the most frequent words and a fixed number of
-hashed classes for all others.
+documents) are interpolated bigram models over one shared vocabulary: all words
+of the corpus. A document's score is the mean over its words of the target's loss
+minus the background's; lower is closer to the target.
+
+Every word and bigram counts. A block is the encoded documents of a bounded size
+of text. Blocks send their distinct words and bigrams to parts, which add up those
+that several blocks hold and send the sums back. What only one block holds has its
+counts there already. Blocks and parts have a bounded size; their number grows.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -23,149 +25,6 @@ from pyspark.sql import functions as F
 
 from twinweave.plans.scratch import Scratch
 
-_CLASSES = 255
-_CACHE = 300_000
-
-
-class Vocabulary(dict):
-    """Word to number: 0 before the first word, then the known words, then the classes of others."""
-
-    def __init__(self, words: list[bytes]):
-        super().__init__({w: i for i, w in enumerate(words, 1)})
-        self.known = len(words) + 1
-        self.size = self.known + _CLASSES
-
-    def __missing__(self, word: bytes) -> int:
-        h = self.known + int.from_bytes(blake2b(word, digest_size=4).digest(), "little") % _CLASSES
-        if len(self) < self.known + _CACHE:
-            self[word] = h
-        return h
-
-    def ids(self, text: bytes | None) -> np.ndarray:
-        w = (text or b"").lower().split()
-        return np.fromiter(map(self.__getitem__, w), np.int64, len(w))
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of a task's texts, handed on whenever the table of words is full."""
-    counts: Counter[bytes] = Counter()
-    for b in batches:
-        for t in b.column(0).cast(pa.binary()):
-            counts.update((t.as_py() or b"").lower().split())
-            if len(counts) > _CACHE:
-                yield _counted(counts)
-                counts = Counter()
-    yield _counted(counts)
-
-
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-
-def _bigram_counts(shared):
-    """(first, second, n, n_target) of a task's texts: a dense table of all pairs, then its cells that aren't 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
-        v = vocabulary.size
-        tables = np.zeros((2, v * v), np.int32)
-        for b in batches:
-            for target in (False, True):
-                texts = b.column(0).cast(pa.binary()).filter(b.column(1)) if target else b.column(0).cast(pa.binary())
-                for i in range(0, len(texts), 1000):
-                    seqs = [vocabulary.ids(t.as_py()) for t in texts[i : i + 1000]]
-                    cells = [np.concatenate(([0], s[:-1])) * v + s for s in seqs if len(s)]
-                    if cells:
-                        at, n = np.unique(np.concatenate(cells), return_counts=True)
-                        tables[int(target), at] += n.astype(np.int32)
-        at = np.flatnonzero(tables[0])
-        columns = [pa.array((at // v).astype(np.int32)), pa.array((at % v).astype(np.int32)), pa.array(tables[0, at], pa.int64()), pa.array(tables[1, at], pa.int64())]
-        yield pa.record_batch(columns, names=["first", "second", "n", "n_target"])
-
-    return run
-
-
-def _losses(uni: np.ndarray, mass: float):
-    """Per first word: losses of every second word in both models, as packed float32."""
-
-    def run(table: pa.Table) -> pa.Table:
-        out = [table.column("first")[:1]]
-        second = table.column("second").to_numpy()
-        for k, name in enumerate(("n_target", "n")):
-            n = np.zeros(uni.shape[1])
-            n[second] = table.column(name).to_numpy()
-            # a context's weight grows with its count against the number of its continuations (Witten-Bell)
-            kinds, total = np.count_nonzero(n), n.sum()
-            p = (n + kinds * uni[k]) / (total + kinds) if total else uni[k]
-            out.append(pa.array([(-np.log((1 - mass) * p + mass * uni[k])).astype("<f4").tobytes()], pa.binary()))
-        return pa.table(out, names=["first", "target", "background"])
-
-    return run
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_words: int = 1792) -> tuple[list[bytes], np.ndarray]:
-    """(known words, losses[model, first, second]) with model 0 the target and 1 the background.
-
-    All words and bigrams of all documents are counted; ``target_ids`` (one
-    column ``id_col``) names the target's documents. ``vocabulary_words`` is the
-    size of the vocabulary, which bounds what the driver and executors hold: two
-    numbers for each pair of vocabulary entries.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
-    text = docs.select(F.col(text_col).alias("text"))
-    words = scratch.stash(text.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    known = [bytes(r[0]) for r in words.orderBy(F.desc("n"), "word").limit(vocabulary_words).collect()]
-    shared = spark.sparkContext.broadcast(known)
-    marks = target_ids.select(F.col(id_col).alias("__id")).filter("__id is not null").distinct().withColumn("target", F.lit(True))
-    # target_ids has no bound, so it is never broadcast: the join is a sort-merge one at every size
-    flagged = docs.join(marks.hint("merge"), docs[id_col] == marks["__id"], "left").select(F.col(text_col).alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
-    cells = flagged.mapInArrow(_bigram_counts(shared), "first int, second int, n long, n_target long")
-    cells = scratch.stash(cells.groupBy("first", "second").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "bigrams")
-    v = Vocabulary(known).size
-    uni = np.full((2, v), 0.5)
-    for r in cells.groupBy("second").agg(F.sum("n_target").alias("t"), F.sum("n").alias("b")).collect():
-        uni[:, r["second"]] += r["t"], r["b"]
-    uni /= uni.sum(1, keepdims=True)
-    losses = np.broadcast_to(-np.log(uni).astype("<f4")[:, None, :], (2, v, v)).copy()
-    rows = cells.groupBy("first").applyInArrow(_losses(uni, 0.01), "first int, target binary, background binary")
-    for r in rows.toLocalIterator():
-        losses[0, r["first"]] = np.frombuffer(r["target"], "<f4")
-        losses[1, r["first"]] = np.frombuffer(r["background"], "<f4")
-    return known, losses
-
-
-def with_lm_score(docs: DataFrame, model: tuple[list[bytes], np.ndarray], text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``n_words``, ``target_loss``, ``background_loss`` (nats a word) and ``ce_difference``.
-
-    Losses are null for texts without words. Columns of those names are replaced.
-    Words are compared in lower case (A-Z). Equal texts have equal scores.
-    """
-    known, losses = model
-    shared = docs.sparkSession.sparkContext.broadcast((known, losses.reshape(2, -1)))
-
-    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary, table = Vocabulary(shared.value[0]), shared.value[1]
-        for column in texts:
-            sizes, means = [], []
-            for t in column.cast(pa.binary()):
-                s = vocabulary.ids(t.as_py())
-                sizes.append(len(s))
-                cells = np.concatenate(([0], s[:-1])) * vocabulary.size + s if len(s) else s
-                means.append(table[:, cells].mean(1, dtype=np.float64) if len(s) else (None, None))
-            parts = [pa.array(sizes, pa.int64()), *(pa.array([m[k] for m in means], pa.float64()) for k in (0, 1))]
-            yield pa.StructArray.from_arrays(parts, names=["n", "t", "b"])
-
-    kept = [c for c in docs.columns if c not in ("n_words", "target_loss", "background_loss", "ce_difference")]
-    out = docs.select(*kept, F.arrow_udf(score, "struct<n: bigint, t: double, b: double>")(F.col(text_col)).alias("__s"))
-    out = out.select(*kept, F.col("__s.n").alias("n_words"), F.col("__s.t").alias("target_loss"), F.col("__s.b").alias("background_loss"))
-    return out.withColumn("ce_difference", F.col("target_loss") - F.col("background_loss"))
-
-
-# The whole corpus: every word and bigram counts. A block is the encoded documents of about _BLOCK_BYTES of text. Blocks
-# send their distinct words and bigrams to parts, which add up those that several blocks hold and send the sums back.
-# What only one block holds has its counts there already. Blocks and parts have a bounded size; their number grows.
-
 _BLOCK_BYTES = 24 << 20
 #: Occurrences that a context's word frequencies count for beside its bigrams.
 _PRIOR = 10.0
@@ -379,17 +238,24 @@ def _score_block(parts: int, totals: list[int], kinds: int, kinds_target: int, i
 def corpus_scores(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = _BLOCK_BYTES) -> DataFrame:
     """(``id_col``, n_words, target_loss, background_loss, ce_difference) of each row of ``docs``.
 
-    The models hold all words and bigrams of all documents, without a limit;
-    words and nulls are those of ``with_lm_score``. Words are told apart by a
-    64-bit hash. ``block_bytes`` is what a task encodes at once; scores don't
-    depend on it.
+    ``target_ids`` (one column ``id_col``) names the target's documents; without
+    any its model is the corpus's word frequencies. The models hold all words and bigrams of all
+    documents, without a limit. Words are compared in lower case (A-Z) and told
+    apart by a 64-bit hash. Losses are in nats a word, and null for texts that are
+    null, empty or without words. Texts count whole at any length; equal texts
+    have equal scores, and repeated rows count as often as they stand there. Rows
+    with a null id aren't of the target. An empty table gives an empty result.
+    ``block_bytes`` is what a task encodes at once; scores don't depend on it.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     id_type = docs.schema[id_col].dataType.simpleString()
-    marks = target_ids.select(F.col(id_col).alias("__id")).filter("__id is not null").distinct().withColumn("target", F.lit(True))
+    marks = target_ids.select(F.col(id_col).alias("id")).filter("id is not null").distinct().select("id", F.lit(0).alias("deal"), F.lit(True).alias("target"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # rows without an id have no match, and are dealt out by their text
+    keyed = keyed.withColumn("deal", F.when(F.col("id").isNull(), F.hash("text")).otherwise(0))
     # target_ids has no bound, so it is never broadcast: the join is a sort-merge one at every size
-    flagged = docs.join(marks.hint("merge"), docs[id_col] == marks["__id"], "left").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
+    flagged = keyed.join(marks.hint("merge"), ["id", "deal"], "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     blocks = scratch.stash(flagged.mapInArrow(_encode(block_bytes), f"block long, ids array<{id_type}>, sizes binary, target binary, tokens binary, hashes binary, totals array<long>"), "blocks")
     sums = blocks.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)) for i in range(4))).first()
     parts, totals = max(1, sums[0]), list(sums[1:])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinweave.llm.words import n_words, words
+from twinweave.llm.words import n_words, unused, words
 from twinweave.plans.scratch import Scratch
 
 _DRAWS = 1 << 60
@@ -129,18 +129,20 @@ def materialise(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id", text_
     """The mixed corpus: documents repeated as often as taken, the last repetition cut to the words left.
 
     ``taken`` has (id, size, taken) as ``mix`` gives them for ``docs``. Rows whose
-    id has no entry or takes nothing are left out. Rows that repeat an id and a
+    id has no entry or takes nothing are left out, and so are null texts and those
+    without words, of which nothing can be taken. Rows that repeat an id and a
     size are taken alike, as often as the one of them that is taken most. A cut
-    repetition is its first words with single spaces.
+    repetition is its first words with single spaces. Columns of any names are
+    kept. An empty table gives an empty result.
     """
-    t = taken.groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size")).agg(F.max("taken").alias("__taken")).filter("__taken > 0")
-    whole = F.floor(F.col("__taken") / F.col("__size")).cast("int")
-    part = (F.col("__taken") - whole * F.col("__size")).cast("int")
-    parts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    sized = docs.withColumn("__words", n_words(text_col))
-    rows = sized.join(t, sized[id_col].eqNullSafe(t["__id"]) & (sized["__words"] == t["__size"])).withColumn("__part", F.explode(parts))
-    cut = F.array_join(F.slice(words(text_col), 1, F.col("__part")), " ")
-    return rows.withColumn(text_col, F.when(F.col("__part") > 0, cut).otherwise(F.col(text_col))).select(*docs.columns)
+    own, size, n, part = unused(docs, "taken_id", "taken_size", "taken_words", "taken_part")
+    t = taken.groupBy(F.col(id_col).alias(own), F.col("size").alias(size)).agg(F.max("taken").alias(n)).filter(F.col(n) > 0)
+    whole = F.floor(F.col(n) / F.col(size)).cast("int")
+    rest = (F.col(n) - whole * F.col(size)).cast("int")
+    parts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = docs.join(t, docs[id_col].eqNullSafe(t[own]) & (n_words(docs[text_col]) == t[size])).withColumn(part, F.explode(parts))
+    cut = F.array_join(F.slice(words(text_col), 1, F.col(part)), " ")
+    return rows.withColumn(text_col, F.when(F.col(part) > 0, cut).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

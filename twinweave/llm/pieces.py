@@ -9,6 +9,7 @@ sum of piece scores; of equal sums the one with the longer last piece.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -86,29 +87,28 @@ class Automaton:
 
     def viterbi(self, text: str) -> list[int]:
         nxt, fail, out = self.next, self.fail, self.out
-        best = [0.0] * (len(text) + 1)
-        back: list[tuple[int, int]] = [(0, -1)] * (len(text) + 1)
+        best, steps, pids = array("d", bytes(8 * len(text) + 8)), array("i", bytes(4 * len(text) + 4)), array("i", bytes(4 * len(text) + 4))
         state = 0
         for i, ch in enumerate(text, 1):
             while state and ch not in nxt[state]:
                 state = fail[state]
             state = nxt[state].get(ch, 0)
             # the character's own bytes, unless it is a piece
-            top, step = best[i - 1] + self.byte_score, (1, -1)
+            top, step, via = best[i - 1] + self.byte_score, 1, -1
             for length, score, pid in out[state]:
                 s = best[i - length] + score
                 if s > top:
-                    top, step = s, (length, pid)
-            best[i], back[i] = top, step
+                    top, step, via = s, length, pid
+            best[i], steps[i], pids[i] = top, step, via
         ids: list[int] = []
         i = len(text)
         while i:
-            length, pid = back[i]
+            pid = pids[i]
             if pid < 0:
                 ids.extend(self.byte_ids[b] for b in reversed(text[i - 1].encode()))
             else:
                 ids.append(pid)
-            i -= length
+            i -= steps[i]
         ids.reverse()
         return ids
 

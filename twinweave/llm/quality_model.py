@@ -156,12 +156,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Trees from labelled documents that aren't held out.
 
     At most about ``sample_rows`` labelled ids are used, picked by a hash of the
-    id; their statistics are what reaches the driver. An id with several labels
-    counts with the least. Null ids and labels are left out.
+    id; their statistics are what reaches the driver, one row an id: of documents
+    that repeat an id, the one whose text has the least hash counts. An id with
+    several labels counts with the least. Null ids and labels are left out. Null
+    and empty texts count as texts without words. Without labelled rows the score
+    is one half.
     """
     known = labels.filter(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("double").alias("y"))
     share = min(1.0, sample_rows / max(1, known.count()))
-    picked = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    picked = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 60)) < int(share * (1 << 60)))
 
     @F.arrow_udf("array<double>")
     def stats(texts: pa.Array) -> pa.Array:
@@ -169,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # the sample is bounded by sample_rows, so it may go to every executor
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    rows = rows.groupBy("id").agg(F.min("y").alias("y"), F.min_by(F.struct("text"), F.xxhash64("text")).alias("t")).select("id", "y", F.col("t.text").alias("text"))
     got = rows.select("id", "y", stats("text").alias("x")).toPandas().sort_values("id", kind="stable")
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(STATISTICS))
     return fit_trees(x, got["y"].to_numpy(float))
@@ -187,8 +191,9 @@ def scorer(model: Trees):
 def with_quality(docs: DataFrame, model: Trees, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` plus ``score`` (0 to 1) and ``predicted`` (1 if the score reaches ``threshold``).
 
-    Only the text counts; null text is scored as empty. Columns of those names
-    are replaced. Equal texts have equal scores.
+    Only the text counts, the whole of it at any length; null text is scored as
+    empty. Columns of those names are replaced. Equal texts have equal scores, so
+    repeated rows agree. An empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     out = docs.select(*kept, scorer(model)(F.col(text_col)).alias("score"))

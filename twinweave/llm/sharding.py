@@ -15,9 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Working columns.
-_WORKING = ("__bucket", "__in_bucket", "__bucket_start", "__n_rows", "__scatter", "__place", "__position")
-
+from twinweave.llm.words import unused
 
 def record_bytes(text: str | Column) -> Column:
     """UTF-8 bytes of the text (null: none) plus 16."""
@@ -63,35 +61,32 @@ def shuffle_into_shards(
     different keys spread over all buckets. Nulls hash like any value. Rows that
     are equal in key and text are interchangeable and stay in one bucket. An
     empty table gives an empty result. Columns named like the two outputs are
-    replaced. Buckets hold about ``bucket_bytes``
-    of text and ``bucket_rows`` rows at most on average; a bucket is the unit that
-    one task sorts.
+    replaced, others of any names are kept. A text of any length is one record.
+    Buckets hold ``bucket_bytes`` of text and ``bucket_rows`` rows on average, and
+    rows are dealt to as many tasks as there are buckets, each of which sorts its
+    own. A row's place follows from the rows, the seed and the parameters only,
+    not from the session or the partitions that the rows come in.
     """
-    spark = docs.sparkSession
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    docs = docs.drop("shard", "slot", *_WORKING)
+    docs = docs.drop("shard", "slot")
     stats = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = max(4 * width, -(-stats[0] // bucket_rows), -(-(stats[1] or 0) // bucket_bytes))
-    scatter = F.xxhash64(F.lit(seed), *key, F.xxhash64(text_col))
-    placed = docs.withColumn("__scatter", scatter).withColumn("__bucket", F.pmod("__scatter", F.lit(n_buckets)))
-    counts = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
+    n_buckets = max(1, -(-stats[0] // bucket_rows), -(-(stats[1] or 0) // bucket_bytes))
+    bucket, n, start, total, draw, place = unused(docs, "bucket", "in_bucket", "bucket_start", "n_rows", "scatter", "place")
+    scattered = docs.withColumn(draw, F.xxhash64(F.lit(seed), *key, F.xxhash64(text_col)))
+    scattered = scattered.withColumn(bucket, F.pmod(draw, F.lit(n_buckets)))
     # One row for each bucket, never for each record.
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        "__bucket",
-        F.col("n").alias("__in_bucket"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__bucket_start"),
-        F.sum("n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__n_rows"),
-    )
-    order = Window.partitionBy("__bucket").orderBy("__scatter")
-    placed = placed.join(starts, "__bucket").withColumn("__place", F.row_number().over(order) - 1)
-    position = F.col("__bucket_start") + _fisher_yates(seed)("__bucket", "__in_bucket", "__place")
-    placed = placed.withColumn("__position", position)
-    shard = F.expr(f"(__position * {n_shards}) div __n_rows")
-    first = F.expr(f"(shard * __n_rows + {n_shards - 1}) div {n_shards}")
-    return placed.withColumn("shard", shard).withColumn("slot", F.col("__position") - first).select(*docs.columns, F.col("shard").cast("int"), "slot")
+    counts = scattered.groupBy(bucket).agg(F.count(F.lit(1)).alias(n))
+    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = counts.select(bucket, n, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start), F.sum(n).over(everything).alias(total))
+    order = Window.partitionBy(bucket).orderBy(draw)
+    placed = scattered.repartition(n_buckets, bucket).join(starts, bucket).withColumn(place, F.row_number().over(order) - 1)
+    placed = placed.withColumn(place, F.col(start) + _fisher_yates(seed)(bucket, n, place))
+    shard = F.expr(f"({place} * {n_shards}) div {total}")
+    first = F.expr(f"(shard * {total} + {n_shards - 1}) div {n_shards}")
+    placed = placed.withColumn("shard", shard).withColumn("slot", F.col(place) - first)
+    return placed.select(*docs.columns, F.col("shard").cast("int"), "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

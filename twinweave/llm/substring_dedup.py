@@ -14,9 +14,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinweave.llm.words import unused
 from twinweave.plans.scratch import Scratch
 
 _RADIUS = 16
@@ -69,8 +70,8 @@ def chunk_ends(text: bytes, longest: int = 128) -> list[int]:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        docs, starts, ends, digests, again = [], [], [], [], []
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+        docs, keys, starts, ends, digests, again = [], [], [], [], [], []
+        for i, key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
             text = t.as_py() or b""
             cuts = chunk_ends(text)
             seen: set[bytes] = set()
@@ -82,69 +83,82 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(d)
                 at = e
             docs.extend([i] * len(cuts))
+            keys.extend([key] * len(cuts))
             starts.extend([0, *cuts[:-1]] if cuts else [])
             ends.extend(cuts)
             if len(docs) > 500_000:
-                yield _batch(docs, starts, ends, digests, again)
-                docs, starts, ends, digests, again = [], [], [], [], []
-        yield _batch(docs, starts, ends, digests, again)
+                yield _batch(docs, keys, starts, ends, digests, again)
+                docs, keys, starts, ends, digests, again = [], [], [], [], [], []
+        yield _batch(docs, keys, starts, ends, digests, again)
 
 
-def _batch(docs, starts, ends, digests, again) -> pa.RecordBatch:
+def _batch(docs, keys, starts, ends, digests, again) -> pa.RecordBatch:
     digest = np.frombuffer(b"".join(digests), "<i8")
-    columns = [pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digest, pa.int64()), pa.array(again, pa.bool_())]
-    return pa.record_batch(columns, names=["id", "start", "end", "digest", "again"])
+    columns = [pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digest, pa.int64()), pa.array(again, pa.bool_())]
+    return pa.record_batch(columns, names=["id", "text_key", "start", "end", "digest", "again"])
+
+
+def text_key(text: str | Column) -> Column:
+    """Hash by which a span names its text among those of one id."""
+    return F.xxhash64(text)
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 120) -> DataFrame:
-    """(id, start_byte, end_byte, first_id): spans of whole chunks that stand earlier, in this or another document.
+    """(id, text_key, start_byte, end_byte, first_id): spans of whole chunks that stand earlier, in this or another document.
 
+    ``text_key`` is the hash of the text that the span is in, see ``text_key``.
     ``first_id`` is the least document that holds the span's first chunk, or the
     document itself where that chunk stands earlier in it. A span
     is at least ``min_bytes`` long; a passage loses at most the parts of chunks
-    at its two ends. Null, empty and short texts have no spans. Rows with a null
-    id take no part. Rows that share an id are one document, so a repeated row
-    isn't a copy of itself. An empty table gives no rows. Chunks are equal if
+    at its two ends. Null, empty and short texts have no spans, and texts of any
+    length are taken whole. Rows with a null id take no part. Rows that share an
+    id are one document, so a repeated row isn't a copy of itself, and passages
+    that only they share stay. An empty table gives no rows. Chunks are equal if
     their 64-bit digests are.
     """
     scratch = Scratch(docs.sparkSession, "substring")
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    chunks = scratch.stash(keyed.mapInArrow(_chunks, "id long, start int, end int, digest long, again boolean"), "chunks")
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    chunks = scratch.stash(keyed.mapInArrow(_chunks, "id long, text_key long, start int, end int, digest long, again boolean"), "chunks")
     firsts = chunks.filter("not again").groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     firsts = scratch.stash(firsts.filter("first_id <> last_id").select("digest", "first_id"), "firsts")
-    across = chunks.filter("not again").join(firsts, "digest").filter("id <> first_id").select("id", "start", "end", "first_id")
-    within = chunks.filter("again").select("id", "start", "end", F.col("id").alias("first_id"))
-    repeated = across.union(within).groupBy("id", "start", "end").agg(F.min("first_id").alias("first_id"))
-    order = Window.partitionBy("id").orderBy("start", "end")
+    across = chunks.filter("not again").join(firsts, "digest").filter("id <> first_id").select("id", "text_key", "start", "end", "first_id")
+    within = chunks.filter("again").select("id", "text_key", "start", "end", F.col("id").alias("first_id"))
+    repeated = across.union(within).groupBy("id", "text_key", "start", "end").agg(F.min("first_id").alias("first_id"))
+    order = Window.partitionBy("id", "text_key").orderBy("start", "end")
     opens = F.when(F.col("start") == F.lag("end").over(order), 0).otherwise(1)
     runs = repeated.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order))
-    spans = runs.groupBy("id", "run").agg(
+    spans = runs.groupBy("id", "text_key", "run").agg(
         F.min("start").alias("start_byte"), F.max("end").alias("end_byte"), F.min_by("first_id", "start").alias("first_id")
     )
-    return spans.filter(F.col("end_byte") - F.col("start_byte") >= min_bytes).select(F.col("id").alias(id_col), "start_byte", "end_byte", "first_id")
+    return spans.filter(F.col("end_byte") - F.col("start_byte") >= min_bytes).select(F.col("id").alias(id_col), "text_key", "start_byte", "end_byte", "first_id")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str | None = None) -> DataFrame:
     """``docs`` with the spans cut out of their texts; texts without spans stay as they are.
 
-    ``mark`` names a boolean column to add: whether the row's text was cut.
+    A span counts for rows of its id and text only, so rows that share an id and
+    differ in text are cut apart, and repeated rows alike. Null and empty texts
+    and rows with a null id stay. Columns of any names are kept. ``mark`` names a
+    boolean column to add: whether the row's text was cut. Without spans or rows
+    the result is ``docs``.
     """
-    per_doc = spans.groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("__cuts"))
-    both = docs.join(per_doc, docs[id_col] == per_doc["__id"], "left")
+    own, key, cuts = unused(docs, "span_id", "span_text", "span_cuts")
+    per_doc = spans.groupBy(F.col(id_col).alias(own), F.col("text_key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias(cuts))
+    both = docs.join(per_doc, (docs[id_col] == per_doc[own]) & (text_key(docs[text_col]) == per_doc[key]), "left")
     raw = F.encode(F.col(text_col), "UTF-8")
-    n = F.size("__cuts")
+    n = F.size(cuts)
     pieces = F.transform(
         F.sequence(F.lit(0), n),
         lambda i: F.substring(
             raw,
-            F.coalesce(F.get("__cuts", i - 1)["end_byte"], F.lit(0)) + 1,
-            F.coalesce(F.get("__cuts", i)["start_byte"], F.octet_length(text_col)) - F.coalesce(F.get("__cuts", i - 1)["end_byte"], F.lit(0)),
+            F.coalesce(F.get(cuts, i - 1)["end_byte"], F.lit(0)) + 1,
+            F.coalesce(F.get(cuts, i)["start_byte"], F.octet_length(text_col)) - F.coalesce(F.get(cuts, i - 1)["end_byte"], F.lit(0)),
         ),
     )
     joined = F.decode(F.unhex(F.array_join(F.transform(pieces, lambda p: F.hex(p)), "")), "UTF-8")
-    both = both.withColumn(text_col, F.when(F.col("__cuts").isNotNull(), joined).otherwise(F.col(text_col)))
+    both = both.withColumn(text_col, F.when(F.col(cuts).isNotNull(), joined).otherwise(F.col(text_col)))
     if mark:
-        both = both.withColumn(mark, F.col("__cuts").isNotNull())
+        both = both.withColumn(mark, F.col(cuts).isNotNull())
     return both.select(*docs.columns, *[mark] * bool(mark))
 
 
