@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinweave.llm import mixing, ngram_join, pieces, quality_model, substring_dedup
-from twinweave.llm.words import n_words
+from twinweave.llm.words import n_words, unused
 from twinweave.plans.scratch import Scratch
 from twinweave.plans.session import ship_package
 
-#: Least words that a text keeps after duplicate passages are cut out of it.
-LEAST_WORDS = 5
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from labelled rows of ``docs``."""
+    """Documents that the quality classifier accepts; it learns from labelled rows of ``docs``.
+
+    Null and empty texts are scored as texts without words, and whole texts at any
+    length. Repeated rows are judged alike; an empty table stays empty.
+    """
     ship_package(spark)
     model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_model.with_quality(docs, model).filter("predicted = 1").select(*docs.columns)
@@ -28,7 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at similarity 0.8 of five-word shingles: the one with the least id.
 
-    Rows without an id stay. Of rows that repeat the kept id, all stay.
+    Rows without an id stay, as do null, empty and blank texts, which link with
+    nothing. Of rows that repeat the kept id, all stay. Whole texts count.
     """
     ship_package(spark)
     groups = ngram_join.jaccard_components(docs, width=5, percent=80)
@@ -37,16 +38,23 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages cut out of all but the first document that holds them; texts of which nothing is left go."""
+    """Repeated passages cut out of all but the first document that holds them.
+
+    A text that was cut goes if no word is left of it; one with any word stays.
+    Null and empty texts and rows without an id stay as they are.
+    """
     ship_package(spark)
-    spans = substring_dedup.duplicate_spans(docs)
-    cut = substring_dedup.remove_spans(docs, spans, mark="__cut")
-    kept = cut.filter(~F.col("__cut") | (n_words("text") >= LEAST_WORDS))
-    return kept.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    (mark,) = unused(docs, "was_cut")
+    cut = substring_dedup.remove_spans(docs, substring_dedup.duplicate_spans(docs), mark=mark)
+    kept = cut.filter(~F.col(mark) | (n_words("text") > 0))
+    return kept.withColumn("n_chars", F.when(F.col(mark), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out as the mix asks; a last repetition may be the document's first words only."""
+    """Documents repeated or left out as the mix asks; a last repetition may be the document's first words only.
+
+    Nothing can be taken of null texts and texts without words, so they go.
+    """
     ship_package(spark)
     taken = Scratch(spark, "pipeline").stash(mixing.mix(docs), "taken")
     mixed = mixing.materialise(docs, taken)
@@ -54,7 +62,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, with the check that they decode to its text."""
+    """Piece ids of every document, with the check that they decode to its text; null and empty texts have none."""
     ship_package(spark)
     return pieces.pieces_digest(docs)
 
