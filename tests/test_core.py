@@ -196,3 +196,34 @@ def test_trend_directions(spark):
     rows = [(3600 * h + i, f"{i}", v) for h, vs in enumerate(([1.0, 1.0, 1.0], [1.0, 2.0], [2.0, 1.0], [1.0, 1.1], [0.0, 1.0], [5.0])) for i, v in enumerate(vs)]
     got = metrics.trends(spark.createDataFrame(rows, "ts long, sample_id string, v double"), "v", "hour").orderBy("period_s").collect()
     assert [r["direction"] for r in got] == ["stable", "increasing", "decreasing", "volatile", None, "stable"]
+
+
+@pytest.mark.parametrize("n", [100, 30_000, 10**7, 10**12])
+def test_near_hashes_have_a_key_in_common(spark, n):
+    """For tables of every size: the keys of two hashes within the distance meet, and are as many as the bands' choices."""
+    rng = random.Random(n)
+    together = pairs._bands_together(n, 5)
+    rows = []
+    for _ in range(60):
+        x = rng.getrandbits(64)
+        y = x
+        for bit in rng.sample(range(64), 5):
+            y ^= 1 << bit
+        rows.append((x - (1 << 63), y - (1 << 63)))
+    df = spark.createDataFrame(rows, "x long, y long").withColumns({"kx": pairs.band_keys("x", 5, together), "ky": pairs.band_keys("y", 5, together)})
+    assert df.filter(F.size(F.array_intersect("kx", "ky")) > 0).count() == 60
+    assert df.select(F.size("kx")).first()[0] == len(list(itertools.combinations(range(5 + together), together)))
+    assert together == {100: 1, 30_000: 2, 10**7: 3, 10**12: 4}[n]
+
+
+def test_lookups_equal_brute_force(spark):
+    rng = random.Random(8)
+    hashes = [(i, rng.getrandbits(63)) for i in range(80)]
+    hashes += [(100 + i, hashes[i % 80][1] ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63))) for i in range(120)] + [(300, hashes[0][1]), (301, None)]
+    df = spark.createDataFrame(hashes, "id long, hash long")
+    got = {(r["probe_id"], r["file_id"], r["distance"]) for r in pairs.within_distance(df, df.filter("id % 3 = 0")).collect()}
+    want = {(i, j, (x ^ y).bit_count()) for i, x in hashes for j, y in hashes if i % 3 == 0 and i != j and x is not None and y is not None and (x ^ y).bit_count() <= 5}
+    assert got == want
+    both = {(r["hash_a"], r["hash_b"]) for r in pairs.hamming_pairs(df).collect()}
+    assert both == {(x, y) for _, x in hashes for _, y in hashes if x is not None and y is not None and x < y and (x ^ y).bit_count() <= 5}
+    assert pairs.within_distance(df, df.limit(0)).count() == 0

@@ -77,3 +77,18 @@ def test_exclude_rules(spark):
 def test_dates(spark):
     df = spark.createDataFrame([("2024:01:02 03:04:05",), ("2024-01-02T03:04:05Z",), ("no",)], "s string")
     assert [r[0] for r in df.select(fs.parse_exif_date(F.col("s"))).collect()] == [1704164645, 1704164645, None]
+
+
+def test_rules_of_a_table(spark):
+    import random
+
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("ab/") for _ in range(n))
+    paths = [*{"/" + text(rng.randrange(12)) for _ in range(150)}, None, ""]
+    rules = [(rng.choice(["prefix", "suffix", "contains"]), text(rng.randrange(4, 8))) for _ in range(12)] + [("prefix", None), ("glob", "aa")]
+    test = {"prefix": str.startswith, "suffix": str.endswith, "contains": str.__contains__}
+    want = [p for p in paths if p is None or not any(t is not None and k in test and test[k](p, t) for k, t in rules)]
+    got = fs.excluded_by_table(spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame(rules, "kind string, text string"))
+    assert sorted((r["path"] for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert fs.excluded_by_table(got, spark.createDataFrame([], "kind string, text string")).count() == len(want)
+    assert fs.excluded_by_table(got, spark.createDataFrame([("suffix", "")], "kind string, text string")).count() == 1

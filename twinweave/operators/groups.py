@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from twinweave.operators.keepers import keepers
 from twinweave.operators.pairs import blocked_pairs, bucketed, exact_edges, policy_edges, without_pairs
 from twinweave.operators.scoring import label, scored
 from twinweave.plans.config import Limits, Thresholds, Weights
+from twinweave.plans.scratch import Scratch
 
 #: Names of signals for people (fixed values).
 LABELS = {
@@ -18,10 +21,10 @@ LABELS = {
 }
 
 
-def candidate_buckets(assets: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """G1: buckets of two files or more with their size and number of pairs."""
+def candidate_buckets(assets: DataFrame, t: Thresholds = Thresholds(), least: int = 2) -> DataFrame:
+    """G1: buckets of ``least`` files or more with their size and number of pairs."""
     b = bucketed(assets, t).groupBy("media_type", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    return b.filter("n > 1").withColumn("comparisons", F.expr("n * (n - 1) div 2"))
+    return b.filter(F.col("n") >= least).withColumn("comparisons", F.expr("n * (n - 1) div 2"))
 
 
 def bucket_members(assets: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -39,7 +42,8 @@ def compared_members(assets: DataFrame, limits: Limits = Limits(), t: Thresholds
 
 def detection_edges(assets: DataFrame, w: Weights = Weights(), t: Thresholds = Thresholds(), limits: Limits = Limits(), ignored: DataFrame | None = None) -> DataFrame:
     """Checksum, compared and policy edges together, with signals."""
-    policy = policy_edges(assets, w)
+    # read twice: as edges and as pairs that need no comparison
+    policy = Scratch(assets.sparkSession, "policy").stash(policy_edges(assets, w), "edges")
     exact = exact_edges(assets)
     if ignored is not None:
         policy, exact = without_pairs(policy, ignored), without_pairs(exact, ignored)
@@ -82,8 +86,8 @@ def group_results(edges: DataFrame, members: DataFrame, evidence: DataFrame, ass
     of = members.select(F.col("id").alias("a"), "group_id")
     lines = edges.join(of, "a").select("group_id", F.explode("rationale").alias("line")).distinct().groupBy("group_id").agg(F.sort_array(F.collect_list("line")).alias("rationale"))
     full = members.join(assets, "id")
-    over = bucketed(assets, t).groupBy("media_type", "bucket").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > limits.bucket_size) | (F.expr("n * (n - 1) div 2") > limits.comparisons_per_bucket))
-    partial = bucketed(full, t).join(over.drop("n"), ["media_type", "bucket"], "left_semi").select("group_id").distinct().withColumn("bucket_incomplete", F.lit(True))
+    over = candidate_buckets(assets, t).filter((F.col("n") > limits.bucket_size) | (F.col("comparisons") > limits.comparisons_per_bucket))
+    partial = bucketed(full, t).join(over.select("media_type", "bucket"), ["media_type", "bucket"], "left_semi").select("group_id").distinct().withColumn("bucket_incomplete", F.lit(True))
     sizes = full.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_members"), F.sum("file_size").alias("bytes"))
     top = evidence.groupBy("group_id").agg(F.max("confidence").alias("confidence"))
     kept = keepers(full).join(assets.select(F.col("id").alias("keeper_id"), F.col("file_size").alias("keeper_size"), F.col("media_type")), "keeper_id")
@@ -127,14 +131,17 @@ def group_evidence(evidence: DataFrame, media: DataFrame, t: Thresholds = Thresh
     return best.select("group_id", "key", F.coalesce(names[F.col("key")], F.initcap("key")).alias("label"), F.col("top.contribution").alias("contribution"), d.alias("distance_text"), h.alias("threshold_text"), v.alias("verdict"))
 
 
-def detection_metrics(assets: DataFrame, compared: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Files, comparisons made, all possible pairs, reduction in percent, buckets and their average size."""
-    none = F.lit(None).cast("double")
-    n = assets.agg(F.count(F.lit(1)).cast("double").alias("assets"), none.alias("comparisons"), none.alias("buckets"), none.alias("average_bucket"))
-    c = compared.agg(none.alias("assets"), F.count(F.lit(1)).cast("double").alias("comparisons"), none.alias("buckets"), none.alias("average_bucket"))
-    k = buckets.agg(none.alias("assets"), none.alias("comparisons"), F.count(F.lit(1)).cast("double").alias("buckets"), F.avg("n").alias("average_bucket"))
-    counts = [F.max(x).cast("long").alias(x) for x in ("assets", "comparisons", "buckets")]
-    out = n.unionByName(c).unionByName(k).agg(*counts, F.max("average_bucket").alias("average_bucket")).withColumn("naive", F.expr("assets * (assets - 1) div 2"))
+def detection_metrics(assets: DataFrame, compared: DataFrame, buckets: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Files, comparisons made, all possible pairs, reduction in percent, buckets and their average size.
+
+    ``incomplete`` is whether H10's limits left comparisons out in any bucket.
+    """
+    cut = (F.col("n") > limits.bucket_size) | (F.col("comparisons") > limits.comparisons_per_bucket)
+    found = {"assets": (assets, F.count(F.lit(1))), "comparisons": (compared, F.count(F.lit(1))), "buckets": (buckets, F.count(F.lit(1))), "average_bucket": (buckets, F.avg("n")), "cut": (buckets, F.count_if(cut))}
+    parts = [df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("name"), "value") for name, (df, value) in found.items()]
+    of = lambda name, kind="long": F.max(F.when(F.col("name") == name, F.col("value"))).cast(kind).alias(name)
+    out = reduce(DataFrame.union, parts).agg(of("assets"), of("comparisons"), of("buckets"), of("average_bucket", "double"), of("cut"))
+    out = out.withColumns({"naive": F.expr("assets * (assets - 1) div 2"), "incomplete": F.col("cut") > 0}).drop("cut")
     return out.withColumn("reduction_pct", F.when(F.col("naive") > 0, (1 - F.col("comparisons") / F.col("naive")) * 100).otherwise(0.0))
 
 

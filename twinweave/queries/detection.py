@@ -236,10 +236,10 @@ def g04(spark, sf_dir):
     return _results(spark, sf_dir).withColumn("confidence", F.round("confidence", 6)).withColumn("rationale", F.array_join("rationale", " "))
 
 
-@query("g05_detection_metrics", f"WITH {A}, {BUCKETS}, k AS (SELECT count(*) AS buckets, avg(n) AS average_bucket FROM n WHERE n > 1), c AS (SELECT count(*) AS comparisons FROM blocked), t AS (SELECT count(*) AS assets FROM assets) SELECT assets, comparisons, buckets, average_bucket, assets * (assets - 1) // 2 AS naive, round((1 - comparisons / (assets * (assets - 1) / 2)) * 100, 6) AS reduction_pct FROM t, c, k")
+@query("g05_detection_metrics", f"WITH {A}, {BUCKETS}, k AS (SELECT count(*) AS buckets, avg(n) AS average_bucket, bool_or(n > 256 OR n * (n - 1) // 2 > 10000) AS incomplete FROM n), c AS (SELECT count(*) AS comparisons FROM blocked), t AS (SELECT count(*) AS assets FROM assets) SELECT assets, comparisons, buckets, average_bucket, assets * (assets - 1) // 2 AS naive, round((1 - comparisons / (assets * (assets - 1) / 2)) * 100, 6) AS reduction_pct, incomplete FROM t, c, k")
 def g05(spark, sf_dir):
     a = views.assets(spark, sf_dir)
-    m = groups.detection_metrics(a, pairs.blocked_pairs(a), groups.candidate_buckets(a))
+    m = groups.detection_metrics(a, pairs.blocked_pairs(a), groups.candidate_buckets(a, least=1))
     return m.withColumn("reduction_pct", F.round("reduction_pct", 6))
 
 
