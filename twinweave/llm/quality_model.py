@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinweave.llm.words import unused
+
 STATISTICS = (
     "bytes", "words", "word_bytes", "lines", "line_bytes", "distinct_words", "top_word", "same_as_before", "repeat_pairs",
     "repeat_lines", "upper", "digits", "marks", "exclaim", "stops", "bar_words", "high_bytes", "capital_words",
@@ -200,6 +202,12 @@ def with_quality(docs: DataFrame, model: Trees, text_col: str = "text", threshol
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
+def accepted(docs: DataFrame, model: Trees, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with their columns only."""
+    (score,) = unused(docs, "quality_score")
+    return docs.withColumn(score, scorer(model)(F.col(text_col))).filter(F.col(score) >= threshold).drop(score)
+
+
 def op5_quality_model(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents, learned from ``labels.quality``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
