@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     ship_package(spark)
     model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_model.with_quality(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality_model.accepted(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
