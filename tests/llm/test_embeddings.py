@@ -1,6 +1,7 @@
 """Embedding near-duplicates: recall, exact links, edge cases."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from twinweave.llm import embedding_dedup as e
@@ -29,12 +30,13 @@ def test_recall_and_precision(spark):
         assert r["n_links"] <= linked[r["vec_id"]].sum() and r["kept"] == (r["component_id"] == r["vec_id"])
 
 
-def test_hot_bucket_is_counted_once(spark):
+@pytest.mark.parametrize("block", [16, 50, 1024])
+def test_hot_bucket_is_counted_once(spark, block):
     rng = np.random.default_rng(5)
     one = rng.normal(size=32)
     x = np.concatenate([one + 0.05 * rng.normal(size=(90, 32)), np.repeat(one[None], 40, 0)])
     rows = [(i + 10, v.tolist()) for i, v in enumerate(x)]
-    got = e.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=16).collect()
+    got = e.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=block).collect()
     assert {r["n_links"] for r in got} == {129} and {r["component_id"] for r in got} == {10}
 
 

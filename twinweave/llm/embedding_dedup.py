@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,46 +99,98 @@ def _hashed(how: Hashing):
     return run
 
 
+_FEW = 64
+
+
+def _dense(node, copies, unit, keys, bucket, threshold: float, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of one pair of blocks in one large bucket, by a matrix: (node, links) and a spanning forest (node, root)."""
+    order = np.argsort(node, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    node, copies, unit, keys, a, b = node[order], copies[order], unit[order], keys[order], np.sort(back[a]), np.sort(back[b])
+    linked = unit[a] @ unit[b].T >= threshold
+    if len(a) == len(b) and (a == b).all():
+        linked &= a[:, None] < b[None, :]
+    p, q = np.nonzero(linked)
+    for c in range(0, len(p), 4096):
+        left, right = keys[a[p[c : c + 4096]]], keys[b[q[c : c + 4096]]]
+        met = ((left[:, :, None] == right[:, None, :]) & (left[:, :, None] < bucket)).any((1, 2))
+        linked[p[c : c + 4096][met], q[c : c + 4096][met]] = False
+    links = np.zeros(len(node), np.int64)
+    np.add.at(links, a, linked @ copies[b])
+    np.add.at(links, b, linked.T @ copies[a])
+    root = np.arange(len(node))
+    pairs = np.argwhere(linked)
+    src, dst = a[pairs[:, 0]], b[pairs[:, 1]]
+    while len(src):
+        low = np.minimum(root[src], root[dst])
+        before = root.copy()
+        np.minimum.at(root, root[src], low)
+        np.minimum.at(root, root[dst], low)
+        root = root[root]
+        if (before == root).all():
+            break
+    out = np.flatnonzero(links)
+    return node[out], links[out], node[root[out]]
+
+
+def _sparse(group, within, block, node, copies, unit, keys, bucket, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of many small groups of rows at once: rows one apart, two apart and so on."""
+    found = []
+    for d in range(1, _FEW):
+        a = np.flatnonzero(group[:-d] == group[d:])
+        if not len(a):
+            break
+        a = a[within[a] | (block[a] != block[a + d])]
+        a = a[np.einsum("ij,ij->i", unit[a], unit[a + d]) >= threshold]
+        met = ((keys[a][:, :, None] == keys[a + d][:, None, :]) & (keys[a][:, :, None] < bucket[a][:, None, None])).any((1, 2))
+        found.append(np.stack((a[~met], a[~met] + d)))
+    a, b = np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
+    low = np.minimum(node[a], node[b])
+    return np.concatenate((node[a], node[b])), np.concatenate((copies[b], copies[a])), np.concatenate((low, low))
+
+
 def _compare(threshold: float, kind: str):
-    """Links of one pair of blocks in one bucket: (node, links) and a spanning forest (node, root).
+    """(node, links, root) of rows that come in order of (bucket, i, j): the pairs of each such group that are similar.
 
     A pair counts in the least bucket that it shares only, so no pair counts twice.
     """
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        bucket, i, j = (k.as_py() for k in key)
-        side = table.column("block").to_numpy()
-        node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        unpacked = lambda name, of: np.frombuffer(b"".join(table.column(name).to_pylist()), of).reshape(len(node), -1)
-        unit, keys = unpacked("vector", kind).astype(float), unpacked("keys", np.int64)
-        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-        order = np.argsort(node, kind="stable")
-        side, node, copies, unit, keys = side[order], node[order], copies[order], unit[order], keys[order]
-        a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        linked = unit[a] @ unit[b].T >= threshold
-        if i == j:
-            linked &= a[:, None] < b[None, :]
-        p, q = np.nonzero(linked)
-        for c in range(0, len(p), 4096):
-            left, right = keys[a[p[c : c + 4096]]], keys[b[q[c : c + 4096]]]
-            met = ((left[:, :, None] == right[:, None, :]) & (left[:, :, None] < bucket)).any((1, 2))
-            linked[p[c : c + 4096][met], q[c : c + 4096][met]] = False
-        links = np.zeros(len(node), np.int64)
-        np.add.at(links, a, linked @ copies[b])
-        np.add.at(links, b, linked.T @ copies[a])
-        root = np.arange(len(node))
-        pairs = np.argwhere(linked)
-        src, dst = a[pairs[:, 0]], b[pairs[:, 1]]
-        while len(src):
-            low = np.minimum(root[src], root[dst])
-            before = root.copy()
-            np.minimum.at(root, root[src], low)
-            np.minimum.at(root, root[dst], low)
-            root = root[root]
-            if (before == root).all():
-                break
-        out = np.flatnonzero(links)
-        return pa.table({"node": node[out], "links": links[out], "root": node[root[out]]})
+    def compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        wide = pa.compute.binary_length(t.column("vector")).to_numpy()
+        for size in np.unique(wide):
+            part = t.filter(pa.array(wide == size))
+            bucket, i, j, block, node, copies = (part.column(c).to_numpy() for c in ("bucket", "i", "j", "block", "node", "copies"))
+            unpacked = lambda name, of: np.frombuffer(b"".join(part.column(name).to_pylist()), of).reshape(part.num_rows, -1)  # noqa: B023, E731
+            unit, keys = unpacked("vector", kind).astype(float), unpacked("keys", np.int64)
+            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+            new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            rows = np.diff(np.append(first, len(group)))
+            few = rows[group] <= _FEW
+            out = [_sparse(group[few], (i == j)[few], block[few], node[few], copies[few], unit[few], keys[few], bucket[few], threshold)]
+            for g in np.flatnonzero(rows > _FEW):
+                own = slice(first[g], first[g] + rows[g])
+                side = block[own]
+                sides = (np.flatnonzero(side == x) for x in (i[first[g]], j[first[g]]))
+                out.append(_dense(node[own], copies[own], unit[own], keys[own], bucket[first[g]], threshold, *sides))
+            yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["node", "links", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not t.num_rows:
+                continue
+            keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            changes = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            whole = int(changes[-1]) if len(changes) else 0
+            if whole:
+                yield from compared(t.slice(0, whole))
+            held = t.slice(whole)  # the last group may go on
+        if held is not None and held.num_rows:
+            yield from compared(held)
 
     return run
 
@@ -190,7 +243,8 @@ def near_duplicates(
     placed = placed.select("bucket", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     placed = scratch.stash(placed, "placed")
     carried = placed.join(hashed.select("node", "copies", "vector", "keys"), "node")
-    found = scratch.stash(carried.groupBy("bucket", "i", "j").applyInArrow(_compare(threshold, kind), "node long, links long, root long"), "found")
+    grouped = carried.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    found = scratch.stash(grouped.mapInArrow(_compare(threshold, kind), "node long, links long, root long"), "found")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select("node", "root"), "node", "root")
