@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from twinweave.functions.fingerprints import hamming
 from twinweave.plans.config import Thresholds, Weights
+from twinweave.plans.session import spread
 
 SIGNAL = "struct<key:string,weight:double,raw:double,contribution:double,note:string>"
 
@@ -129,7 +130,7 @@ def _jaro_winkler(x: pd.Series, y: pd.Series) -> pd.Series:
 def with_name_score(pairs: DataFrame, left: str = "a_stem", right: str = "b_stem", out: str = "name_score") -> DataFrame:
     """``pairs`` plus C11 of two stems; equal stems need no comparison, others are compared once a pair of texts."""
     differ = F.col(left) != F.col(right)
-    scored = pairs.filter(differ).select(left, right).distinct().withColumn(out, _jaro_winkler(left, right))
+    scored = spread(pairs.filter(differ).select(left, right).distinct(), left, right).withColumn(out, _jaro_winkler(left, right))
     joined = pairs.join(scored, [left, right], "left")
     same = F.when(F.col(left) == F.col(right), F.when(F.length(left) == 1, 0.0).otherwise(1.0))
     return joined.withColumn(out, F.coalesce(same, out))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from twinweave.functions import signals as s
 from twinweave.functions.fingerprints import hamming, stem
 from twinweave.plans.config import Thresholds, Weights
+from twinweave.plans.session import spread
 
 FIELDS = ("media_type", "file_name", "file_size", "checksum", "width", "height", "duration_sec", "capture_s", "dhash", "frames")
 
@@ -20,7 +21,7 @@ def paired(pairs: DataFrame, assets: DataFrame) -> DataFrame:
     cols = assets.withColumn("stem", stem("file_name")).select("id", *own)
     left = cols.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in own])
     right = cols.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in own])
-    return pairs.join(left, "a").join(right, "b")
+    return spread(pairs, "a").join(left, "a").join(right, "b")
 
 
 def audio_matches() -> dict[str, Column]:
@@ -53,13 +54,20 @@ def scored(pairs: DataFrame, assets: DataFrame, w: Weights = Weights(), t: Thres
         part("metadata", w.metadata, ~m["checksum_match"] & m["capture_match"], 0.2, "metadata_match"),
     )
     found = F.when(kind == "photo", images).when(kind == "video", videos).otherwise(audio)
-    full = full.withColumn("signals", F.filter(found, lambda x: x.isNotNull()))
-    has_hash = F.exists("signals", lambda x: x["key"] == "hash")
-    penalty = F.when((kind != "audio") & ~has_hash, F.lit(-0.1)).otherwise(F.lit(0.0))
-    total = F.aggregate("signals", F.lit(0.0), lambda acc, x: acc + x["contribution"]) + penalty
-    full = full.withColumns({"penalty": penalty, "score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))})
-    least = F.when(kind == "audio", F.col("score") >= 0.5 - 1e-9).otherwise(F.col("score") > 0)
-    return full.filter(least).select("a", "b", kind.alias("media_type"), "score", "signals", "penalty", rationale("signals", F.concat(kind, F.lit("Compare"))).alias("rationale"))
+
+    def judged(signals: Column) -> Column:
+        has_hash = F.exists(signals, lambda x: x["key"] == "hash")
+        penalty = F.when((kind != "audio") & ~has_hash, F.lit(-0.1)).otherwise(F.lit(0.0))
+        total = F.aggregate(signals, F.lit(0.0), lambda acc, x: acc + x["contribution"]) + penalty
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
+        lines = rationale(signals, F.concat(kind, F.lit("Compare")))
+        return F.struct(score.alias("score"), signals.alias("signals"), penalty.alias("penalty"), lines.alias("rationale"))
+
+    enough = lambda r: F.when(kind == "audio", r["score"] >= 0.5 - 1e-9).otherwise(r["score"] > 0)
+    # an array of one or none, exploded: a filter over the score would be pushed down, and make the signals again for each use
+    rows = F.filter(F.transform(F.array(F.filter(found, lambda x: x.isNotNull())), judged), enough)
+    full = full.select("a", "b", kind.alias("media_type"), F.explode_outer(rows).alias("r")).filter("r is not null")
+    return full.select("a", "b", "media_type", "r.score", "r.signals", "r.penalty", "r.rationale")
 
 
 def rationale(signals: str | Column, fallback: Column) -> Column:

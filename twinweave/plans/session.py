@@ -26,6 +26,15 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in as many partitions as the session has for shuffles, by the keys.
+
+    For rows that are small and cost much: by their bytes, adaptive execution
+    would put them in a few tasks. A join on the keys needs no other shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -198,7 +198,7 @@ def g01c(spark, sf_dir):
         r AS (SELECT a AS v, a AS w FROM e UNION SELECT e.b, r.w FROM r JOIN e ON e.a = r.v) SELECT v AS id, min(w) AS group_id FROM r GROUP BY v""",
 )
 def g02(spark, sf_dir):
-    a = views.assets(spark, sf_dir).filter("dhash is not null").select("id", F.col("dhash").alias("hash"))
+    a = Scratch(spark, "hashes").stash(views.assets(spark, sf_dir).filter("dhash is not null").select("id", F.col("dhash").alias("hash")), "hashes")
     least = a.groupBy("hash").agg(F.min("id").alias("hub"))
     same = a.join(least, "hash").filter("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y"))
     near = pairs.hamming_pairs(a, 2)

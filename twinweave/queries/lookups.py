@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from twinweave.functions.fingerprints import pair, signature
 from twinweave.operators import catalog, keepers, metrics, pairs
 from twinweave.plans import views
+from twinweave.plans.scratch import Scratch
 from twinweave.plans.session import table
 from twinweave.queries import query
 from twinweave.queries.scalars import COMPLETE, FORMAT, SIGNATURE, STEM
@@ -115,7 +116,7 @@ def e03(spark, sf_dir):
 
 @query("e04_e05_hash_lookups", f"WITH {A}, h AS (SELECT id, dhash FROM assets WHERE dhash IS NOT NULL) SELECT p.id AS probe_id, f.id AS file_id, CAST(bit_count(xor(p.dhash, f.dhash)) AS INTEGER) AS distance, 1 - bit_count(xor(p.dhash, f.dhash)) / 64.0::DOUBLE AS confidence, p.dhash = f.dhash AS is_exact, true AS is_near FROM h p JOIN h f ON p.id <> f.id WHERE p.id % 20 = 0 AND bit_count(xor(p.dhash, f.dhash)) <= 5")
 def e04(spark, sf_dir):
-    h = views.assets(spark, sf_dir).select("id", F.col("dhash").alias("hash"))
+    h = Scratch(spark, "hashes").stash(views.assets(spark, sf_dir).select("id", F.col("dhash").alias("hash")), "hashes")
     return pairs.within_distance(h, h.filter("id % 20 = 0"))
 
 
