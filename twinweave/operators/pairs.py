@@ -67,7 +67,8 @@ def blocked_pairs(assets: DataFrame, limits: Limits = Limits(), skip: DataFrame
     of ``limits.comparisons_per_bucket`` pairs, which go in order of (name,
     created, id) of the first, then the second file.
     """
-    b = bucketed(assets, t, banding).select("media_type", "bucket", "id", "file_name", "created_s")
+    # read four times: the sizes and the places of both sides
+    b = Scratch(assets.sparkSession, "blocks").stash(bucketed(assets, t, banding).select("media_type", "bucket", "id", "file_name", "created_s"), "bucketed")
     sizes = b.groupBy("media_type", "bucket").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("n") <= limits.bucket_size))
     order = Window.partitionBy("media_type", "bucket").orderBy("file_name", F.col("created_s").asc_nulls_last(), "id")
     placed = b.join(sizes, ["media_type", "bucket"]).select("media_type", "bucket", "id", F.row_number().over(order).alias("pos"))
