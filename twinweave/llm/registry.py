@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinweave.llm import embedding_dedup, fill_middle, language_id, lm_scoring, mixing, ngram_join, pieces, quality_model, quality_rules, sharding, substring_dedup
+from twinweave.llm import conversation_repair, embedding_dedup, fill_middle, language_id, lm_scoring, mixing, ngram_join, pieces, quality_model, quality_rules, sharding, substring_dedup
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op6_ngram_join": ngram_join.OP6_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
     "op11_fill_middle": fill_middle.OP11_SQL,
+    "op12_conversation_repair": conversation_repair.OP12_SQL,
 }
