@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_UNITS = 16_384
+PARTITION_BYTES = 64 << 20
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 _MARKERS = (PREFIX, SUFFIX, MIDDLE)
 #: Sections in the order of the output; psm begins with the prefix, spm with the suffix.
@@ -157,13 +158,15 @@ def _sorted(pieces: RDD, partitions: int) -> RDD:
     return pieces.repartitionAndSortWithinPartitions(partitions, _home)
 
 
-def _partitions(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _partitions(docs: DataFrame, text_col: str) -> int:
+    """As many as the session has for shuffles, and so many that each holds about ``PARTITION_BYTES`` of text."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
 
 
 def _in_output_order(docs: DataFrame, id_col: str, text_col: str, seed: int, percent: int, spm_percent: int) -> RDD:
     rows = docs.select(F.col(id_col), F.col(text_col)).rdd
-    return _sorted(rows.mapPartitionsWithIndex(_cut(seed, percent, spm_percent)), _partitions(docs))
+    return _sorted(rows.mapPartitionsWithIndex(_cut(seed, percent, spm_percent)), _partitions(docs, text_col))
 
 
 def _schema(docs: DataFrame, id_col: str, **last: T.DataType) -> T.StructType:
@@ -210,7 +213,7 @@ def restore(outputs: DataFrame, id_col: str = "doc_id", output_col: str = "outpu
                     yield (uid, place, k), piece
 
     rows = outputs.select(F.col(id_col), F.col(output_col), F.col(form_col)).rdd.mapPartitionsWithIndex(pieces)
-    texts = _sorted(rows, _partitions(outputs)).mapPartitions(_write_restored(_Text))
+    texts = _sorted(rows, _partitions(outputs, output_col)).mapPartitions(_write_restored(_Text))
     schema = T.StructType([T.StructField(id_col, outputs.schema[id_col].dataType), T.StructField("text", T.StringType())])
     return outputs.sparkSession.createDataFrame(texts, schema, verifySchema=False)
 
@@ -226,7 +229,7 @@ def fill_in_middle_digests(
     """
     pieces = _in_output_order(docs, id_col, text_col, seed, percent, spm_percent)
     again = pieces.mapPartitions(_write_outputs(_Hash, True), preservesPartitioning=True)
-    rows = _sorted(again, _partitions(docs)).mapPartitions(_write_restored(_Hash))
+    rows = _sorted(again, pieces.getNumPartitions()).mapPartitions(_write_restored(_Hash))
     schema = _schema(docs, id_col, output_sha256=T.StringType(), restored_sha256=T.StringType())
     return docs.sparkSession.createDataFrame(rows, schema, verifySchema=False)
 
