@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinweave.llm import conversation_repair, embedding_dedup, fill_middle, language_id, lm_scoring, mixing, ngram_join, pieces, quality_model, quality_rules, sharding, substring_dedup
+from twinweave.llm import conversation_repair, embedding_dedup, fill_middle, language_id, lm_scoring, mixing, ngram_join, pieces, quality_model, quality_rules, sharding, substring_dedup, word_bpe
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_fill_middle": fill_middle.op11_fill_middle,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_word_bpe": word_bpe.op13_word_bpe,
 }
 
 SQL = {
