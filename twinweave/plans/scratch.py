@@ -34,13 +34,13 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/twinweave/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def stash(self, df: DataFrame, name: str) -> DataFrame:
+    def stash(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.parquet(path, compression=compression)
         finally:
             if before is None:
                 self.spark.conf.unset(_CLEANUP)
