@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,10 +51,10 @@ def snapped(v: str | Column) -> Column:
 
 
 def size_bucket(size: str | Column, banding: str = "reference") -> Column:
-    """Size over 1 % of itself; ``log`` banding gives bands that do differ."""
+    """Size over 1 % of itself; ``log`` banding gives bands that do differ (``log_band``)."""
     size = _c(size)
     if banding == "log":
-        return F.when(size > 0, F.floor(F.log(size) / F.log(F.lit(1.01)))).otherwise(F.lit(0)).cast("long")
+        return F.greatest(log_band(size, 0.01, 1.0), F.lit(0))
     return F.when(size > 0, F.round(size / F.greatest(F.lit(1.0), size * 0.01))).otherwise(F.lit(0)).cast("long")
 
 
@@ -62,6 +64,28 @@ def duration_bucket(seconds: str | Column, share: float) -> Column:
     return F.when(d > 0, F.round(d / F.greatest(F.lit(0.5), d * share))).otherwise(F.lit(0)).cast("long")
 
 
+#: Bands are this much wider than what is close, so that rounding never sets close values two bands apart.
+_BAND_SLACK = 1.01
+
+
+def log_band(value: str | Column, share: float, least: float) -> Column:
+    """C7, C8 for ``banding="log"``: values that are ``close`` are in one band or in two that meet; -10 for null and values up to 0.
+
+    Bands are as wide as the tolerance: ``least`` up to least / share, and from
+    there on in proportion to the value.
+    """
+    v = _c(value).cast("double")
+    knee = least / share
+    steps = F.when(v < knee, v / least).otherwise(F.log(v / knee) / -math.log1p(-share) + 1 / share)
+    return F.when(v > 0, F.floor(steps / _BAND_SLACK)).otherwise(F.lit(-10)).cast("long")
+
+
+def close(a: str | Column, b: str | Column, share: float, least: float) -> Column:
+    """Whether values differ by ``share`` of the greater, or ``least`` if that is more; values up to 0 and nulls are alike."""
+    a, b = (F.greatest(F.coalesce(_c(x).cast("double"), F.lit(0.0)), F.lit(0.0)) for x in (a, b))
+    return ((a > 0) == (b > 0)) & (F.abs(a - b) <= F.greatest(F.lit(least), F.greatest(a, b) * share))
+
+
 def resolution_tier(width: str | Column, height: str | Column) -> Column:
     """Tier of the longer side; unknown without dimensions."""
     side = F.when(_c(width).isNotNull() & _c(height).isNotNull(), F.greatest(_c(width), _c(height)))

@@ -27,6 +27,30 @@ def candidate_buckets(assets: DataFrame, t: Thresholds = Thresholds(), least: in
     return b.filter(F.col("n") >= least).withColumn("comparisons", F.expr("n * (n - 1) div 2"))
 
 
+#: What a bucket's files have in common, by media type (fixed values).
+HEURISTICS = {"photo": "image.dimensions+size", "video": "video.duration+resolution", "audio": "audio.duration+size"}
+
+
+def described_buckets(assets: DataFrame, ignored: DataFrame | None = None, t: Thresholds = Thresholds()) -> DataFrame:
+    """G1: every bucket, of one file too, with its size, pairs, policy skips and heuristic, in order of bucket.
+
+    A policy skip is a pair of ``ignored`` (a, b in either order) with both files
+    in the bucket: the pairs meet the files' buckets at both ends, so no bucket's
+    files are listed. A pair that is there twice is one skip.
+    """
+    b = bucketed(assets, t).select("id", "media_type", "bucket")
+    key = ["media_type", "bucket"]
+    out = b.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("comparisons", F.expr("n * (n - 1) div 2"))
+    if ignored is None:
+        out = out.withColumn("skipped_by_policy", F.lit(0).cast("long"))
+    else:
+        pairs = ignored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+        both = pairs.join(b.withColumnRenamed("id", "a"), "a").join(b.withColumnRenamed("id", "b"), ["b", *key])
+        out = out.join(both.groupBy(*key).agg(F.count(F.lit(1)).alias("skips")), key, "left").withColumn("skipped_by_policy", F.coalesce("skips", F.lit(0).cast("long")))
+    names = F.create_map(*[F.lit(x) for kv in HEURISTICS.items() for x in kv])
+    return out.select(*key, "n", "comparisons", "skipped_by_policy", names[F.col("media_type")].alias("heuristic")).orderBy("bucket", "media_type")
+
+
 def bucket_members(assets: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """G1: (media_type, bucket, pos, id): the members of every bucket, of one file too, in order of (name, created, id)."""
     order = Window.partitionBy("media_type", "bucket").orderBy("file_name", F.col("created_s").asc_nulls_last(), "id")
@@ -99,6 +123,16 @@ def group_results(edges: DataFrame, members: DataFrame, evidence: DataFrame, ass
     )
 
 
+def with_parity(results: DataFrame, assets: DataFrame, limits: Limits = Limits(), t: Thresholds = Thresholds()) -> DataFrame:
+    """Q3: the results with ``incomplete``, which is true of all groups as soon as H10's limits left comparisons out in any bucket.
+
+    ``bucket_incomplete`` says whether it was in a bucket of the group's own files.
+    """
+    cut = (F.col("n") > limits.bucket_size) | (F.col("comparisons") > limits.comparisons_per_bucket)
+    any_cut = not candidate_buckets(assets, t).filter(cut).isEmpty()
+    return results.withColumn("incomplete", F.lit(any_cut))
+
+
 def explained(results: DataFrame, evidence: DataFrame, wanted: DataFrame) -> DataFrame:
     """One row a member and signal of the groups in ``wanted`` (group_id), with the group's rationale and whether the member is kept."""
     of = results.join(wanted.select("group_id").distinct(), "group_id", "left_semi").select("group_id", "keeper_id", "rationale")
@@ -131,6 +165,21 @@ def group_evidence(evidence: DataFrame, media: DataFrame, t: Thresholds = Thresh
     return best.select("group_id", "key", F.coalesce(names[F.col("key")], F.initcap("key")).alias("label"), F.col("top.contribution").alias("contribution"), d.alias("distance_text"), h.alias("threshold_text"), v.alias("verdict"))
 
 
+def penalty_evidence(edges: DataFrame, members: DataFrame, assets: DataFrame) -> DataFrame:
+    """A failing row once a group for each kind of penalty that an edge of its members has, in the columns of ``group_evidence``.
+
+    Only a missing image hash and a missing video signature are penalties, so
+    the media type of the edge's files says which.
+    """
+    media = assets.select(F.col("id").alias("a"), F.when(F.col("media_type") == "video", "videoSignatureMissing").otherwise("hashMissing").alias("missing"))
+    hit = edges.filter("penalty < 0").select("a").distinct().join(media, "a").join(members.withColumnRenamed("id", "a"), "a").select("group_id", "missing").distinct()
+    names = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    return hit.select(
+        "group_id", F.concat(F.lit("penalty_"), F.col("missing")).alias("key"), names[F.col("missing")].alias("label"), F.lit(None).cast("double").alias("contribution"),
+        F.lit("missing").alias("distance_text"), F.lit("required").alias("threshold_text"), F.lit("fail").alias("verdict"),
+    )
+
+
 def detection_metrics(assets: DataFrame, compared: DataFrame, buckets: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Files, comparisons made, all possible pairs, reduction in percent, buckets and their average size.
 

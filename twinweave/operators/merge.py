@@ -32,6 +32,41 @@ def merged_metadata(members: DataFrame, chosen: DataFrame, group: str = "group_i
     )
 
 
+def merged_fields(members: DataFrame, chosen: DataFrame, group: str = "group_id") -> DataFrame:
+    """J1 without keywords, for groups of any size: one row a group, its fields as in ``merged_metadata``, with the number of files to remove.
+
+    Everything is a partial aggregate of fixed size, so a group of a million
+    copies is a few values a task. A group whose keeper isn't a member has
+    ``valid`` false.
+    """
+    m = members.join(chosen, group).withColumn("own", F.col("id") == F.col("keeper_id"))
+    out = []
+    for c in (f for f in FIELDS if f != "keywords"):
+        known = F.col(c).isNotNull() & (F.col(c) != "") if c == "camera_model" else F.col(c).isNotNull()
+        own = F.max(F.when(F.col("own"), F.col(c)))
+        others = F.min(F.when(~F.col("own"), F.col(c))) if c == "capture_s" else F.min(F.when(known & ~F.col("own"), F.struct("id", c)))[c]
+        out += [own.alias(f"keeper_{c}"), F.coalesce(own, others).alias(c)]
+    return m.groupBy(group, "keeper_id").agg(*out, F.count_if(~F.col("own")).alias("n_removed"), F.coalesce(F.bool_or("own"), F.lit(False)).alias("valid"))
+
+
+def merged_keywords(members: DataFrame, chosen: DataFrame, group: str = "group_id") -> DataFrame:
+    """I1 as rows: (group, keyword, in_keeper) for each different keyword of a group; nulls are no keywords."""
+    m = members.join(chosen, group).select(group, (F.col("id") == F.col("keeper_id")).alias("own"), F.explode("keywords").alias("keyword"))
+    return m.filter("keyword is not null").groupBy(group, "keyword").agg(F.bool_or("own").alias("in_keeper"))
+
+
+def removals(members: DataFrame, chosen: DataFrame, group: str = "group_id") -> DataFrame:
+    """J4 as rows: (group, keeper_id, id) for each file to remove of the groups whose keeper is a member."""
+    m = members.select(group, "id").join(chosen, group)
+    there = m.filter("id = keeper_id").select(group).distinct()
+    return m.filter("id <> keeper_id").join(there, group, "left_semi").select(group, "keeper_id", "id")
+
+
+def removed_names(removed: DataFrame, names: DataFrame, group: str = "group_id") -> DataFrame:
+    """E12 as rows: (group, id, name) of the removed files that have a name; ``names`` is (file_id, name)."""
+    return removed.join(names.withColumnRenamed("file_id", "id"), "id").select(group, "id", "name")
+
+
 def field_changes(merged: DataFrame, group: str = "group_id") -> DataFrame:
     """(group, field, old, new, change) for each of the five fields; change is fill or keep."""
     rows = [F.struct(F.lit(c).alias("field"), F.col(f"keeper_{c}").cast("string").alias("old"), F.col(c).cast("string").alias("new")) for c in FIELDS]

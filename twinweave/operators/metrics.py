@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.functions.fingerprints import size_category
+from twinweave.operators.quantiles import exact_quantiles
 
 _N = "*"
 
@@ -122,6 +123,16 @@ def extraction_stats(assets: DataFrame, ms: Column, fields: Column, ext: Column,
     return each.withColumn("grade", grade("avg_ms", "efficiency")).orderBy(F.desc("n"), "format").limit(top)
 
 
+def extraction_summary(assets: DataFrame, ms: Column, fields: Column, at: Column, slow_ms: float = 10.0) -> DataFrame:
+    """Operations, averages, slow ones and the time range in one row; without operations zeros and no range."""
+    rows = assets.select(ms.alias("ms"), fields.alias("fields"), at.alias("at"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return rows.agg(
+        F.count(_N).alias("operations"), zero(F.avg("ms")).alias("avg_ms"), zero(F.avg("fields")).alias("avg_fields"), zero(F.avg(zero(F.col("fields") / F.nullif(F.col("ms"), F.lit(0.0))))).alias("avg_efficiency"),
+        F.count_if(F.col("ms") > slow_ms).alias("slow"), F.lit(slow_ms).alias("slow_ms"), F.min("at").alias("first_at"), F.max("at").alias("last_at"),
+    )
+
+
 def grade(ms: str, efficiency: str) -> Column:
     """C33."""
     out = None
@@ -176,11 +187,13 @@ def trends(samples: DataFrame, value: str, unit: str = "month", order: tuple[str
 
 
 def benchmark_statistics(samples: DataFrame) -> DataFrame:
-    """Spread of the durations and means of memory and cpu of each configuration."""
-    return samples.groupBy("operation").agg(
-        F.count(_N).alias("runs"), F.avg("duration_ms").alias("mean_ms"), F.median("duration_ms").alias("median_ms"), F.stddev_samp("duration_ms").alias("stddev_ms"),
+    """Spread of the durations and means of memory and cpu of each configuration; the median is exact at any size (``exact_quantiles``)."""
+    spread = samples.groupBy("operation").agg(
+        F.count(_N).alias("runs"), F.avg("duration_ms").alias("mean_ms"), F.stddev_samp("duration_ms").alias("stddev_ms"),
         F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"), F.avg("memory_mb").alias("mean_mb"), F.avg("cpu").alias("mean_cpu"),
     )
+    middle = exact_quantiles(samples, ["operation"], "duration_ms").select(F.col("operation").alias("of"), F.col("value").alias("median_ms"))
+    return spread.join(middle, F.col("operation").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def compare_benchmarks(current: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinweave.functions.fingerprints import extension, hamming, match_confidence, pair, signature, size_category, stem
+from twinweave.functions.fingerprints import close, extension, hamming, log_band, match_confidence, pair, resolution_tier, signature, size_category, snapped, stem, stem_bucket
 from twinweave.plans.config import Limits, Thresholds, Weights
 from twinweave.plans.scratch import Scratch
 
@@ -82,6 +82,53 @@ def blocked_pairs(assets: DataFrame, limits: Limits = Limits(), skip: DataFrame
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= limits.comparisons_per_bucket).select("media_type", "bucket", "a", "b")
 
 
+#: Q1: tolerances of sizes (share, least bytes) and durations (share by media type, least seconds), as C7 and C8 have them.
+_SIZE_SHARE, _SIZE_LEAST, _AUDIO_SHARE, _DURATION_LEAST = 0.01, 1.0, 0.01, 0.5
+
+
+def banded_pairs(assets: DataFrame, limits: Limits = Limits(), skip: DataFrame | None = None, t: Thresholds = Thresholds()) -> DataFrame:
+    """E2 with bands that tell sizes and durations apart (Q1): (media_type, a, b) of all pairs that are close.
+
+    Files meet if their type, name's beginning and dimensions or tier are equal
+    (C10), and sizes (photo, audio) and durations (video, audio) are ``close``.
+    One side of the join enters its own band and both beside it, so a pair at
+    the edge of a band is met, and met once. Bands of over ``limits.bucket_size``
+    files are left out (H10); pairs in ``skip`` don't count against the
+    ``limits.comparisons_per_bucket`` pairs of a band, the band of the first file
+    in order of (name, created, id), and go in that order.
+    """
+    name = stem_bucket(stem("file_name"))
+    photo, video = F.col("media_type") == "photo", F.col("media_type") == "video"
+    exact = F.when(photo, F.concat_ws("x", snapped("width"), snapped("height"))).when(video, resolution_tier("width", "height")).otherwise("")
+    share = F.when(video, t.duration_share).otherwise(_AUDIO_SHARE)
+    size = F.when(video, F.lit(0).cast("long")).otherwise(log_band("file_size", _SIZE_SHARE, _SIZE_LEAST))
+    duration = F.when(photo, F.lit(0).cast("long")).when(video, log_band("duration_sec", t.duration_share, _DURATION_LEAST)).otherwise(log_band("duration_sec", _AUDIO_SHARE, _DURATION_LEAST))
+    cell = ["media_type", "fixed", "size_band", "duration_band"]
+    rows = assets.select(
+        "media_type", F.concat_ws(":", name, exact).alias("fixed"), size.alias("size_band"), duration.alias("duration_band"), share.alias("share"),
+        "id", "file_name", "created_s", "file_size", "duration_sec",
+    )
+    rows = Scratch(assets.sparkSession, "bands").stash(rows, "banded")
+    kept = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= limits.bucket_size).drop("n")
+    rows = rows.join(kept, cell)
+    order = F.struct(F.col("file_name"), F.col("created_s").isNull(), F.col("created_s"), F.col("id"))
+    y = rows.select(*cell, F.col("id").alias("y"), order.alias("oy"), F.col("file_size").alias("size_y"), F.col("duration_sec").alias("duration_y"))
+    beside = lambda band, fixed: F.explode(F.when(fixed, F.array(F.lit(0))).otherwise(F.sequence(F.lit(-1), F.lit(1)))).alias(band)
+    x = rows.select("*", beside("ds", video)).select("*", beside("dd", photo))
+    x = x.select(
+        "media_type", "fixed", (F.col("size_band") + F.col("ds")).alias("size_band"), (F.col("duration_band") + F.col("dd")).alias("duration_band"), F.col("size_band").alias("own_size"), F.col("duration_band").alias("own_duration"),
+        "share", F.col("id").alias("x"), order.alias("ox"), F.col("file_size").alias("size_x"), F.col("duration_sec").alias("duration_x"),
+    )
+    near_size = (F.col("media_type") == "video") | close("size_x", "size_y", _SIZE_SHARE, _SIZE_LEAST)
+    near_duration = F.when(F.col("media_type") == "photo", True).when(F.col("media_type") == "video", close("duration_x", "duration_y", t.duration_share, _DURATION_LEAST)).otherwise(close("duration_x", "duration_y", _AUDIO_SHARE, _DURATION_LEAST))
+    low, high = pair("x", "y")
+    found = x.join(y, cell).filter("ox < oy").filter(near_size & near_duration).select("media_type", "fixed", "own_size", "own_duration", low.alias("a"), high.alias("b"), "ox", "oy")
+    if skip is not None:
+        found = without_pairs(found, skip)
+    rank = F.row_number().over(Window.partitionBy("media_type", "fixed", "own_size", "own_duration").orderBy("ox", "oy"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= limits.comparisons_per_bucket).select("media_type", "a", "b")
+
+
 def shared_algorithms(a: str, b: str) -> Column:
     """Names of the algorithms that both maps (algorithm to hash) have, in the first one's order."""
     return F.array_intersect(F.map_keys(a), F.map_keys(b))
@@ -109,41 +156,119 @@ def band_keys(hash_col: str, distance: int, together: int, bits: int = 64) -> Co
     return F.array(*[F.struct(F.lit(i).alias("band"), F.col(hash_col).bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)])
 
 
-def hamming_pairs(hashes: DataFrame, distance: int = 5, bits: int = 64) -> DataFrame:
-    """Pairs (hash_a < hash_b, distance) of different hash values within ``distance`` bits.
+#: A key that so many hash values share is split again.
+HOT_KEY = 1024
+_DEPTH = 3
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
-    Candidates are values with a key of ``band_keys`` in common; keys get longer
-    as the table grows, so that a value meets a few others by chance. Equal
-    hashes are one value here (E4), so copies don't multiply. ``hashes`` has a
-    column ``hash``; nulls are left out.
+
+def _finer_masks(fixed: int, distance: int, bits: int) -> list[int]:
+    """Masks that keep ``fixed`` and one of distance + 1 even bands of the bits that it leaves free; none if these are too few."""
+    free = [k for k in range(bits) if not fixed >> k & 1]
+    n = distance + 1
+    if len(free) < 2 * n:
+        return []
+    cuts = [len(free) * i // n for i in range(n + 1)]
+    return [_signed(fixed & (1 << 64) - 1 | sum(1 << k for k in free[lo:hi])) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def _keys(values: DataFrame, name: str, distance: int, together: int, bits: int) -> DataFrame:
+    """(algorithm, name, fixed, part): the values with their keys; ``fixed`` masks the bits that the key has."""
+    cuts = [bits * i // (distance + together) for i in range(distance + together + 1)]
+    band = [((1 << hi) - (1 << lo)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    masks = F.array(*[F.lit(_signed(sum(c))) for c in combinations(band, together)])
+    rows = values.select("algorithm", F.col("hash").alias(name), F.explode(masks).alias("fixed"))
+    return rows.withColumn("part", F.col(name).bitwiseAND(F.col("fixed")))
+
+
+_KEY = ["algorithm", "fixed", "part"]
+
+
+def _meet(x: DataFrame, y: DataFrame, distance: int, together: int, bits: int, scratch: Scratch, hot: int) -> DataFrame:
+    """(algorithm, hash_a, hash_b, distance): values of x and y within ``distance``, each pair once.
+
+    Values meet at keys of bands. A key that over ``hot`` values of y have is
+    split by bands of the bits that it leaves free: two values within the
+    distance differ in those alone, so they share one of the finer keys. What
+    stays hot when no bits or turns are left, mostly values that are all
+    near each other, is joined by blocks of ``hot`` values on either side.
+    """
+    x, y = _keys(x, "hash_a", distance, together, bits), _keys(y, "hash_b", distance, together, bits)
+    near = None
+    for depth in range(_DEPTH + 1):
+        crowded = y.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_y")).filter(F.col("n_y") > hot)
+        crowded = scratch.stash(crowded.join(x.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_x")), _KEY), "crowded")
+        masks = [r[0] for r in crowded.select("fixed").distinct().collect()]  # as many as there are choices of bands at most
+        if masks:
+            cool = x.join(crowded.select(*_KEY), _KEY, "left_anti").join(y, _KEY)
+        else:
+            cool = x.join(y, _KEY)
+        found = [cool.select("algorithm", "hash_a", "hash_b")]
+        if masks:
+            finer = [(m, f) for m in masks for f in (_finer_masks(m, distance, bits) if depth < _DEPTH else [])]
+            split = crowded.sparkSession.createDataFrame(finer, "fixed long, finer long")
+            closed = crowded.join(split.select("fixed").distinct(), "fixed", "left_anti")
+            blocks = lambda n: F.ceil(F.col(n) / hot).cast("long")
+            block = lambda side: F.pmod(F.xxhash64(side), blocks("n_x" if side == "hash_a" else "n_y"))
+            others = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+            bx = x.join(closed, _KEY).select(*_KEY, "hash_a", block("hash_a").alias("i"), others("n_y").alias("j"))
+            by = y.join(closed, _KEY).select(*_KEY, "hash_b", others("n_x").alias("i"), block("hash_b").alias("j"))
+            found.append(bx.join(by, [*_KEY, "i", "j"]).select("algorithm", "hash_a", "hash_b"))
+        for part in found:
+            part = part.withColumn("distance", hamming("hash_a", "hash_b")).filter(F.col("distance") <= distance)
+            near = part if near is None else near.unionByName(part)
+        if not masks or not finer:
+            break
+        again = lambda df, side: df.join(crowded.select(*_KEY), _KEY, "left_semi").join(split, "fixed").select("algorithm", side, F.col("finer").alias("fixed"), F.col(side).bitwiseAND(F.col("finer")).alias("part"))
+        x, y = again(x, "hash_a"), again(y, "hash_b")
+    return near.distinct()
+
+
+def _with_algorithm(df: DataFrame) -> DataFrame:
+    return df if "algorithm" in df.columns else df.withColumn("algorithm", F.lit(""))
+
+
+def hamming_pairs(hashes: DataFrame, distance: int = 5, bits: int = 64, hot: int = HOT_KEY) -> DataFrame:
+    """Pairs (hash_a < hash_b, distance) of different hash values within ``distance`` bits, of each algorithm if there is such a column.
+
+    Candidates are values with a key of bands in common; keys get longer as the
+    table grows, so that a value meets a few others by chance, and a key that
+    many values have is split (``_meet``). Equal hashes are one value here (E4),
+    so copies don't multiply. ``hashes`` has a column ``hash`` and maybe
+    ``algorithm``; null hashes are left out.
     """
     scratch = Scratch(hashes.sparkSession, "hamming")
-    values = scratch.stash(hashes.select("hash").filter("hash is not null").distinct(), "values")
-    keys = band_keys("hash", distance, _bands_together(values.count(), distance, bits), bits)
-    x = values.select("hash", F.explode(keys).alias("key")).select(F.col("hash").alias("hash_a"), "key.band", "key.part")
-    y = x.withColumnRenamed("hash_a", "hash_b")
-    near = x.join(y, ["band", "part"]).filter("hash_a < hash_b").withColumn("distance", hamming("hash_a", "hash_b")).filter(F.col("distance") <= distance)
-    return near.select("hash_a", "hash_b", "distance").distinct()
+    values = scratch.stash(_with_algorithm(hashes).select(F.coalesce("algorithm", F.lit("")).alias("algorithm"), "hash").filter("hash is not null").distinct(), "values")
+    near = _meet(values, values, distance, _bands_together(values.count(), distance, bits), bits, scratch, hot).filter("hash_a < hash_b")
+    return near.select(*(["algorithm"] if "algorithm" in hashes.columns else []), "hash_a", "hash_b", "distance")
 
 
-def within_distance(hashes: DataFrame, probes: DataFrame, distance: int = 5, bits: int = 64) -> DataFrame:
+def within_distance(hashes: DataFrame, probes: DataFrame, distance: int = 5, bits: int = 64, hot: int = HOT_KEY) -> DataFrame:
     """For each probe (id, hash) the other files within ``distance``, with C2's confidence and flags.
 
-    ``hashes`` and ``probes`` have (id, hash); a probe's own id is left out. Only
-    the probes' keys are looked up among those of all hash values.
+    ``hashes`` and ``probes`` have (id, hash), and maybe ``algorithm``: then only
+    hashes of one algorithm are compared, and the result names it. A probe's own
+    id is left out. ``rank`` counts the files of a probe, and algorithm, in order
+    of (distance, id). Only the probes' keys are looked up among those of all
+    hash values. Both tables are read more than once.
     """
     scratch = Scratch(hashes.sparkSession, "lookup")
-    index = scratch.stash(hashes.select("id", "hash").filter("hash is not null"), "index")
-    asked = scratch.stash(probes.select("id", "hash").filter("hash is not null"), "asked")
+    named = "algorithm" in hashes.columns
+    clean = lambda df: _with_algorithm(df).select("id", "hash", F.coalesce("algorithm", F.lit("")).alias("algorithm")).filter("hash is not null")
+    index, asked = clean(hashes), clean(probes)
     together = _bands_together(index.count(), distance, bits)
-    keyed = lambda df, name: df.select("hash").distinct().select(F.col("hash").alias(name), F.explode(band_keys("hash", distance, together, bits)).alias("key"))
-    met = keyed(asked, "hash_a").join(keyed(index, "hash_b"), "key").select("hash_a", "hash_b", hamming("hash_a", "hash_b").alias("distance"))
-    near = met.filter(F.col("distance") <= distance).distinct()
-    p = asked.select(F.col("id").alias("probe_id"), F.col("hash").alias("hash_a"))
-    found = p.join(near, "hash_a").join(index.select(F.col("id").alias("file_id"), F.col("hash").alias("hash_b")), "hash_b").filter("probe_id <> file_id")
+    values = lambda df: df.select("algorithm", "hash").distinct()
+    near = _meet(values(asked), values(index), distance, together, bits, scratch, hot)
+    p = asked.select(F.col("id").alias("probe_id"), "algorithm", F.col("hash").alias("hash_a"))
+    found = p.join(near, ["algorithm", "hash_a"]).join(index.select(F.col("id").alias("file_id"), "algorithm", F.col("hash").alias("hash_b")), ["algorithm", "hash_b"]).filter("probe_id <> file_id")
+    rank = F.row_number().over(Window.partitionBy("probe_id", "algorithm").orderBy("distance", "file_id"))
     return found.select(
-        "probe_id", "file_id", "distance", match_confidence("distance").alias("confidence"), (F.col("distance") == 0).alias("is_exact"), (F.col("distance") <= 5).alias("is_near")
-    )
+        *(["algorithm"] if named else []), "probe_id", "file_id", "distance", match_confidence("distance").alias("confidence"), (F.col("distance") == 0).alias("is_exact"), (F.col("distance") <= 5).alias("is_near"),
+        rank.alias("rank"),
+    )
 
 
 _CATEGORIES = ("small", "medium", "large", "xlarge")

@@ -182,7 +182,15 @@ def g01(spark, sf_dir):
     return groups.candidate_buckets(views.assets(spark, sf_dir))
 
 
-@query("g01_bucket_members", f"WITH {A}, {BUCKETS} SELECT media_type, bucket, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS members FROM placed GROUP BY media_type, bucket")
+@query("g01_described_buckets", f"WITH {A}, {BUCKETS}, ig AS (SELECT DISTINCT x.id AS a, y.id AS b FROM assets x JOIN assets y ON y.id = x.id + 10 WHERE x.id % 3 <> 0), k AS (SELECT l.media_type, l.bucket, count(*) AS k FROM ig JOIN s l ON l.id = a JOIN s r ON r.id = b AND r.media_type = l.media_type AND r.bucket = l.bucket GROUP BY ALL) SELECT media_type, bucket, n, n * (n - 1) // 2 AS comparisons, coalesce(k, 0) AS skipped_by_policy, CASE media_type WHEN 'photo' THEN 'image.dimensions+size' WHEN 'video' THEN 'video.duration+resolution' ELSE 'audio.duration+size' END AS heuristic FROM n LEFT JOIN k USING (media_type, bucket) ORDER BY bucket, media_type")
+def g01d(spark, sf_dir):
+    """G1 with pairs of ids ten apart ignored, given in either order and some twice."""
+    a = views.assets(spark, sf_dir)
+    near = a.filter("id % 3 <> 0").select(F.col("id").alias("a"), (F.col("id") + 10).alias("b"))
+    return groups.described_buckets(a, near.unionByName(near.filter("a % 2 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"))))
+
+
+@query("h10_compared_members", f"WITH {A}, {BUCKETS} SELECT media_type, bucket, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS members FROM placed GROUP BY media_type, bucket")
 def g01b(spark, sf_dir):
     return groups.compared_members(views.assets(spark, sf_dir)).withColumn("members", F.array_join("members", ","))
 
@@ -236,6 +244,12 @@ def g04(spark, sf_dir):
     return _results(spark, sf_dir).withColumn("confidence", F.round("confidence", 6)).withColumn("rationale", F.array_join("rationale", " "))
 
 
+@query("g04_q03_parity", f"WITH RECURSIVE {A}, {_EDGES} SELECT group_id, keeper_id, bucket_incomplete, EXISTS (SELECT 1 FROM over_) AS incomplete FROM res")
+def g04_parity(spark, sf_dir):
+    """Q3: the reference's flag for all groups beside each group's own."""
+    return groups.with_parity(_results(spark, sf_dir), views.assets(spark, sf_dir)).select("group_id", "keeper_id", "bucket_incomplete", "incomplete")
+
+
 @query("g05_detection_metrics", f"WITH {A}, {BUCKETS}, k AS (SELECT count(*) AS buckets, avg(n) AS average_bucket, bool_or(n > 256 OR n * (n - 1) // 2 > 10000) AS incomplete FROM n), c AS (SELECT count(*) AS comparisons FROM blocked), t AS (SELECT count(*) AS assets FROM assets) SELECT assets, comparisons, buckets, average_bucket, assets * (assets - 1) // 2 AS naive, round((1 - comparisons / (assets * (assets - 1) / 2)) * 100, 6) AS reduction_pct, incomplete FROM t, c, k")
 def g05(spark, sf_dir):
     a = views.assets(spark, sf_dir)
@@ -274,6 +288,13 @@ def g09(spark, sf_dir):
     return views.rounded(groups.group_evidence(evidence, media))
 
 
+@query("g09_penalties", f"WITH RECURSIVE {A}, {_EDGES} SELECT DISTINCT group_id, CASE media_type WHEN 'video' THEN 'penalty_videoSignatureMissing' ELSE 'penalty_hashMissing' END AS key, CASE media_type WHEN 'video' THEN 'Video Signature Missing' ELSE 'Hash Missing' END AS label, CAST(NULL AS DOUBLE) AS contribution, 'missing' AS distance_text, 'required' AS threshold_text, 'fail' AS verdict FROM edges JOIN mem ON mem.id = a JOIN assets ON assets.id = a WHERE penalty < 0")
+def g09_penalties(spark, sf_dir):
+    """What is missing in each group."""
+    a, edges, members, _ = _detected(spark, sf_dir)
+    return groups.penalty_evidence(edges, members, a)
+
+
 @query("g10_summary", f"WITH RECURSIVE {A}, {_EDGES} SELECT round(avg(confidence), 9) AS avg_confidence, count(*) FILTER (confidence >= 0.8) AS high, count(*) FILTER (confidence >= 0.6 AND confidence < 0.8) AS medium, count(*) FILTER (confidence < 0.6) AS low, CAST(sum(n_members) AS BIGINT) AS files, round(avg(n_members), 9) AS average_size, max(n_members) AS largest FROM res")
 def g10(spark, sf_dir):
     return views.rounded(groups.summary(_results(spark, sf_dir)), 9)

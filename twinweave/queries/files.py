@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from twinweave.functions.fingerprints import extension
 from twinweave.operators import catalog
 from twinweave.plans import views
+from twinweave.plans.scratch import Scratch
 from twinweave.plans.session import table
 from twinweave.queries import query
 from twinweave.sources import files as fs
 from twinweave.sources import images
+from twinweave.sources.keyed_store import KeyedStore
 
 A, FILES = views.ASSETS, views.FILES
 _EXT = r"lower(regexp_extract({0}, '\.([^./]+)$', 1))"
@@ -96,25 +98,57 @@ def a07(spark, sf_dir):
     return catalog.to_scan(listing, known, 1_700_000_000).select("path")
 
 
-@query("a08_catalog_upsert", f"WITH {_LISTING} SELECT path, coalesce(l.size, c.size) AS size, CASE WHEN l.size IS NOT NULL THEN 1700000000 ELSE c.last_scanned_s END AS last_scanned_s, (c.size IS NOT NULL AND l.size IS NOT NULL AND (c.size <> l.size OR c.modified_s <> l.modified_s)) AS needs_refresh FROM listing l FULL JOIN catalog c USING (path)")
+_UPSERT = f"WITH {_LISTING} SELECT path, coalesce(l.size, c.size) AS size, CASE WHEN l.size IS NOT NULL THEN 1700000000 ELSE c.last_scanned_s END AS last_scanned_s, (c.size IS NOT NULL AND l.size IS NOT NULL AND (c.size <> l.size OR c.modified_s <> l.modified_s)) AS needs_refresh FROM listing l FULL JOIN catalog c USING (path)"
+
+
+@query("a08_catalog_upsert", _UPSERT)
 def a08(spark, sf_dir):
     listing, known = _listing(spark, sf_dir)
     return catalog.upsert(known, listing, 1_700_000_000).select("path", "size", "last_scanned_s", "needs_refresh")
 
 
+CATALOG = "path string, size long, modified_s long, last_scanned_s long, needs_refresh boolean"
+
+
+@query("a08_stored_upsert", _UPSERT)
+def a08_stored(spark, sf_dir):
+    """A8 on a keyed store: the scan is a commit of its own, and given twice it counts once."""
+    listing, known = _listing(spark, sf_dir)
+    store = KeyedStore(spark, Scratch(spark, "catalog").root, CATALOG, ["path"], 16)
+    store.put(known.withColumn("needs_refresh", F.lit(False)), "scan", 0)
+    for _ in range(2):
+        store.change(listing, lambda before: catalog.upsert(before, listing, 1_700_000_000), "scan", 1)
+    return store.read().select("path", "size", "last_scanned_s", "needs_refresh")
+
+
 @query("a09_signature_upsert", "SELECT l_partkey AS file_id, max(l_orderkey) AS computed_at, arg_max(l_suppkey, (l_orderkey, l_linenumber)) AS hash FROM lineitem GROUP BY l_partkey")
 def a09(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("file_id"), F.struct("l_orderkey", "l_linenumber").alias("at"), F.col("l_suppkey").alias("hash"))
     return catalog.last_write_wins(rows, ["file_id"], "at").select("file_id", F.col("at.l_orderkey").alias("computed_at"), "hash")
 
 
-@query("a10_group_store", "SELECT doc_id // 5 AS group_id, doc_id AS id FROM documents WHERE doc_id // 5 NOT IN (SELECT doc_id // 5 FROM labels) UNION ALL SELECT doc_id // 5, doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
+_GROUPS = "SELECT doc_id // 5 AS group_id, doc_id AS id FROM documents WHERE doc_id // 5 NOT IN (SELECT doc_id // 5 FROM labels) UNION ALL SELECT doc_id // 5, doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)"
+
+
+@query("a10_group_store", _GROUPS)
 def a10(spark, sf_dir):
     group = F.expr("doc_id div 5").alias("group_id")
     store = table(spark, sf_dir, "documents").select(group, F.col("doc_id").alias("id"))
     return catalog.replace_groups(store, table(spark, sf_dir, "labels").select(group, F.col("doc_id").alias("id")), store)
 
 
+@query("a10_stored_groups", _GROUPS)
+def a10_stored(spark, sf_dir):
+    """A10 on a keyed store: only buckets of the groups that are written again are replaced."""
+    group = F.expr("doc_id div 5").alias("group_id")
+    old = table(spark, sf_dir, "documents").select(group, F.col("doc_id").alias("id"))
+    new = table(spark, sf_dir, "labels").select(group, F.col("doc_id").alias("id"))
+    store = KeyedStore(spark, Scratch(spark, "groups").root, "group_id long, id long", ["group_id"], 16)
+    store.put(old, "groups", 0)
+    store.change(new, lambda before: catalog.replace_groups(before, new, old), "groups", 1)
+    return store.read()
+
+
 @query("a11_file_records", f"WITH {A} SELECT id, folder, file_name FROM assets WHERE media_type = 'photo'")
 def a11(spark, sf_dir):
     return catalog.records(views.assets(spark, sf_dir), "photo").select("id", "folder", "file_name")

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from twinweave.operators import keepers, merge
 from twinweave.plans import views
+from twinweave.plans.scratch import Scratch
 from twinweave.plans.session import table
 from twinweave.queries import query
 from twinweave.queries.lookups import _ORDERS
+from twinweave.sources.keyed_store import KeyedStore
 
 A, T = views.ASSETS, views.TRANSACTIONS
 _KEPT = f"k AS (SELECT id // 7 AS group_id, first(id ORDER BY {_ORDERS['intelligent']}) AS keeper_id FROM assets GROUP BY id // 7), m AS (SELECT a.*, k.group_id, k.keeper_id, a.id = k.keeper_id AS own FROM assets a JOIN k ON k.group_id = a.id // 7)"
@@ -32,6 +34,27 @@ def j01(spark, sf_dir):
     return _merged(spark, sf_dir).select("group_id", "keeper_id", "capture_s", F.round("gps_lat", 6).alias("gps_lat"), "camera_model", "keywords")
 
 
+def _chosen(spark, sf_dir):
+    a = views.assets(spark, sf_dir).withColumn("group_id", F.expr("id div 7"))
+    return a, keepers.keepers(a, "intelligent").select("group_id", "keeper_id")
+
+
+@query("j01_merged_fields", f"WITH {A}, {_MERGED} SELECT group_id, keeper_id, capture_s, round(gps_lat, 6) AS gps_lat, camera_model, CAST(coalesce(len(removed), 0) AS BIGINT) AS n_removed, true AS valid FROM g")
+def j01_fields(spark, sf_dir):
+    return merge.merged_fields(*_chosen(spark, sf_dir)).select("group_id", "keeper_id", "capture_s", F.round("gps_lat", 6).alias("gps_lat"), "camera_model", "n_removed", "valid")
+
+
+@query("i01_merged_keywords", f"WITH {A}, {_KEPT} SELECT group_id, keyword, bool_or(own) AS in_keeper FROM (SELECT group_id, own, unnest(keywords) AS keyword FROM m) GROUP BY ALL")
+def i01_rows(spark, sf_dir):
+    return merge.merged_keywords(*_chosen(spark, sf_dir))
+
+
+@query("j04_e12_removals", f"WITH {A}, {_KEPT} SELECT group_id, id, file_name AS name FROM m WHERE NOT own")
+def j04_rows(spark, sf_dir):
+    a, chosen = _chosen(spark, sf_dir)
+    return merge.removed_names(merge.removals(a, chosen), a.select(F.col("id").alias("file_id"), F.col("file_name").alias("name")))
+
+
 @query(
     "j02_c30_field_changes",
     f"WITH {A}, {_MERGED} SELECT group_id, 'capture_s' AS field, CASE WHEN coalesce(CAST(keeper_capture_s AS VARCHAR), '') <> coalesce(CAST(capture_s AS VARCHAR), '') THEN 'fill' ELSE 'keep' END AS change FROM g UNION ALL SELECT group_id, 'camera_model', CASE WHEN coalesce(keeper_camera_model, '') <> coalesce(camera_model, '') THEN 'fill' ELSE 'keep' END FROM g UNION ALL SELECT group_id, 'keywords', CASE WHEN coalesce(keeper_keywords, '') <> coalesce(keywords, '') THEN 'fill' ELSE 'keep' END FROM g UNION ALL SELECT group_id, 'gps_lat', CASE WHEN keeper_gps_lat IS NULL AND gps_lat IS NOT NULL THEN 'fill' ELSE 'keep' END FROM g UNION ALL SELECT group_id, 'gps_lon', CASE WHEN keeper_gps_lon IS NULL AND gps_lon IS NOT NULL THEN 'fill' ELSE 'keep' END FROM g",
@@ -77,6 +100,20 @@ def j09(spark, sf_dir):
     return merge.mark_failed(views.transactions(spark, sf_dir), table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))).select("id", "status")
 
 
+@query("j07_j09_stored_transactions", f"WITH {T}, c AS (SELECT arg_max(id, (created_s, id)) AS id FROM transactions WHERE undone_s IS NULL AND status <> 'failed' GROUP BY group_id), r AS (SELECT arg_max(id, (undone_s, id)) AS id FROM (SELECT t.id, group_id, status, CASE WHEN c.id IS NOT NULL THEN 1800000000 ELSE undone_s END AS undone_s FROM transactions t LEFT JOIN c USING (id)) WHERE undone_s IS NOT NULL AND status <> 'failed' AND group_id % 2 = 0 GROUP BY group_id) SELECT t.id, CASE WHEN r.id IS NOT NULL THEN NULL WHEN c.id IS NOT NULL THEN 1800000000 ELSE undone_s END AS undone_s, CASE WHEN t.id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'failed' ELSE status END AS status FROM transactions t LEFT JOIN c USING (id) LEFT JOIN r USING (id)")
+def j07_stored(spark, sf_dir):
+    """J7-J9 as commits to a keyed store: undo of each owner's last, redo for every other owner, failures."""
+    store = KeyedStore(spark, Scratch(spark, "transactions").root, "id long, group_id long, created_s long, undone_s long, status string", ["id"], 16)
+    store.put(views.transactions(spark, sf_dir), "history", 0)
+    undo = merge.undo_candidate(store.read()).select("id")
+    store.change(undo, lambda before: merge.apply_undo(before, undo, 1_800_000_000), "history", 1)
+    redo = merge.redo_candidate(store.read()).filter("group_id % 2 = 0").select("id")
+    store.change(redo, lambda before: merge.apply_undo(before, redo, None), "history", 2)
+    failed = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    store.change(failed, lambda before: merge.mark_failed(before, failed), "history", 3)
+    return store.read().select("id", "undone_s", "status")
+
+
 @query(
     "j10_reversion_check",
     f"WITH {A} SELECT a.id, (CAST(a.capture_s IS NOT DISTINCT FROM CASE WHEN a.id % 2 = 0 THEN a.capture_s END AS INTEGER) + 1 + 1 + CAST(a.camera_model IS NOT DISTINCT FROM CASE WHEN a.id % 3 = 0 THEN a.camera_model END AS INTEGER) + 1) / 5.0::DOUBLE AS matching FROM assets a",

@@ -10,7 +10,7 @@ from twinweave.plans import views
 from twinweave.plans.scratch import Scratch
 from twinweave.plans.session import table
 from twinweave.queries import query
-from twinweave.queries.scalars import COMPLETE, FORMAT, SIGNATURE, STEM
+from twinweave.queries.scalars import COMPLETE, FORMAT, SIGNATURE, SNAP, STEM, STEM_BUCKET, TIER
 
 A = views.ASSETS
 
@@ -109,6 +109,21 @@ def e02(spark, sf_dir):
     return pairs.blocked_pairs(views.assets(spark, sf_dir))
 
 
+_NEAR = "(({0} > 0) = ({1} > 0) AND abs(greatest({0}, 0) - greatest({1}, 0)) <= greatest({2}::DOUBLE, greatest({0}, {1}) * {3}::DOUBLE))"
+
+
+@query(
+    "e02_log_banded_pairs",
+    f"""WITH {A}, s AS (SELECT id, media_type, CAST(file_size AS DOUBLE) AS size, coalesce(duration_sec, 0) AS dur,
+         {STEM_BUCKET.format(STEM.format('file_name'))} || CASE media_type WHEN 'photo' THEN {SNAP.format('width')} || 'x' || {SNAP.format('height')} WHEN 'video' THEN {TIER} ELSE '' END AS fixed FROM assets)
+        SELECT x.media_type, x.id AS a, y.id AS b FROM s x JOIN s y ON x.media_type = y.media_type AND x.fixed = y.fixed AND x.id < y.id
+        WHERE (x.media_type = 'video' OR {_NEAR.format('x.size', 'y.size', '1.0', '0.01')}) AND (x.media_type = 'photo' OR CASE WHEN x.media_type = 'video' THEN {_NEAR.format('x.dur', 'y.dur', '0.5', '0.02')} ELSE {_NEAR.format('x.dur', 'y.dur', '0.5', '0.01')} END)""",
+)
+def e02_log(spark, sf_dir):
+    """Q1: bands that tell sizes and durations apart, met across their edges."""
+    return pairs.banded_pairs(views.assets(spark, sf_dir))
+
+
 @query("e03_hamming_pairs", f"WITH {A}, v AS (SELECT DISTINCT dhash FROM assets WHERE dhash IS NOT NULL) SELECT x.dhash AS hash_a, y.dhash AS hash_b, CAST(bit_count(xor(x.dhash, y.dhash)) AS INTEGER) AS distance FROM v x JOIN v y ON x.dhash < y.dhash WHERE bit_count(xor(x.dhash, y.dhash)) <= 5")
 def e03(spark, sf_dir):
     return pairs.hamming_pairs(views.assets(spark, sf_dir).select(F.col("dhash").alias("hash")))
@@ -117,7 +132,28 @@ def e03(spark, sf_dir):
 @query("e04_e05_hash_lookups", f"WITH {A}, h AS (SELECT id, dhash FROM assets WHERE dhash IS NOT NULL) SELECT p.id AS probe_id, f.id AS file_id, CAST(bit_count(xor(p.dhash, f.dhash)) AS INTEGER) AS distance, 1 - bit_count(xor(p.dhash, f.dhash)) / 64.0::DOUBLE AS confidence, p.dhash = f.dhash AS is_exact, true AS is_near FROM h p JOIN h f ON p.id <> f.id WHERE p.id % 20 = 0 AND bit_count(xor(p.dhash, f.dhash)) <= 5")
 def e04(spark, sf_dir):
     h = Scratch(spark, "hashes").stash(views.assets(spark, sf_dir).select("id", F.col("dhash").alias("hash")), "hashes")
-    return pairs.within_distance(h, h.filter("id % 20 = 0"))
+    return pairs.within_distance(h, h.filter("id % 20 = 0")).drop("rank")
+
+
+_TWO_HASHES = """h AS (SELECT id, 'dHash' AS algorithm, dhash AS hash FROM assets WHERE dhash IS NOT NULL UNION ALL SELECT id, 'pHash', xor(dhash, CAST(file_size % 4 AS BIGINT)) FROM assets WHERE dhash IS NOT NULL AND id % 3 <> 1)"""
+
+
+def _two_hashes(spark, sf_dir):
+    """Hashes of two algorithms: (id, algorithm, hash)."""
+    a = views.assets(spark, sf_dir).filter("dhash is not null").select("id", "dhash", "file_size")
+    second = a.filter("id % 3 <> 1").select("id", F.lit("pHash").alias("algorithm"), F.col("dhash").bitwiseXOR((F.col("file_size") % 4).cast("long")).alias("hash"))
+    return Scratch(spark, "hashes").stash(a.select("id", F.lit("dHash").alias("algorithm"), F.col("dhash").alias("hash")).union(second), "hashes")
+
+
+@query("e03_pairs_by_algorithm", f"WITH {A}, {_TWO_HASHES}, v AS (SELECT DISTINCT algorithm, hash FROM h) SELECT x.algorithm, x.hash AS hash_a, y.hash AS hash_b, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance FROM v x JOIN v y ON x.algorithm = y.algorithm AND x.hash < y.hash WHERE bit_count(xor(x.hash, y.hash)) <= 5")
+def e03_algorithms(spark, sf_dir):
+    return pairs.hamming_pairs(_two_hashes(spark, sf_dir))
+
+
+@query("e03_e05_ranked_lookups", f"WITH {A}, {_TWO_HASHES}, f AS (SELECT p.algorithm, p.id AS probe_id, f.id AS file_id, CAST(bit_count(xor(p.hash, f.hash)) AS INTEGER) AS distance FROM h p JOIN h f ON p.algorithm = f.algorithm AND p.id <> f.id WHERE p.id % 20 = 0 AND bit_count(xor(p.hash, f.hash)) <= 5) SELECT *, CAST(row_number() OVER (PARTITION BY probe_id, algorithm ORDER BY distance, file_id) AS INTEGER) AS rank FROM f")
+def e03_ranked(spark, sf_dir):
+    h = _two_hashes(spark, sf_dir)
+    return pairs.within_distance(h, h.filter("id % 20 = 0")).select("algorithm", "probe_id", "file_id", "distance", "rank")
 
 
 @query(

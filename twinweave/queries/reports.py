@@ -86,6 +86,12 @@ def g24(spark, sf_dir):
     return rounded(m.extraction_stats(a, (F.col("file_size") % 20).cast("double"), (F.col("id") % 9).cast("double"), F.col("ut_type")))
 
 
+@query("g24_extraction_summary", f"WITH {A}, r AS (SELECT CAST(file_size % 20 AS DOUBLE) AS ms, CAST(id % 9 AS DOUBLE) AS fields, modified_s FROM assets) SELECT count(*) AS operations, round(avg(ms), 6) AS avg_ms, round(avg(fields), 6) AS avg_fields, round(avg(coalesce(fields / nullif(ms, 0), 0)), 6) AS avg_efficiency, count(*) FILTER (ms > 10) AS slow, 10.0::DOUBLE AS slow_ms, min(modified_s) AS first_at, max(modified_s) AS last_at FROM r")
+def g24c(spark, sf_dir):
+    a = views.assets(spark, sf_dir)
+    return rounded(m.extraction_summary(a, (F.col("file_size") % 20).cast("double"), (F.col("id") % 9).cast("double"), F.col("modified_s")))
+
+
 @query("g24_size_histogram", f"WITH {A} SELECT CASE WHEN file_size < 1024 THEN 'tiny' WHEN file_size < 1048576 THEN 'small' ELSE 'medium' END AS category, count(*) AS n FROM assets GROUP BY ALL")
 def g24b(spark, sf_dir):
     return m.size_histogram(views.assets(spark, sf_dir))

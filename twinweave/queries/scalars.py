@@ -74,7 +74,7 @@ SIGNATURE = (
     f"WHEN 'video' THEN 'vid:' || {_TIER} || ':d' || {_DUR.format('0.02')} || ':n' || {_BUCKET.format(_STEM.format('file_name'))} "
     f"ELSE 'aud:d' || {_DUR.format('0.01')} || ':s' || {_SIZE} || ':n' || {_BUCKET.format(_STEM.format('file_name'))} END"
 )
-STEM = _STEM
+STEM, STEM_BUCKET, SNAP, TIER = _STEM, _BUCKET, _SNAP, _TIER
 
 
 @query("c10_signatures", f"WITH {A} SELECT id, {SIGNATURE} AS signature FROM assets")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinweave.plans import views
+from twinweave.plans.scratch import Scratch
 from twinweave.plans.session import table
 from twinweave.queries import query
+from twinweave.sources.keyed_store import KeyedStore
 from twinweave.streaming import events as ev
 
 E = views.EVENTS
@@ -28,9 +30,7 @@ def k02(spark, sf_dir):
     return ev.debounced(views.scan_events(spark, sf_dir), "600 seconds").select("path", "kind", _US("ts").alias("last_us"), "merged")
 
 
-@query(
-    "k03_applied_changes",
-    """WITH RECURSIVE e AS (
+_CHANGES = """WITH RECURSIVE e AS (
          SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_id, event_id % 2 AS q, CAST(floor(value) AS BIGINT) AS size,
                 CASE event_type WHEN 'error' THEN 'deleted' WHEN 'purchase' THEN 'renamed' ELSE 'put' END AS kind FROM events),
        c AS (SELECT c_custkey AS u, CAST(c_nationkey AS BIGINT) AS size FROM customer),
@@ -46,15 +46,35 @@ def k02(spark, sf_dir):
            FROM (SELECT e.*, CASE WHEN q = 0 THEN id_p ELSE id_q END AS own, CASE WHEN q = 0 THEN size_p ELSE size_q END AS own_size, CASE WHEN q = 0 THEN id_q ELSE id_p END AS other, CASE WHEN q = 0 THEN size_q ELSE size_p END AS other_size
                  FROM s JOIN e ON e.u = s.u AND e.k = s.k + 1))),
        l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY u ORDER BY k DESC) = 1)
-       SELECT id_p AS id, 'p' || u AS path, size_p AS size FROM l WHERE id_p IS NOT NULL UNION ALL SELECT id_q, 'q' || u, size_q FROM l WHERE id_q IS NOT NULL""",
-)
-def k03(spark, sf_dir):
+       SELECT id_p AS id, 'p' || u AS path, size_p AS size FROM l WHERE id_p IS NOT NULL UNION ALL SELECT id_q, 'q' || u, size_q FROM l WHERE id_q IS NOT NULL"""
+
+
+def _changes(spark, sf_dir):
+    """(catalogue, events): customers as known files and events as changes at two paths a user."""
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "purchase", "renamed").when(F.col("event_type") == "signup", "created").otherwise("modified")
     at = lambda side: F.concat(F.when(F.col("event_id") % 2 == side, "p").otherwise("q"), F.col("user_id").cast("string"))
     changes = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), at(0).alias("path"), kind.alias("kind"), at(1).alias("old_path"), F.floor("value").cast("long").alias("size"))
     known = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_nationkey").cast("long").alias("size"))
-    return ev.apply_changes(known, changes)
+    return known, changes
+
+
+@query("k03_applied_changes", _CHANGES)
+def k03(spark, sf_dir):
+    return ev.apply_changes(*_changes(spark, sf_dir))
+
+
+@query("k03_stored_changes", _CHANGES)
+def k03_stored(spark, sf_dir):
+    """K3 as commits to a keyed store: days before the middle of the time, then the others, with each event there twice and the last batch replayed."""
+    known, changes = _changes(spark, sf_dir)
+    store = KeyedStore(spark, Scratch(spark, "catalog").root, ev.CATALOG, ["path"], 16)
+    store.put(known, "changes", 0)
+    cut = changes.agg(F.timestamp_micros(((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2).cast("long"))).first()[0]
+    twice = changes.union(changes)
+    for number, part in ((1, twice.filter(F.col("ts") < cut)), (2, twice.filter(F.col("ts") >= cut)), (2, twice.filter(F.col("ts") >= cut))):
+        ev.commit_changes(store, part, "changes", number)
+    return store.read()
 
 
 @query("k04_session_states", f"WITH {E} SELECT session_id, greatest(count(*) FILTER (kind = 'item'), coalesce(max(CAST(floor(value) AS BIGINT)) FILTER (kind = 'finished'), 0)) AS items, count(*) FILTER (kind = 'error') AS errors, arg_max(kind, (us, event_id)) AS phase, max(us) FILTER (kind = 'finished') AS completed_us FROM scan_events GROUP BY session_id")
@@ -70,6 +90,14 @@ def k04b(spark, sf_dir):
     return ev.folder_state(e, roots)
 
 
+@query("k04_folder_states_by_session", f"WITH {E}, r AS (SELECT '/photos' AS root UNION ALL SELECT '/photos/f' || CAST(n_nationkey AS VARCHAR) FROM nation), h AS (SELECT session_id, event_id, kind, arg_max(root, length(root)) AS root FROM (SELECT session_id, event_id, kind, path || '/x' AS path FROM scan_events WHERE kind IN ('item', 'error')) JOIN r ON starts_with(path, root || '/') GROUP BY ALL) SELECT session_id, root, count(*) FILTER (kind = 'item') AS items, count(*) FILTER (kind = 'error') AS errors FROM h GROUP BY session_id, root")
+def k04c(spark, sf_dir):
+    roots = table(spark, sf_dir, "nation").select(F.concat(F.lit("/photos/f"), F.col("n_nationkey").cast("string")).alias("root"))
+    roots = roots.union(roots.select(F.lit("/photos").alias("root")).distinct())
+    e = views.scan_events(spark, sf_dir).withColumn("path", F.concat("path", F.lit("/x")))
+    return ev.folder_state(e, roots, by_session=True)
+
+
 @query("k05_query_rate", f"WITH {E}, w AS (SELECT (us // 1800000000 - k) * 1800000000 AS start_us FROM scan_events, (SELECT unnest([0, 1]) AS k)) SELECT start_us, round(count(*) / 3600.0::DOUBLE, 9) AS per_second FROM w GROUP BY start_us")
 def k05(spark, sf_dir):
     out = ev.query_rate(views.scan_events(spark, sf_dir), "3600 seconds", "1800 seconds", 3600.0)

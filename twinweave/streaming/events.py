@@ -1,20 +1,23 @@
 """Operators on streams of scan and file-system events.
 
 Each function takes a streaming or a batch DataFrame with an event-time column
-``ts``. State is bounded by a watermark; rows later than it are dropped.
+``ts``. State is bounded by a watermark, but for the running totals of
+``session_state``; rows later than it are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from twinweave.operators.metrics import advice_of
 from twinweave.plans.scratch import Scratch
+from twinweave.sources.keyed_store import KeyedStore
+from twinweave.streaming.sessions import folder_stream
 
 
 def _bounded(events: DataFrame, delay: str) -> DataFrame:
@@ -32,6 +35,16 @@ def debounced(events: DataFrame, gap: str = "1 second", delay: str = "10 seconds
     return e.groupBy("path", F.session_window("ts", gap).alias("w")).agg(F.max_by("kind", F.struct("ts", "event_id")).alias("kind"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("merged"))
 
 
+def once(events: DataFrame) -> DataFrame:
+    """Change events, each of them once: rows of one (ts, event_id) are one event, and of differing ones the least counts.
+
+    An event without an id gets one from its content.
+    """
+    what = ("path", "kind", "old_path", "size")
+    known = F.coalesce("event_id", F.pmod(F.xxhash64("ts", *what), F.lit(1 << 62)))
+    return events.groupBy("ts", known.alias("event_id")).agg(F.min(F.struct(*what)).alias("e")).select("ts", "event_id", *(F.col(f"e.{c}").alias(c) for c in what))
+
+
 def _timeline(catalog: DataFrame, events: DataFrame) -> DataFrame:
     """What happens at each path in order: (path, at, kind, size, id, other, was), ``was`` is whether a file was there before.
 
@@ -50,9 +63,10 @@ def _timeline(catalog: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def apply_changes(catalog: DataFrame, events: DataFrame) -> DataFrame:
-    """K3: the catalogue (id, path, size) after file events, in order of (ts, event_id).
+    """K3: the catalogue (id, path, size) after file events, in order of (ts, event_id), nulls first.
 
-    Events are (path, kind, old_path, size, ts, event_id). ``created`` and
+    Events are (path, kind, old_path, size, ts, event_id), and one that is there
+    twice happened once (``once``). ``created`` and
     ``modified`` insert or update the file at a path, ``deleted`` drops it and
     ``renamed`` moves the file of ``old_path``, id and all, to ``path``, in place
     of a file that is there; if none is at ``old_path`` it is as ``modified``. An
@@ -63,7 +77,7 @@ def apply_changes(catalog: DataFrame, events: DataFrame) -> DataFrame:
     chains at once; nothing is folded event by event.
     """
     scratch = Scratch(catalog.sparkSession, "changes")
-    t = _timeline(catalog, events.filter("path is not null"))
+    t = scratch.stash(_timeline(catalog, once(events.filter("path is not null"))), "timeline")
     source = t.filter("kind = 'away'").select(F.col("path").alias("other"), "at", F.col("was").alias("moved"))
     t = t.join(source, ["other", "at"], "left").withColumn("moved", F.coalesce("moved", F.lit(False)))
     new = (F.col("kind").isin("put", "in") & ~F.col("was") & ~F.col("moved")).cast("int")
@@ -89,6 +103,34 @@ def apply_changes(catalog: DataFrame, events: DataFrame) -> DataFrame:
             return stays.filter("open").select("id", "path", "size")
 
 
+CATALOG = "id long, path string, size long"
+
+
+def paths_of(events: DataFrame) -> DataFrame:
+    """Paths that events name."""
+    return events.select("path").union(events.select(F.col("old_path").alias("path"))).filter("path is not null").distinct()
+
+
+def commit_changes(store: KeyedStore, events: DataFrame, source: str = "changes", number: int | None = None) -> bool:
+    """K3: apply a batch of events to a stored catalogue (``CATALOG`` by path); only buckets of paths that events name are rewritten.
+
+    False if the batch ``number`` of this source was committed before.
+    """
+    batch = Scratch(store.spark, "changes").stash(events.select("ts", "event_id", "path", "kind", "old_path", "size"), "events")
+    return store.change(paths_of(batch), lambda before: apply_changes(before, batch), source, number)
+
+
+def stream_changes(events: DataFrame, store: KeyedStore, checkpoint: str, delay: str = "10 minutes", source: str = "changes") -> DataStreamWriter:
+    """K3 as a stream into a stored catalogue; start the writer it returns.
+
+    An event that is delivered again is dropped for as long as the watermark
+    remembers it, and one later than ``delay`` is dropped too. Each micro-batch
+    is one commit, so a batch that is replayed after a restart changes nothing.
+    """
+    fresh = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    return fresh.writeStream.foreachBatch(lambda df, number: commit_changes(store, df, source, number) and None).option("checkpointLocation", checkpoint)
+
+
 def surviving(rows: DataFrame, catalog: DataFrame, id_col: str = "file_id") -> DataFrame:
     """K3's cascade: the rows (signatures, metadata) of files that are still in the catalogue. Rows with a null id go."""
     return rows.join(catalog.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
@@ -116,7 +158,11 @@ def run_changes(events: DataFrame, read_catalog: Callable[[], DataFrame], write_
 
 
 def session_state(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """K4: items, errors, last phase and end of each session."""
+    """K4: items, errors, last phase and end of each session.
+
+    On a stream these are running totals, in update or complete mode, of all
+    sessions so far; ``session_stream`` gives each session once and forgets it.
+    """
     e = _bounded(events, delay)
     finished = F.col("kind") == "finished"
     items = F.count_if(F.col("kind") == "item")
@@ -127,17 +173,27 @@ def session_state(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def folder_state(events: DataFrame, roots: DataFrame, delay: str = "1 hour") -> DataFrame:
+def _folders_above(path: str) -> Column:
+    """Array of the folders above a path."""
+    names = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda k: F.array_join(F.slice(names, F.lit(1), k), "/"))
+    return F.when(F.size(names) > 1, above).otherwise(F.array().cast("array<string>"))
+
+
+def folder_state(events: DataFrame, roots: DataFrame, delay: str = "1 hour", by_session: bool = False, silence_s: int = 86_400) -> DataFrame:
     """K4: items and errors below each root; a path belongs to the longest root that it is below.
 
-    Every folder above a path is looked up among the roots by an equi-join.
+    Every folder above a path is looked up among the roots by an equi-join. On a
+    stream, and with ``by_session``, rows are (session_id, root, items, errors);
+    on a stream a session's rows come once it is over (``folder_stream``).
     """
-    names = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda k: F.array_join(F.slice(names, F.lit(1), k), "/"))
-    above = F.when(F.size(names) > 1, above).otherwise(F.array().cast("array<string>"))
-    hit = _bounded(events, delay).select("event_id", "kind", F.explode(above).alias("root")).join(roots.select("root").distinct(), "root")
-    mine = hit.groupBy("event_id", "kind").agg(F.max_by("root", F.length("root")).alias("root"))
-    return mine.groupBy("root").agg(F.count_if(F.col("kind") == "item").alias("items"), F.count_if(F.col("kind") == "error").alias("errors"))
+    if events.isStreaming:
+        return folder_stream(events, roots, _folders_above("path"), delay, silence_s)
+    each = ["session_id"] if by_session else []
+    hit = events.filter(F.col("kind").isin("item", "error")) if by_session else events
+    hit = hit.select("event_id", "kind", *each, F.explode(_folders_above("path")).alias("root")).join(roots.select("root").distinct(), "root")
+    mine = hit.groupBy("event_id", "kind", *each).agg(F.max_by("root", F.length("root")).alias("root"))
+    return mine.groupBy(*each, "root").agg(F.count_if(F.col("kind") == "item").alias("items"), F.count_if(F.col("kind") == "error").alias("errors"))
 
 
 def query_rate(events: DataFrame, width: str = "60 seconds", slide: str = "30 seconds", seconds: float = 60.0, delay: str = "1 minute") -> DataFrame:
