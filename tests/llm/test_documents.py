@@ -176,6 +176,29 @@ def test_shards_equal_brute_force_in_any_session(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_repeated_rows_spread_over_buckets_and_shards(spark):
+    """Half of the rows are one row; equal brute force over the numbered copies, in any session."""
+    rows = [(k, f"text {k}") for k in range(600)] + [(None, "x")] * 600
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    base = [r["h"] for r in d.select(F.xxhash64(F.lit(3), "doc_id", F.xxhash64("text")).alias("h")).collect()]
+    copies = [r["h"] for r in spark.range(1, 600).select(F.xxhash64(F.lit(base[-1]), F.col("id")).alias("h")).collect()]
+    hashes = base[:601] + copies
+    want = brute_shards(list(range(1200)), 4, 3, 12, hashes)
+    want = Counter((k if k < 600 else None, *v) for k, v in want.items())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for width in ("3", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            out = sharding.shuffle_into_shards(d.repartition(int(width)), 4, seed=3, bucket_rows=100).collect()
+            assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in out) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sizes = Counter(h % 12 for h in hashes)
+    assert max(sizes.values()) <= 2 * 100
+    in_shard = Counter(r["shard"] for r in out if r["doc_id"] is None)
+    assert min(in_shard[k] for k in range(4)) > 100
+
+
 # quality rules
 
 

@@ -46,6 +46,27 @@ def _fisher_yates(seed: int):
     return F.arrow_udf(shuffled, "bigint")
 
 
+def _spread_copies(rows: DataFrame, draw: str) -> DataFrame:
+    """``rows`` with a draw of its own for each copy of a key and text; the first keeps the one it has.
+
+    Copies are numbered by the partition they are in and their place among the
+    copies there, so a group of any size is numbered by many tasks. Only draws
+    that repeat, with their partitions, are shuffled.
+    """
+    again, part, copy, before = unused(rows, "draw_again", "draw_part", "draw_copy", "draws_before")
+    repeated = rows.groupBy(draw).agg(F.count(F.lit(1)).alias(copy)).filter(F.col(copy) > 1).select(F.col(draw).alias(again))
+    marked = rows.withColumn(part, F.spark_partition_id()).join(repeated, F.col(draw) == F.col(again), "left")
+    single, several = marked.filter(F.col(again).isNull()), marked.filter(F.col(again).isNotNull())
+    counts = several.groupBy(F.col(draw).alias(again + "_"), F.col(part).alias(part + "_")).agg(F.count(F.lit(1)).alias(copy))
+    offsets = counts.withColumn(before, F.sum(copy).over(Window.partitionBy(again + "_").orderBy(part + "_")) - F.col(copy)).drop(copy)
+    numbered = several.withColumn(copy, F.row_number().over(Window.partitionBy(draw, part).orderBy(F.lit(0))) - 1)
+    # left: were the partitions of a second reading others, copies would share draws, and none be lost
+    numbered = numbered.join(offsets, (F.col(draw) == F.col(again + "_")) & (F.col(part) == F.col(part + "_")), "left")
+    number = F.col(copy) + F.coalesce(before, F.lit(0))
+    numbered = numbered.withColumn(draw, F.when(number > 0, F.xxhash64(F.col(draw), number)).otherwise(F.col(draw)))
+    return single.select(*rows.columns).unionByName(numbered.select(*rows.columns))
+
+
 def shuffle_into_shards(
     docs: DataFrame,
     n_shards: int,
@@ -58,14 +79,15 @@ def shuffle_into_shards(
     """``docs`` plus ``shard`` (0..n_shards-1) and ``slot`` (gapless from 0 in each shard).
 
     The scatter hash is of ``key`` and the text, so copies of a text under
-    different keys spread over all buckets. Nulls hash like any value. Rows that
-    are equal in key and text are interchangeable and stay in one bucket. An
-    empty table gives an empty result. Columns named like the two outputs are
-    replaced, others of any names are kept. A text of any length is one record.
-    Buckets hold ``bucket_bytes`` of text and ``bucket_rows`` rows on average, and
-    rows are dealt to as many tasks as there are buckets, each of which sorts its
-    own. A row's place follows from the rows, the seed and the parameters only,
-    not from the session or the partitions that the rows come in.
+    different keys spread over all buckets, and of the number of the copy where
+    key and text repeat: such rows are interchangeable, and spread too. Nulls
+    hash like any value. An empty table gives an empty result. Columns named like
+    the two outputs are replaced, others of any names are kept. A text of any
+    length is one record. Buckets hold ``bucket_bytes`` of text and
+    ``bucket_rows`` rows on average; a task sorts and shuffles many buckets in
+    turn, as there may be more of them than a shuffle can have partitions. A
+    row's place follows from the rows, the seed and the parameters only, not from
+    the session or the partitions that the rows come in.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
@@ -74,14 +96,15 @@ def shuffle_into_shards(
     n_buckets = max(1, -(-stats[0] // bucket_rows), -(-(stats[1] or 0) // bucket_bytes))
     bucket, n, start, total, draw, place = unused(docs, "bucket", "in_bucket", "bucket_start", "n_rows", "scatter", "place")
     scattered = docs.withColumn(draw, F.xxhash64(F.lit(seed), *key, F.xxhash64(text_col)))
-    scattered = scattered.withColumn(bucket, F.pmod(draw, F.lit(n_buckets)))
+    scattered = _spread_copies(scattered, draw).withColumn(bucket, F.pmod(draw, F.lit(n_buckets)))
     # One row for each bucket, never for each record.
     counts = scattered.groupBy(bucket).agg(F.count(F.lit(1)).alias(n))
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = counts.select(bucket, n, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start), F.sum(n).over(everything).alias(total))
     order = Window.partitionBy(bucket).orderBy(draw)
-    placed = scattered.repartition(n_buckets, bucket).join(starts, bucket).withColumn(place, F.row_number().over(order) - 1)
+    tasks = min(n_buckets, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    placed = scattered.repartition(tasks, bucket).join(starts, bucket).withColumn(place, F.row_number().over(order) - 1)
     placed = placed.withColumn(place, F.col(start) + _fisher_yates(seed)(bucket, n, place))
     shard = F.expr(f"({place} * {n_shards}) div {total}")
     first = F.expr(f"(shard * {total} + {n_shards - 1}) div {n_shards}")
