@@ -6,6 +6,7 @@ and give a signal struct (key, weight, raw, contribution, note) or null.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,9 +123,78 @@ def jaro_winkler(x: str, y: str) -> float:
     return jaro + agree * 0.1 * (1 - jaro)
 
 
+_LETTERS = 64
+_CHUNK = 4096
+
+
+def _letters(texts: list[str], lengths: np.ndarray) -> np.ndarray:
+    """Code points of texts as rows of one width, -1 beyond their ends."""
+    width = max(int(lengths.max()), 1)
+    out = np.full((len(texts), width), -1, np.int32)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32)
+    out[np.arange(width) < lengths[:, None]] = flat
+    return out
+
+
+def _low_bits(n: np.ndarray) -> np.ndarray:
+    """Words whose lowest ``n`` bits are set, for n from 0 to 64."""
+    n = np.clip(n, 0, 64)
+    return np.where(n >= 64, np.uint64(0xFFFF_FFFF_FFFF_FFFF), (np.uint64(1) << np.minimum(n, 63).astype(np.uint64)) - np.uint64(1))
+
+
+def _first(letters: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """The marked letters of each row moved to its front, in order."""
+    return np.take_along_axis(letters, np.argsort(~marked, axis=1, kind="stable"), 1)
+
+
+def _jaro_winkler_short(x: list[str], y: list[str]) -> np.ndarray:
+    """``jaro_winkler`` of a batch of names of up to 64 letters: a name's free letters are the bits of one word."""
+    nx, ny = (np.fromiter(map(len, t), np.int64, len(t)) for t in (x, y))
+    ax, ay = _letters(x, nx), _letters(y, ny)
+    window = np.maximum(nx, ny) // 2 - 1
+    places = np.uint64(1) << np.arange(ay.shape[1], dtype=np.uint64)
+    taken = np.zeros(len(x), np.uint64)
+    matched = np.zeros(ax.shape, bool)
+    for i in range(ax.shape[1]):
+        equal = ((ay == ax[:, i : i + 1]) & (ax[:, i : i + 1] >= 0)) @ places
+        inside = _low_bits(np.minimum(i + window + 1, ny)) & ~_low_bits(np.minimum(np.maximum(i - window, 0), 64))
+        free = equal & inside & ~taken
+        hit = free & (~free + np.uint64(1))
+        taken |= hit
+        matched[:, i] = hit != 0
+    m = matched.sum(1)
+    used = (taken[:, None] & places) != 0
+    width = min(ax.shape[1], ay.shape[1])
+    swaps = ((_first(ax, matched)[:, :width] != _first(ay, used)[:, :width]) & (np.arange(width) < m[:, None])).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = (m / nx + m / ny + (m - swaps / 2) / m) / 3
+    head = min(4, width)
+    agree = ((ax[:, :head] == ay[:, :head]) & (ax[:, :head] >= 0)).sum(1)
+    score = jaro + agree * 0.1 * (1 - jaro)
+    return np.where((nx == 0) & (ny == 0), 1.0, np.where(m == 0, 0.0, score))
+
+
+def jaro_winkler_batch(x: list[str], y: list[str]) -> np.ndarray:
+    """``jaro_winkler`` of many pairs at once; pairs of like length go together, and names of over 64 letters one by one."""
+    longest = np.maximum(np.fromiter(map(len, x), np.int64, len(x)), np.fromiter(map(len, y), np.int64, len(y)))
+    out = np.empty(len(x))
+    order = np.argsort(longest, kind="stable")
+    short = order[: int((longest <= _LETTERS).sum())]
+    for k in range(0, len(short), _CHUNK):
+        part = short[k : k + _CHUNK]
+        out[part] = _jaro_winkler_short([x[i] for i in part], [y[i] for i in part])
+    for i in order[len(short) :]:
+        out[i] = jaro_winkler(x[i], y[i])
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def _jaro_winkler(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None or q is None else jaro_winkler(p, q) for p, q in zip(x, y, strict=True)])
+    known = (x.notna() & y.notna()).to_numpy()
+    out = np.full(len(x), np.nan)
+    if known.any():
+        out[known] = jaro_winkler_batch(x[known].tolist(), y[known].tolist())
+    return pd.Series(out)  # what isn't a number is null
 
 
 def with_name_score(pairs: DataFrame, left: str = "a_stem", right: str = "b_stem", out: str = "name_score") -> DataFrame:

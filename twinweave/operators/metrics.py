@@ -281,8 +281,8 @@ def compare_variants(rows: DataFrame, control: str, variant: str) -> DataFrame:
 def variant_metrics(samples: DataFrame) -> DataFrame:
     """Mean and spread of each variant's durations; the winner is the fastest."""
     m = samples.groupBy("operation").agg(F.avg("duration_ms").alias("mean_ms"), F.stddev_samp("duration_ms").alias("stddev_ms"))
-    first = F.row_number().over(Window.orderBy("mean_ms", "operation"))
-    return m.withColumn("winner", first == 1)
+    first = m.agg(F.min(F.struct("mean_ms", "operation")).alias("top")).select(F.col("top.operation").alias("first"), F.lit(True).alias("won"))
+    return m.join(first, F.col("operation").eqNullSafe(F.col("first")), "left").select(*m.columns, F.coalesce("won", F.lit(False)).alias("winner"))
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,10 +1,11 @@
 """Exact quantiles of groups of any size, by distributed selection.
 
-A group's values are never together in one task. Values are counted first; then
-four histograms, each over 16 bits of the order-preserving 64-bit form of a
-double, narrow every wanted rank down to its value. A histogram has at most
-65,536 rows a group and rank, and only values that share the bits found so far
-are counted again.
+Values are counted first. A group of up to 65,536 different values is summed up
+in order; the values of a larger one never come together in one task: four
+histograms, each over 16 bits of the order-preserving 64-bit form of a double,
+narrow every wanted rank down to its value. A histogram has at most 65,536 rows
+a group and rank, and only values that share the bits found so far are counted
+again.
 """
 
 from __future__ import annotations
@@ -47,7 +48,14 @@ def _prefix(number: str | Column, digits: int) -> Column:
     return F.shiftrightunsigned(flipped, 64 - _DIGIT * digits) if digits else F.lit(0).cast("long")
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float] = (0.5,)) -> DataFrame:
+def _selected(ranks: DataFrame, bars: DataFrame, within: list[str], place: str) -> DataFrame:
+    """Each rank with the bar that it falls in: the bars of a group are summed up in order of ``place``."""
+    upto = F.sum("n").over(Window.partitionBy(*within).orderBy(place))
+    bars = bars.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+    return ranks.join(bars, within).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float] = (0.5,), few: int = 1 << _DIGIT) -> DataFrame:
     """(keys, probability, value): quantiles with linear interpolation between the two values beside a place.
 
     Null values don't count, and a group without any has no row; null keys are a
@@ -59,22 +67,26 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilitie
     number = _column(_ordered, "bigint")(F.col(value).cast("double"))
     counted = df.filter(F.col(value).isNotNull()).select(group.alias("g"), number.alias("x")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
     counted = scratch.stash(counted, "values")
-    totals = counted.groupBy("g").agg(F.sum("n").alias("total"))
+    totals = scratch.stash(counted.groupBy("g").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different")), "totals")
     asked = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability")
     place = F.col("probability") * (F.col("total") - 1)
-    wanted = totals.select("g", "total", asked).select("g", "probability", place.alias("place"), F.floor(place).alias("low"), F.ceil(place).alias("high"))
-    ranks = wanted.select("g", F.explode(F.array("low", "high")).alias("rank")).distinct()
-    # rank counts from the values that share the prefix
-    found = scratch.stash(ranks.withColumn("asked", F.col("rank")).withColumn("prefix", F.lit(0).cast("long")), "ranks")
-    for digits in range(1, 64 // _DIGIT + 1):
-        sought = found.select("g", "prefix").distinct()
-        near = counted.withColumn("prefix", _prefix("x", digits - 1)).join(sought, ["g", "prefix"], "left_semi")
-        histogram = near.groupBy("g", "prefix", _prefix("x", digits).alias("next")).agg(F.sum("n").alias("n"))
-        before = Window.partitionBy("g", "prefix").orderBy("next")
-        bars = histogram.withColumn("upto", F.sum("n").over(before)).withColumn("before", F.col("upto") - F.col("n"))
-        hit = found.join(bars, ["g", "prefix"]).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
-        found = scratch.stash(hit.select("g", "asked", (F.col("rank") - F.col("before")).alias("rank"), F.col("next").alias("prefix")), "ranks")
-    values = found.select("g", "asked", _column(_double, "double")(F.col("prefix").bitwiseXOR(F.lit(-(1 << 63)))).alias("v"))
+    wanted = totals.select("g", "total", "different", asked).select("g", "probability", "different", place.alias("place"), F.floor(place).alias("low"), F.ceil(place).alias("high"))
+    ranks = wanted.select("g", "different", F.explode(F.array("low", "high")).alias("rank")).distinct().withColumn("asked", F.col("rank"))
+    small, large = ranks.filter(F.col("different") <= few).drop("different"), ranks.filter(F.col("different") > few).drop("different")
+    small_groups = small.select("g").distinct()
+    found = _selected(small, counted.join(small_groups, "g", "left_semi"), ["g"], "x").select("g", "asked", "x")
+    if not large.isEmpty():
+        # rank counts from the values that share the prefix
+        left = scratch.stash(large.withColumn("prefix", F.lit(0).cast("long")), "ranks")
+        for digits in range(1, 64 // _DIGIT + 1):
+            near = counted.withColumn("prefix", _prefix("x", digits - 1)).join(left.select("g", "prefix").distinct(), ["g", "prefix"], "left_semi")
+            histogram = near.groupBy("g", "prefix", _prefix("x", digits).alias("next")).agg(F.sum("n").alias("n"))
+            hit = _selected(left, histogram, ["g", "prefix"], "next")
+            nxt = scratch.stash(hit.select("g", "asked", (F.col("rank") - F.col("before")).alias("rank"), F.col("next").alias("prefix")), "ranks")
+            scratch.drop(left)
+            left = nxt
+        found = found.unionByName(left.select("g", "asked", F.col("prefix").bitwiseXOR(F.lit(-(1 << 63))).alias("x")))
+    values = found.select("g", "asked", _column(_double, "double")("x").alias("v"))
     side = lambda name: values.select(F.col("g"), F.col("asked").alias(name), F.col("v").alias(f"{name}_value"))
     both = wanted.join(side("low"), ["g", "low"]).join(side("high"), ["g", "high"])
     share = F.col("place") - F.col("low")

@@ -68,6 +68,7 @@ class KeptComponents:
         edges = scratch.stash(edges, "edges")
         self._replace(self.labels, named.unionByName(ends(before)).unionByName(labels.select("node")).distinct(), labels, source, number)
         self._replace(self.edges, touched.unionByName(edges.select("component")).distinct(), edges, source, number)
+        scratch.drop_all()
 
     @staticmethod
     def _replace(store: KeyedStore, keys: DataFrame, rows: DataFrame, source: str, number: int | None) -> None:

@@ -7,8 +7,8 @@ the next join and lets Spark drop the shuffle files of the step that wrote it.
 
 from __future__ import annotations
 
-import contextlib
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +26,34 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/twinweave/{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, by Hadoop's file system, as PySpark has no call for it; a failure is a warning."""
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception as e:
+        warnings.warn(f"{path} stays: {e}", stacklevel=2)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this application has stashed; results that aren't written yet can't be read after it."""
+    delete(spark, _own_folder(spark))
+
+
 class Scratch:
-    """A private subfolder of the shared folder; ``stash`` writes a table and reads it back."""
+    """A private subfolder of the shared folder; ``stash`` writes a table and reads it back.
+
+    Tables lie below a folder of the application. An operator drops those that
+    its result doesn't read; ``clear`` removes the others after use.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/twinweave/{name}-{uuid.uuid4().hex}"
+        self.root = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
     def stash(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -50,10 +72,13 @@ class Scratch:
         out._stash_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a stashed table that no later step reads."""
-        path = getattr(df, "_stash_path", None)
-        if path:
-            with contextlib.suppress(Exception):
-                hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete stashed tables that no later step reads."""
+        for df in tables:
+            path = getattr(df, "_stash_path", None)
+            if path:
+                delete(self.spark, path)
+
+    def drop_all(self) -> None:
+        """Delete all that was stashed here."""
+        delete(self.spark, self.root)

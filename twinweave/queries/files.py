@@ -191,6 +191,24 @@ def b02(spark, sf_dir):
     return images.image_hashes(_pictures(spark, sf_dir))
 
 
+_BYTE = "CAST('0x' || substr(hx, 2 * ((3 * i + {0}) % n) + 1, 2) AS BIGINT)"
+
+
+@query(
+    "b02_picture_hashes",
+    f"""WITH d AS (SELECT doc_id AS id, hex(encode(text)) AS hx, octet_length(encode(text)) AS n, greatest(32, CAST(ceil(octet_length(encode(text)) / 96.0::DOUBLE) AS BIGINT)) AS h FROM documents WHERE octet_length(encode(text)) > 0),
+        px AS (SELECT id, h, i // 32 AS y, i % 32 AS x, 114 * {_BYTE.format(0)} + 587 * {_BYTE.format(1)} + 299 * {_BYTE.format(2)} AS g FROM (SELECT *, unnest(range(h * 32)) AS i FROM d)),
+        cells AS (SELECT id, h, x, y, g, unnest(list_distinct([9 * x // 32, (9 * x + 8) // 32])) AS c FROM px),
+        parts AS (SELECT *, unnest(list_distinct([8 * y // h, (8 * y + 7) // h])) AS r FROM cells),
+        small AS (SELECT id, r, c, sum(g * (least(9 * x + 9, 32 * c + 32) - greatest(9 * x, 32 * c)) * (least(8 * y + 8, h * r + h) - greatest(8 * y, h * r))) AS v FROM parts GROUP BY id, r, c),
+        bits AS (SELECT l.id, CASE WHEN l.v > m.v THEN CAST(1 AS HUGEINT) << CAST(63 - (8 * l.r + l.c) AS INTEGER) ELSE 0 END AS b FROM small l JOIN small m ON m.id = l.id AND m.r = l.r AND m.c = l.c + 1)
+        SELECT id, CAST(CASE WHEN sum(b) >= CAST(1 AS HUGEINT) << 63 THEN sum(b) - (CAST(1 AS HUGEINT) << 64) ELSE sum(b) END AS BIGINT) AS dhash FROM bits GROUP BY id""",
+)
+def b02_pictures(spark, sf_dir):
+    """B2 of whole texts as pictures of 32 by 32 pixels and more."""
+    return images.image_hashes(_pictures(spark, sf_dir)).select("id", "dhash")
+
+
 @query(
     "b02_grid_hash",
     "WITH g AS (SELECT vec_id AS id, embedding || embedding[1:8] AS v FROM embeddings), b AS (SELECT id, unnest(range(0, 64)) AS k, v FROM g) SELECT id, CAST(sum(CASE WHEN k > 0 AND v[(k // 8) * 9 + k % 8 + 1] > v[(k // 8) * 9 + k % 8 + 2] THEN CAST(1 AS HUGEINT) << CAST(63 - k AS INTEGER) ELSE 0 END) AS BIGINT) AS hash63 FROM b GROUP BY id",

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinweave.plans.scratch import Scratch
+
 LEAST_SIDE = 32
 
 
@@ -52,6 +54,19 @@ def difference_hash(img: np.ndarray) -> int:
     return _packed(small[:, :-1] > small[:, 1:])
 
 
+@lru_cache(64)
+def _whole_weights(n: int, m: int) -> np.ndarray:
+    """``_weights`` times what makes them whole numbers."""
+    lo, hi = np.arange(m)[:, None] * n, np.arange(1, m + 1)[:, None] * n
+    return np.clip(np.minimum(hi, np.arange(1, n + 1) * m) - np.maximum(lo, np.arange(n) * m), 0, None)
+
+
+def exact_difference_hash(img: np.ndarray) -> int:
+    """B2 of a luminance image, in whole numbers: equal places are equal, and no rounding makes one of them brighter."""
+    small = _whole_weights(img.shape[0], 8) @ np.rint(img * 1000).astype(np.int64) @ _whole_weights(img.shape[1], 9).T
+    return _packed(small[:, :-1] > small[:, 1:])
+
+
 def _dct(n: int) -> np.ndarray:
     k = np.arange(n)
     return np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
@@ -75,7 +90,7 @@ def image_hashes(images: DataFrame) -> DataFrame:
             d, p = [], []
             for w, h, c, data in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 img = grey(w, h, c, data) if data and min(w, h) >= LEAST_SIDE else None
-                d.append(None if img is None else difference_hash(img))
+                d.append(None if img is None else exact_difference_hash(img))
                 p.append(None if img is None else perceptual_hash(img))
             yield pa.record_batch([b.column(0), pa.array(d, pa.int64()), pa.array(p, pa.int64())], names=["id", "dhash", "phash"])
 
@@ -135,25 +150,43 @@ def difference(x: np.ndarray, y: np.ndarray) -> dict[str, float]:
 _MEASURES = ("mean_difference", "max_difference", "changed_pct", "ssim", "histogram_distance", "hash_distance")
 
 
+def reduced(images: DataFrame) -> DataFrame:
+    """(id, square): pictures at 256 x 256 in three channels, as 32-bit numbers; each is resampled once."""
+    kind = images.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                b = batch[i : i + 64]
+                squares = [_square(*r).astype(np.float32).tobytes() for r in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+                yield pa.record_batch([b.column(0), pa.array(squares, pa.binary())], names=["id", "square"])
+
+    return images.select("id", "width", "height", "n_channels", "data").mapInArrow(run, f"id {kind}, square binary")
+
+
 def visual_differences(pairs: DataFrame, images: DataFrame, with_map: bool = False) -> DataFrame:
-    """(a, b) with the measures; ``with_map`` adds the distance of every pixel as bytes, 0 to 255."""
-    left = images.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("width", "height", "n_channels", "data")])
-    right = images.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("width", "height", "n_channels", "data")])
+    """(a, b) with the measures; ``with_map`` adds the distance of every pixel as bytes, 0 to 255.
+
+    A picture is reduced once, however many pairs it is in, and pictures in none aren't.
+    """
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    squares = Scratch(images.sparkSession, "pictures").stash(reduced(images.join(ids, "id", "left_semi")), "squares")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 b = batch[i : i + 64]
                 rows, maps = [], []
-                for r in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
-                    x, y = _square(*r[:4]), _square(*r[4:])
+                for r in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    x, y = (np.frombuffer(z, np.float32).reshape(_SIDE, _SIDE, 3).astype(float) for z in r)
                     rows.append(difference(x, y))
                     maps.append(np.sqrt(((x - y) ** 2).sum(2) / 3).clip(0, 255).astype(np.uint8).tobytes() if with_map else None)
                 cols = [b.column(0), b.column(1), *(pa.array([r[m] for r in rows], pa.float64()) for m in _MEASURES)]
                 yield pa.record_batch([*cols, pa.array(maps, pa.binary())], names=["a", "b", *_MEASURES, "map"])
 
     kind = images.schema["id"].dataType.simpleString()
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", *left.columns[1:], *right.columns[1:])
+    left, right = (squares.select(F.col("id").alias(side), F.col("square").alias(f"{side}_square")) for side in ("a", "b"))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_square", "b_square")
     out = joined.mapInArrow(run, f"a {kind}, b {kind}, {', '.join(f'{m} double' for m in _MEASURES)}, map binary")
     return out if with_map else out.drop("map")
 

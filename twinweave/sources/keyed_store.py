@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinweave.plans.scratch import delete
+
 _MANIFEST = "writer string, bucket int, folder string, source string, number long"
 
 
@@ -164,6 +166,5 @@ class KeyedStore:
         old = {(r.bucket, r.folder) for r in published.filter("bucket is not null").select("bucket", "folder").distinct().collect()} - used
         versions = [r[0] for r in published.select("version").distinct().collect() if r[0] <= last - keep]
         for path in [f"{f}/bucket={b}" for b, f in sorted(old)] + [f"{self.path}/manifest/version={v}" for v in versions]:
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            delete(self.spark, path)
         return len(old)

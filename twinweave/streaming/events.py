@@ -100,6 +100,7 @@ def apply_changes(catalog: DataFrame, events: DataFrame) -> DataFrame:
         scratch.drop(stays)
         stays = nxt
         if stays.filter("from is not null").isEmpty():
+            scratch.drop(t)
             return stays.filter("open").select("id", "path", "size")
 
 
@@ -116,8 +117,11 @@ def commit_changes(store: KeyedStore, events: DataFrame, source: str = "changes"
 
     False if the batch ``number`` of this source was committed before.
     """
-    batch = Scratch(store.spark, "changes").stash(events.select("ts", "event_id", "path", "kind", "old_path", "size"), "events")
-    return store.change(paths_of(batch), lambda before: apply_changes(before, batch), source, number)
+    scratch = Scratch(store.spark, "changes")
+    batch = scratch.stash(events.select("ts", "event_id", "path", "kind", "old_path", "size"), "events")
+    done = store.change(paths_of(batch), lambda before: apply_changes(before, batch), source, number)
+    scratch.drop_all()
+    return done
 
 
 def stream_changes(events: DataFrame, store: KeyedStore, checkpoint: str, delay: str = "10 minutes", source: str = "changes") -> DataStreamWriter:
