@@ -53,7 +53,9 @@ class KeptComponents:
         # components that lose an edge or a node fall apart as their own edges say
         losing = known.join(ends(cut).union(gone).distinct(), "node", "left_semi").select("component").distinct()
         kept = before.join(cut, ["a", "b"], "left_anti").join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti")
-        parts = connected_components(kept.join(losing, "component", "left_semi"), "a", "b")
+        nothing = self.spark.createDataFrame([], LABELS)
+        whole_stays = cut.isEmpty() and gone.isEmpty()
+        parts = nothing if whole_stays else connected_components(kept.join(losing, "component", "left_semi"), "a", "b")
         intact = before.join(losing, "component", "left_anti")
         whole = intact.select(F.col("a").alias("node"), "component").union(intact.select(F.col("b").alias("node"), "component")).distinct()
         after = scratch.stash(parts.unionByName(whole), "after")
@@ -61,7 +63,7 @@ class KeptComponents:
         label = lambda side: after.select(F.col("node").alias(side), F.col("component").alias(f"label_{side}"))
         placed = new.join(label("a"), "a", "left").join(label("b"), "b", "left")
         placed = scratch.stash(placed.select("a", "b", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y")), "placed")
-        merged = connected_components(placed.select("x", "y"), "x", "y").select(F.col("node").alias("component"), F.col("component").alias("least"))
+        merged = (nothing if new.isEmpty() else connected_components(placed.select("x", "y"), "x", "y")).select(F.col("node").alias("component"), F.col("component").alias("least"))
         nodes = after.unionByName(placed.select(F.col("a").alias("node"), F.col("x").alias("component"))).unionByName(placed.select(F.col("b").alias("node"), F.col("y").alias("component"))).distinct()
         labels = scratch.stash(nodes.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "labels")
         edges = kept.select("a", "b").unionByName(new).distinct().join(labels.withColumnRenamed("node", "a"), "a").select("component", "a", "b")

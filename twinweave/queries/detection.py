@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from twinweave.operators import groups, keepers, pairs, scoring
 from twinweave.operators.components import connected_components
+from twinweave.operators.upkeep import KeptComponents
 from twinweave.plans import views
 from twinweave.plans.scratch import Scratch
 from twinweave.queries import query
@@ -244,6 +245,17 @@ def g04(spark, sf_dir):
     return _results(spark, sf_dir).withColumn("confidence", F.round("confidence", 6)).withColumn("rationale", F.array_join("rationale", " "))
 
 
+@query("g02_a10_kept_components", f"WITH {A}, {_AS_GROUPS}, e AS (SELECT group_id AS a, id AS b FROM member WHERE id <> group_id), last AS (SELECT a, b FROM e WHERE b % 3 = 0 OR (a % 7 <> 0 AND b % 7 <> 0)) SELECT b AS node, a AS component FROM last UNION SELECT a, a FROM last")
+def g02_kept(spark, sf_dir):
+    """Components of exact copies kept up to date: two thirds of the edges, then every seventh file goes and the other edges come."""
+    edges = Scratch(spark, "edges").stash(pairs.exact_edges(views.assets(spark, sf_dir)).select("a", "b"), "edges")
+    kept = KeptComponents(spark, Scratch(spark, "kept").root, 16)
+    kept.update(edges.filter("b % 3 <> 0"), number=0)
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).filter("node % 7 = 0").distinct()
+    kept.update(edges.filter("b % 3 = 0"), nodes, number=1)
+    return kept.read()
+
+
 @query("g04_q03_parity", f"WITH RECURSIVE {A}, {_EDGES} SELECT group_id, keeper_id, bucket_incomplete, EXISTS (SELECT 1 FROM over_) AS incomplete FROM res")
 def g04_parity(spark, sf_dir):
     """Q3: the reference's flag for all groups beside each group's own."""

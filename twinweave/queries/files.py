@@ -13,6 +13,7 @@ from twinweave.queries import query
 from twinweave.sources import files as fs
 from twinweave.sources import images
 from twinweave.sources.keyed_store import KeyedStore
+from twinweave.sources.layout import write_bucketed
 
 A, FILES = views.ASSETS, views.FILES
 _EXT = r"lower(regexp_extract({0}, '\.([^./]+)$', 1))"
@@ -92,12 +93,23 @@ def _listing(spark, sf_dir):
     return o.drop("k", "status"), known
 
 
-@query("a07_incremental_skip", f"WITH {_LISTING} SELECT l.path FROM listing l LEFT JOIN catalog c USING (path) WHERE NOT coalesce(l.modified_s <= c.modified_s AND l.size = c.size AND c.last_scanned_s >= 1700000000 - 86400, false)")
+_SKIP = f"WITH {_LISTING} SELECT l.path FROM listing l LEFT JOIN catalog c USING (path) WHERE NOT coalesce(l.modified_s <= c.modified_s AND l.size = c.size AND c.last_scanned_s >= 1700000000 - 86400, false)"
+
+
+@query("a07_incremental_skip", _SKIP)
 def a07(spark, sf_dir):
     listing, known = _listing(spark, sf_dir)
     return catalog.to_scan(listing, known, 1_700_000_000).select("path")
 
 
+@query("a07_bucketed_skip", _SKIP)
+def a07_bucketed(spark, sf_dir):
+    """A7 over a catalogue that lies in buckets by path: only the listing is shuffled."""
+    listing, known = _listing(spark, sf_dir)
+    root = Scratch(spark, "catalogue").root
+    return catalog.to_scan(listing, write_bucketed(known, f"catalogue_{root[-32:]}", "path", 8, f"{root}/rows"), 1_700_000_000).select("path")
+
+
 _UPSERT = f"WITH {_LISTING} SELECT path, coalesce(l.size, c.size) AS size, CASE WHEN l.size IS NOT NULL THEN 1700000000 ELSE c.last_scanned_s END AS last_scanned_s, (c.size IS NOT NULL AND l.size IS NOT NULL AND (c.size <> l.size OR c.modified_s <> l.modified_s)) AS needs_refresh FROM listing l FULL JOIN catalog c USING (path)"
 
 

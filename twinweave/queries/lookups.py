@@ -11,6 +11,7 @@ from twinweave.plans.scratch import Scratch
 from twinweave.plans.session import table
 from twinweave.queries import query
 from twinweave.queries.scalars import COMPLETE, FORMAT, SIGNATURE, SNAP, STEM, STEM_BUCKET, TIER
+from twinweave.sources.layout import Ranges
 
 A = views.ASSETS
 
@@ -20,6 +21,15 @@ def d01(spark, sf_dir):
     return catalog.by_range(views.assets(spark, sf_dir), "file_size", 500, 3000, "photo").select("id", "file_size")
 
 
+@query("d01_ranged_lookup", f"WITH {A} SELECT id, media_type, file_size FROM assets WHERE file_size BETWEEN 500 AND 3000")
+def d01_ranged(spark, sf_dir):
+    """D1 over files that lie by ranges of size: all rows of the range, from the folders that it meets."""
+    a = views.assets(spark, sf_dir).select("id", "media_type", "file_size")
+    laid = Ranges(spark, Scratch(spark, "ranges").root, "file_size", a.schema)
+    laid.write(a, 16)
+    return laid.read(500, 3000)
+
+
 @query("d02_by_dimensions", f"WITH {A} SELECT id FROM (SELECT * FROM assets WHERE width = 800 ORDER BY id LIMIT 500) WHERE media_type = 'photo'")
 def d02(spark, sf_dir):
     return catalog.by_dimensions(views.assets(spark, sf_dir), 800, None, "photo").select("id")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from twinweave.plans import views
 from twinweave.plans.scratch import Scratch
 from twinweave.plans.session import table
 from twinweave.queries import query
+from twinweave.sources import tree
 from twinweave.sources.keyed_store import KeyedStore
 from twinweave.streaming import events as ev
 
@@ -77,6 +80,29 @@ def k03_stored(spark, sf_dir):
     return store.read()
 
 
+@query(
+    "k01_listing_changes",
+    """WITH d AS (SELECT doc_id AS i, doc_id % 10 AS k, n_chars AS n FROM documents)
+       SELECT 'q' || i AS path, 'renamed' AS kind, 'p' || i AS old_path, n AS size FROM d WHERE k = 1
+       UNION ALL SELECT 'p' || (i - 4), 'renamed', 'p' || i, n FROM d WHERE k = 4
+       UNION ALL SELECT 'p' || i, 'modified', NULL, n + 1 FROM d WHERE k IN (2, 5)
+       UNION ALL SELECT 'n' || i, 'created', NULL, n FROM d WHERE k = 6
+       UNION ALL SELECT 'p' || i, 'deleted', NULL, NULL FROM d WHERE k = 0 AND i + 4 NOT IN (SELECT i FROM d)
+       UNION ALL SELECT 'p' || i, 'deleted', NULL, NULL FROM d WHERE k = 9""",
+)
+def k01_changes(spark, sf_dir):
+    """K1: documents as the files of a folder in two listings: moved, moved onto a file that went, changed in place, saved anew, new and gone."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), (F.col("doc_id") % 10).alias("k"), F.col("n_chars").cast("long").alias("size"))
+    name = lambda c, x: F.concat(F.lit(c), x.cast("string"))
+    before = d.select(name("p", F.col("i")).alias("path"), name("i", F.col("i")).alias("inode"), "size", F.lit(1).cast("long").alias("modified_s"))
+    path = F.when(F.col("k") == 1, name("q", F.col("i"))).when(F.col("k") == 4, name("p", F.col("i") - 4)).otherwise(name("p", F.col("i")))
+    inode = F.when(F.col("k") == 5, name("s", F.col("i"))).otherwise(name("i", F.col("i")))
+    size = F.col("size") + F.when(F.col("k").isin(2, 5), 1).otherwise(0)
+    after = d.filter("k not in (0, 9)").select(path.alias("path"), inode.alias("inode"), size.alias("size"), F.lit(1).cast("long").alias("modified_s"))
+    new = d.filter("k = 6").select(name("n", F.col("i")).alias("path"), name("n", F.col("i")).alias("inode"), "size", F.lit(2).cast("long").alias("modified_s"))
+    return tree.listing_changes(before, after.unionByName(new), dt.datetime(2024, 1, 1)).select("path", "kind", "old_path", "size")
+
+
 @query("k04_session_states", f"WITH {E} SELECT session_id, greatest(count(*) FILTER (kind = 'item'), coalesce(max(CAST(floor(value) AS BIGINT)) FILTER (kind = 'finished'), 0)) AS items, count(*) FILTER (kind = 'error') AS errors, arg_max(kind, (us, event_id)) AS phase, max(us) FILTER (kind = 'finished') AS completed_us FROM scan_events GROUP BY session_id")
 def k04(spark, sf_dir):
     return ev.session_state(views.scan_events(spark, sf_dir)).select("session_id", "items", "errors", "phase", _US("completed_at").alias("completed_us"))

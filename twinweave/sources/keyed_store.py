@@ -59,26 +59,26 @@ class KeyedStore:
 
     # versions
 
-    def _published(self) -> DataFrame | None:
+    def _versions(self) -> list[int]:
+        """Numbers of the published versions, from the names of their folders."""
         try:
-            return self.spark.read.schema(f"{_MANIFEST}, version long").parquet(f"{self.path}/manifest")
+            files = self.spark.read.schema(_MANIFEST).option("recursiveFileLookup", True).parquet(f"{self.path}/manifest").inputFiles()
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
-                return None
+                return []
             raise
+        return sorted({int(f.rsplit("/", 2)[1].removeprefix("version=")) for f in files})
+
+    def _version(self, version: int) -> DataFrame:
+        return self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest/version={version}")
 
     def manifest(self, version: int | None = None) -> Manifest:
         """The latest published manifest, or that of a version; of two writers of a version the first by name counts."""
-        published = self._published()
-        if published is None:
-            return Manifest()
         if version is None:
-            version = published.agg(F.max("version")).first()[0]
-        elif version == 0:
-            return Manifest()
-        rows = published.filter(F.col("version") == version).collect() if version else []
-        if not rows:
+            version = max(self._versions(), default=0)
+        if version == 0:
             return Manifest()
+        rows = self._version(version).collect()
         winner = min(r.writer for r in rows)
         rows = [r for r in rows if r.writer == winner]
         return Manifest(version, {r.bucket: r.folder for r in rows if r.bucket is not None}, {r.source: r.number for r in rows if r.source is not None})
@@ -158,13 +158,11 @@ class KeyedStore:
 
         Not while a commit is under way.
         """
-        published = self._published()
-        if published is None:
-            return 0
-        last = published.agg(F.max("version")).first()[0]
-        used = {(b, f) for v in range(max(1, last - keep + 1), last + 1) for b, f in self.manifest(v).folders.items()}
-        old = {(r.bucket, r.folder) for r in published.filter("bucket is not null").select("bucket", "folder").distinct().collect()} - used
-        versions = [r[0] for r in published.select("version").distinct().collect() if r[0] <= last - keep]
+        versions = self._versions()
+        used = {x for v in versions[-keep:] for x in self.manifest(v).folders.items()}
+        # all writers of the older versions, those that lost too
+        old = {(r.bucket, r.folder) for v in versions[:-keep] for r in self._version(v).filter("bucket is not null").collect()} - used
+        versions = versions[:-keep]
         for path in [f"{f}/bucket={b}" for b, f in sorted(old)] + [f"{self.path}/manifest/version={v}" for v in versions]:
             delete(self.spark, path)
         return len(old)
