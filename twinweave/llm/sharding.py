@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.llm.words import unused
+from twinweave.plans.scratch import Scratch
+
 
 def record_bytes(text: str | Column) -> Column:
     """UTF-8 bytes of the text (null: none) plus 16."""
@@ -49,12 +51,16 @@ def _fisher_yates(seed: int):
 def _spread_copies(rows: DataFrame, draw: str) -> DataFrame:
     """``rows`` with a draw of its own for each copy of a key and text; the first keeps the one it has.
 
-    Copies are numbered by the partition they are in and their place among the
-    copies there, so a group of any size is numbered by many tasks. Only draws
-    that repeat, with their partitions, are shuffled.
+    Draws that repeat are found first, from the draws alone; where ids are
+    unique there are none, and that is all. Copies are numbered by the partition
+    they are in and their place among the copies there, so a group of any size
+    is numbered by many tasks.
     """
     again, part, copy, before = unused(rows, "draw_again", "draw_part", "draw_copy", "draws_before")
     repeated = rows.groupBy(draw).agg(F.count(F.lit(1)).alias(copy)).filter(F.col(copy) > 1).select(F.col(draw).alias(again))
+    repeated = Scratch(rows.sparkSession, "sharding").stash(repeated, "repeated")
+    if repeated.isEmpty():
+        return rows
     marked = rows.withColumn(part, F.spark_partition_id()).join(repeated, F.col(draw) == F.col(again), "left")
     single, several = marked.filter(F.col(again).isNull()), marked.filter(F.col(again).isNotNull())
     counts = several.groupBy(F.col(draw).alias(again + "_"), F.col(part).alias(part + "_")).agg(F.count(F.lit(1)).alias(copy))
