@@ -253,7 +253,7 @@ def test_each_word_is_encoded_once(spark, texts):
 
     v = wb.load_vocabulary()
     blocks = wb.split_blocks(texts, v, "doc_id", "text", 40, Scratch(spark, "test")).cache()
-    words = {(r.block, r.place): r.word for r in wb.block_words(blocks).collect()}
+    words = {(r.block, r.place): r.word for r in wb.words_of(blocks).collect()}
     assert len(words) > len(set(words.values()))
     got = {}
     for r in wb.word_ids(blocks, v).collect():

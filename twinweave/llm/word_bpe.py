@@ -243,7 +243,7 @@ def split_blocks(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col:
     return scratch.stash(cut, "blocks", "zstd")
 
 
-def block_words(blocks: DataFrame) -> DataFrame:
+def words_of(blocks: DataFrame) -> DataFrame:
     """(block, place, word): the different words of each block."""
     each = blocks.filter(F.col("kind") == _WORDS).select("block", "place", F.posexplode("words").alias("k", "word"))
     return each.select("block", (F.col("place") + F.col("k")).alias("place"), "word")
@@ -287,7 +287,7 @@ def word_ids(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield packed(block, place, ids)
 
     n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = block_words(blocks)
+    words = words_of(blocks)
     return words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(encoded, _TABLE)
 
 
