@@ -52,6 +52,29 @@ def test_visual_differences(spark, folder):
     assert got["up2.png"]["is_duplicate"] and got["down.png"]["ssim"] < 0 and got["down.png"]["score"] > got["up2.png"]["score"]
 
 
+def test_small_pictures_stay_small(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, w, h, c, rng.bytes(w * h * c)) for i, (w, h, c) in enumerate([(32, 40, 3), (300, 200, 1), (600, 500, 3), (700, 520, 4)])]
+    img = spark.createDataFrame(rows, "id long, width int, height int, n_channels int, data binary")
+    kept = {r["id"]: r for r in images.reduced(img).collect()}
+    square = 256 * 256 * 3 * 4
+    assert [len(kept[i]["data"]) for i in range(4)] == [32 * 40 * 3, 300 * 200, square, square]
+    pairs = spark.createDataFrame([(0, 2), (1, 3), (2, 3), (1, 1)], "a long, b long")
+    got = {(r["a"], r["b"]): r for r in images.visual_differences(pairs, img, with_map=True).collect()}
+
+    def planes(i):
+        _, w, h, c, data = rows[i]
+        px = np.frombuffer(data, np.uint8).reshape(h, w, c).astype(float)
+        return np.stack([images.resample(px[:, :, k if c > 1 else 0], 256, 256) for k in range(3)]).astype(np.float32).astype(float)
+
+    assert set(got) == {(0, 2), (1, 3), (2, 3), (1, 1)}
+    for (a, b), r in got.items():
+        apart = np.sqrt(((planes(a) - planes(b)) ** 2).sum(0))
+        bins = [np.histogramdd(planes(i).reshape(3, -1).T, bins=16, range=[(0, 256)] * 3)[0] / 65536 for i in (a, b)]
+        assert r["mean_difference"] == pytest.approx(apart.mean()) and r["max_difference"] == pytest.approx(apart.max())
+        assert r["histogram_distance"] == pytest.approx(np.abs(bins[0] - bins[1]).sum()) and len(r["map"]) == 65536
+
+
 def test_grid_hash(spark):
     rng = np.random.default_rng(0)
     g = rng.random((8, 9))
