@@ -70,6 +70,17 @@ def test_banded_pairs_miss_none(spark):
     assert pairs.banded_pairs(spark.createDataFrame([], ASSET)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [50, None])
+def test_banded_pairs_of_crowded_bands_are_whole(spark, hot):
+    rows = [(3 * i, "video", f"clip{i}.mp4", 1920, 1080, 100 + i, 100.0 + i % 5, None) for i in range(300)]
+    rows += [(3 * i + 1, "audio", f"clip{i}.mp3", None, None, 5000 + i % 80, 60.0 + i % 2, 1) for i in range(260)]
+    df = spark.createDataFrame(rows, ASSET)
+    got = [(r.a, r.b) for r in pairs.banded_pairs(df, hot=hot).collect()]
+    want = brute_banded(rows)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40_000
+    assert pairs.banded_pairs(df, Limits(bucket_size=40)).count() < len(want)
+
+
 def crowd(rng, n):
     """Half of the hashes are within three bits of zero."""
     out = {0}
