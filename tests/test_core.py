@@ -227,3 +227,14 @@ def test_lookups_equal_brute_force(spark):
     both = {(r["hash_a"], r["hash_b"]) for r in pairs.hamming_pairs(df).collect()}
     assert both == {(x, y) for _, x in hashes for _, y in hashes if x is not None and y is not None and x < y and (x ^ y).bit_count() <= 5}
     assert pairs.within_distance(df, df.limit(0)).count() == 0
+
+
+def test_scoring_joins_each_side_once_and_nothing_else(spark, sf_dir):
+    """Names are compared where the pair is; what the signals read is a column before they are made."""
+    from twinweave.operators import scoring
+    from twinweave.plans import views
+
+    a = views.assets(spark, sf_dir)
+    plan = scoring.scored(spark.createDataFrame([(1, 11), (2, 12)], "a long, b long"), a)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "Aggregate" not in plan and plan.count("ArrowEvalPython") == 1
+    assert "Generate explode" in plan and "aggregate(" not in plan.split("Generate explode")[1].split("\n")[0]
