@@ -238,3 +238,19 @@ def test_scoring_joins_each_side_once_and_nothing_else(spark, sf_dir):
     plan = scoring.scored(spark.createDataFrame([(1, 11), (2, 12)], "a long, b long"), a)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2 and "Aggregate" not in plan and plan.count("ArrowEvalPython") == 1
     assert "Generate explode" in plan and "aggregate(" not in plan.split("Generate explode")[1].split("\n")[0]
+
+
+def test_no_step_of_scoring_is_too_large_to_compile(spark, sf_dir):
+    """The JVM interprets methods of over 8,000 bytes; without frames, as in a detection, the whole scoring was one of 12,750."""
+    from twinweave.operators import scoring
+    from twinweave.plans import views
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        scored = scoring.scored(spark.createDataFrame([(1, 11), (2, 12)], "a long, b long"), views.assets(spark, sf_dir).drop("frames"))
+        debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package")
+        steps = debug.codegenStringSeq(scored._jdf.queryExecution().executedPlan())
+        sizes = [steps.apply(i)._3().maxMethodCodeSize() for i in range(steps.size()) if "documents.parquet" not in steps.apply(i)._1()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) <= 8000
