@@ -256,3 +256,64 @@ def test_no_step_of_scoring_is_too_large_to_compile(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sizes and max(sizes) <= 8000
+
+
+def test_budget_and_skips_without_a_rank_of_pairs(spark, make):
+    """Pairs are neither sorted nor moved once they are made, and are those of a count in order."""
+    rng = random.Random(7)
+    rows = [asset(i, f"IMG_{rng.randrange(4)}_{rng.randrange(9)}.JPG", width=100 + 16 * rng.randrange(2), height=100, created_s=rng.choice([None, 1, 2])) for i in rng.sample(range(900), 90)]
+    a, ids = make(*rows), [r[0] for r in rows]
+    skip = [tuple(rng.sample(ids, 2)) for _ in range(1500)]
+    skip += skip[:20]
+    skips = spark.createDataFrame(skip, "a long, b long")
+    skip = {tuple(sorted(p)) for p in skip}
+    buckets = {}
+    for r in pairs.bucketed(a).select("bucket", "id", "file_name", "created_s").collect():
+        buckets.setdefault(r["bucket"], []).append((r["file_name"], r["created_s"] is None, r["created_s"] or 0, r["id"]))
+    for budget, most in ((10, 256), (1, 256), (0, 256), (200, 256), (10_000, 256), (50, max(map(len, buckets.values())) - 1)):
+        want = set()
+        for files in (f for f in buckets.values() if len(f) <= most):
+            found = [tuple(sorted((x[3], y[3]))) for x, y in itertools.combinations(sorted(files), 2)]
+            want |= set([p for p in found if p not in skip][:budget])
+        got = pairs.blocked_pairs(a, Limits(comparisons_per_bucket=budget, bucket_size=most), skips)
+        rows = [tuple(r) for r in got.select("a", "b").collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
+    assert "Window" not in above and "RepartitionByExpression" not in above
+
+
+def test_evidence_is_aggregated_in_numbers(spark, make):
+    """No aggregate over edge ends sorts them, as one with texts does; of equal signals the later note counts."""
+    a = make(*[asset(i, f"IMG_0001_{i}.JPG", width=100, height=100, capture_s=1000 + i, dhash=h) for i, h in enumerate([0, (1 << 9) - 1, (1 << 12) - 1, (1 << 3) - 1])])
+    edges = groups.detection_edges(a)
+    evidence = groups.member_evidence(edges, groups.group_members(edges))
+    assert "SortAggregate" not in evidence._jdf.queryExecution().executedPlan().toString()
+    notes = {r["id"]: {s["key"]: s["note"] for s in r["signals"]} for r in evidence.collect()}
+    # distances: 0-1 9, 0-2 12, 0-3 3, 1-2 3, 1-3 6, 2-3 9
+    assert {n["hash"] for n in notes.values()} == {"dHash distance=3"}
+    assert notes[0]["captureTime"] == "capture delta=2.00s"
+    # orders of distances: as the struct of raw value and note has them, and back
+    df = spark.range(65).select(F.col("id").cast("int").alias("d")).withColumn("raw", F.greatest(F.lit(0.0), 1 - F.col("d") / 5.0))
+    rows = df.withColumn("o", groups._hash_order(F.col("d"), F.col("raw"))).withColumn("back", groups._distance_of(F.col("o"))).collect()
+    assert all(r["back"] == r["d"] for r in rows)
+    assert [r["d"] for r in sorted(rows, key=lambda r: r["o"])] == [r["d"] for r in sorted(rows, key=lambda r: (r["raw"], str(r["d"])))]
+
+
+def test_lines_have_the_digits_of_the_edges(spark, make):
+    """Lines of groups, numbers until they are told apart, are those of the edges as texts."""
+    rng = random.Random(3)
+    photos = [asset(i, f"IMG_{i}.{rng.choice(['CR2', 'JPG', 'XMP'])}", 1000 + rng.randrange(9), width=100, height=100, checksum=rng.choice(["c", "d", None]), capture_s=1000 + i % 4, dhash=rng.choice([None, 0, 7, 255])) for i in range(12)]
+    audio = [asset(i, f"song{i}.mp3", 4_000_000, "audio", duration_sec=180.0, capture_s=1000, checksum=rng.choice(["e", "f"])) for i in range(20, 26)]
+    edges = groups.detection_edges(make(*photos, *audio)).cache()
+    members = groups.group_members(edges)
+    of = {r["id"]: r["group_id"] for r in members.collect()}
+    want = {}
+    for r in edges.collect():
+        want.setdefault(of[r["a"]], set()).update(r["rationale"])
+    assert {r["group_id"]: r["rationale"] for r in groups._group_lines(edges, members).collect()} == {g: sorted(x) for g, x in want.items()}
+    halves = [k / 1000 for k in range(0, 1000, 5)]
+    plain = [(1, 2, 0, *([None] * 4), x, 1.0) for x in halves]
+    e = spark.createDataFrame(plain, "a long, b long, kind int, r1 double, r2 double, r3 double, r4 double, r0 double, f0 double")
+    e = e.withColumns({f"f{i}": F.lit(1.0) for i in range(1, 5)}).withColumn("policy", F.lit(None).cast("string"))
+    got = groups._group_lines(e, spark.createDataFrame([(1, 1)], "group_id long, id long")).first()["rationale"]
+    assert got == sorted({r[0] for r in e.select(F.concat(F.lit("checksum:"), F.format_string("%.2f", "r0"))).collect()})
