@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinweave.functions.fingerprints import hamming, signature, stem, stem_bucket
-from twinweave.functions.signals import jaro_winkler, with_name_score
+from twinweave.functions.signals import image_metadata_signal, jaro_winkler, video_metadata_signal, with_name_score
 from twinweave.operators import catalog, groups, keepers, merge, metrics, pairs, scoring
 from twinweave.operators.components import connected_components
-from twinweave.plans.config import Limits, Weights
+from twinweave.plans.config import Limits, Thresholds, Weights
 
 SCHEMA = "id long, media_type string, file_name string, folder string, file_size long, checksum string, width int, height int, duration_sec double, capture_s long, created_s long, modified_s long, dhash long, camera_model string, gps_lat double, gps_lon double, keywords array<string>, ut_type string"
 NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -317,3 +317,14 @@ def test_lines_have_the_digits_of_the_edges(spark, make):
     e = e.withColumns({f"f{i}": F.lit(1.0) for i in range(1, 5)}).withColumn("policy", F.lit(None).cast("string"))
     got = groups._group_lines(e, spark.createDataFrame([(1, 1)], "group_id long, id long")).first()["rationale"]
     assert got == sorted({r[0] for r in e.select(F.concat(F.lit("checksum:"), F.format_string("%.2f", "r0"))).collect()})
+
+
+def test_metadata_signals_read_their_own_columns_only(spark):
+    """A picture's rows need no durations, a video's no file sizes."""
+    sides = "a_width int, b_width int, a_height int, b_height int"
+    pictures = spark.createDataFrame([(100, 80, 10, 20, 30, 30), (0, 80, 10, 20, None, 30), (None, None, None, None, None, None)], f"a_file_size long, b_file_size long, {sides}")
+    got = [r[0] for r in pictures.select(image_metadata_signal(Weights())["raw"]).collect()]
+    assert got == [pytest.approx((0.8 + 0.5 + 1) / 3), pytest.approx(0.5), None]
+    videos = spark.createDataFrame([(10.0, 11.0, 10, 20, 30, 30), (10.0, 20.0, 0, 20, 15, 30), (None, 1.0, 0, 0, None, 30)], f"a_duration_sec double, b_duration_sec double, {sides}")
+    got = [r[0] for r in videos.select(video_metadata_signal(Weights(), Thresholds())["raw"]).collect()]
+    assert got == [pytest.approx((0.5 + 0.5 + 1) / 3), pytest.approx(0.5), None]
