@@ -239,6 +239,29 @@ def test_boilerplate_verdict_holds_as_the_host_grows(spark):
         assert out.filter("removed_words > 0").count() == 21
 
 
+def test_boilerplate_lines_are_counted_by_documents(spark):
+    """Copies of a text count, repeated rows and texts of one id don't; a row without an id is a document."""
+    fresh = lambda i: " ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'efghijklmn'[j % 10]}{'opqrstuvwx'[j // 10]}" for j in range(60))
+    rows = [(i, "copied footer here\n" + fresh(0), "copies") for i in range(15)] + [(20 + i, "copied footer here\n" + fresh(1 + i), "copies") for i in range(6)]
+    rows += [(100, "a row again\n" + fresh(10), "repeats")] * 30 + [(101 + i, "a row again\n" + fresh(11 + i), "repeats") for i in range(19)]
+    rows += [(200, f"versions of one\n{fresh(30 + i)}", "versions") for i in range(30)]
+    rows += [(None, "no id at all\n" + fresh(70), "unnamed")] * 11 + [(300 + i, "no id at all\n" + fresh(71), None if i < 5 else "unnamed") for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+
+    def brute(numbered):
+        holders = {}
+        for n, (i, t, h) in enumerate(rows):
+            for line in set(t.split("\n")):
+                holders.setdefault((h, line), set()).add((i, None) if i is not None and numbered else (None, n))
+        return Counter((i, t, h, sum(len(words(x)) for x in t.split("\n") if len(holders[h, x]) > 20)) for i, t, h in rows)
+
+    found = lambda out: Counter((r["doc_id"], r["text"], r["source"], r["removed_words"]) for r in out.collect())
+    got = found(quality_rules.quality_rules(docs))
+    assert got == brute(True) and {(h, n) for _, _, h, n in got} == {("copies", 3), ("repeats", 0), ("versions", 0), ("unnamed", 4), (None, 0)}
+    got = found(quality_rules.quality_rules(docs, id_col=None))
+    assert got == brute(False) and {(h, n) for _, _, h, n in got} == {("copies", 3), ("repeats", 3), ("repeats", 63), ("versions", 3), ("unnamed", 4), (None, 0)}
+
+
 def test_rules_on_nothing(none):
     assert quality_rules.quality_rules(none).count() == 0
 
